@@ -77,13 +77,13 @@ def soil_ratios() -> dict[str, Column]:
 def input_intensity(ranges: Column) -> Column:
     """Weighted share of the largest dose seen, plus irrigation."""
 
-    def share(name: str) -> Column:
+    def share(weight: float, name: str) -> Column:
         top = ranges[f"max_{name}"]
-        return F.try_divide(F.col(name), F.when(top == 0, F.lit(1.0)).otherwise(top))
+        return F.try_divide(weight * F.col(name), F.when(top == 0, F.lit(1.0)).otherwise(top))
 
     return np_round(
-        0.4 * share("fertilizer_nitrogen") + 0.2 * share("fertilizer_phosphorus")
-        + 0.2 * share("organic_fertilizer") + 0.2 * F.col("irrigation_applied").cast("double"),
+        share(0.4, "fertilizer_nitrogen") + share(0.2, "fertilizer_phosphorus")
+        + share(0.2, "organic_fertilizer") + 0.2 * F.col("irrigation_applied").cast("double"),
         3,
     )
 

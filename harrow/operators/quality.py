@@ -120,15 +120,16 @@ def _rules(model: Model, schema: T.StructType, get: Getter, path: str, wrap: Cal
 
 def _array_rules(model: Model, schema: T.StructType, array: Column, path: str, wrap) -> list[Rule]:
     """Each rule of the element model, broken when any element breaks it."""
-    names = [(r.name, r.message) for r in _rules(model, schema, lambda n: F.lit(None), path, lambda t: t)]
-    out = []
-    for i, (name, message) in enumerate(names):
+    def element_rules(x: Column) -> list[Rule]:
+        return _rules(model, schema, lambda n: x.getField(n), path, lambda t: t)
 
-        def any_element(x: Column, i: int = i) -> Column:
-            return _rules(model, schema, lambda n: x[n], path, lambda t: t)[i].broken
+    def nth(i: int) -> Callable[[Column], Column]:
+        return lambda x: element_rules(x)[i].broken
 
-        out.append(Rule(name, wrap(F.coalesce(F.exists(array, any_element), F.lit(False))), message))
-    return out
+    return [
+        Rule(r.name, wrap(F.coalesce(F.exists(array, nth(i)), F.lit(False))), r.message)
+        for i, r in enumerate(element_rules(F.struct(F.lit(None))))
+    ]
 
 
 def model_rules(model: Model, schema: T.StructType) -> list[Rule]:

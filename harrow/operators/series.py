@@ -51,13 +51,12 @@ def masked_mean(sequence: Column | str, length: Column | str, features: list[str
     sequence = F.col(sequence) if isinstance(sequence, str) else sequence
     length = F.col(length) if isinstance(length, str) else length
     real = F.slice(sequence, F.lit(1), length)
-    return [
-        (
-            F.aggregate(real, F.lit(0.0), lambda acc, step, i=i: acc + step[i])
-            / F.greatest(length, F.lit(1)).cast("double")
-        ).alias(f"mean_{f}")
-        for i, f in enumerate(features)
-    ]
+
+    def total(i: int) -> Column:
+        return F.aggregate(real, F.lit(0.0), lambda acc, step: acc + step[i])
+
+    steps = F.greatest(length, F.lit(1)).cast("double")
+    return [(total(i) / steps).alias(f"mean_{f}") for i, f in enumerate(features)]
 
 
 # --- rolling figures ----------------------------------------------------------------
