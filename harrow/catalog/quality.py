@@ -147,7 +147,7 @@ _register(
 )
 _register(
     "v15_planting_details", schemas.PLANTING,
-    {"planting_density": "cast(yield_kg_ha*25 as int)", "row_spacing_cm": "elevation/10e0", "plant_spacing_cm": "disease_incidence", "planting_depth_cm": "ph_water*2"},
+    {"planting_density": "cast(floor(yield_kg_ha*25) as int)", "row_spacing_cm": "elevation/10e0", "plant_spacing_cm": "disease_incidence", "planting_depth_cm": "ph_water*2"},
 )
 _register(
     "v15_fertilisation", schemas.FERTILISATION,
@@ -167,7 +167,7 @@ _register(
     "v18_crop", schemas.CROP,
     {"field_id": "record_id", "crop_type": "case when part_id%17=0 then 'teff' else crop_name end", "crop_group": "crop_group", "season": "season",
      "year": "cast(year(observation_date)+part_id%10 as int)", "latitude": "latitude", "longitude": "longitude", "elevation": "elevation",
-     "area_hectares": "(station_id%20)/10e0", "cycle_length_days": "cast(elevation/5 as int)", "disease_incidence": "disease_incidence",
+     "area_hectares": "(station_id%20)/10e0", "cycle_length_days": "cast(floor(elevation/5) as int)", "disease_incidence": "disease_incidence",
      "version": "case when part_id%2=0 then 3 end"},
     derived={"version": "coalesce(version, 1)"},
 )
