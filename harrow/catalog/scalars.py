@@ -375,7 +375,7 @@ _ALL = (*FEATURE_SQL, "month", "day_of_year", "year", *_CYCLIC, "season_ordinal"
     + ", cast(agroecological_zone='guinea_savanna' as tinyint) as zone_guinea_savanna, cast(crop_group='cereals' as tinyint) as grp_cereals from o",
 )
 def f14(t: Tables) -> DataFrame:
-    table = engineer(t.obs, zones=list(_ZONES), groups=list(_GROUPS), keep_ids=True)
+    table = engineer(t.written_obs, zones=list(_ZONES), groups=list(_GROUPS), keep_ids=True)
     return table.select(*ROW, *_ALL, "zone_guinea_savanna", "grp_cereals")
 
 

@@ -1,5 +1,8 @@
 """Exact percentiles of whole columns without gathering a column anywhere.
 
+A table of at most ``DIRECT_ROWS`` rows is read off with Spark's own ``percentile``
+(its buffer holds the distinct values, so the row count bounds it). Otherwise:
+
 1. one aggregate brackets every wanted rank with an approximate sketch,
 2. one aggregate counts how many values lie below and inside each bracket,
 3. brackets that still hold too many values are narrowed by a 256-bin histogram,
@@ -19,6 +22,7 @@ from pyspark.sql import functions as F
 
 ACCURACY = 10_000
 MAX_VALUES = 200_000
+DIRECT_ROWS = 1_000_000
 BINS = 256
 
 
@@ -88,30 +92,30 @@ def exact_percentiles(
     probabilities: list[float],
     accuracy: int = ACCURACY,
     max_values: int = MAX_VALUES,
+    direct_rows: int = DIRECT_ROWS,
 ) -> dict[str, list[float | None]]:
     """Linearly interpolated percentiles per column, missing values skipped."""
     if not columns:
         return {}
     df = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    margin = 2.0 / accuracy
-    lows = F.array(*[F.lit(max(0.0, p - margin)) for p in probabilities])
-    highs = F.array(*[F.lit(min(1.0, p + margin)) for p in probabilities])
-    aggs = []
-    for i, c in enumerate(columns):
-        aggs += [
-            F.count(c).alias(f"n{i}"), F.min(c).alias(f"min{i}"), F.max(c).alias(f"max{i}"),
-            F.percentile_approx(c, lows, accuracy).alias(f"lo{i}"),
-            F.percentile_approx(c, highs, accuracy).alias(f"hi{i}"),
-        ]
+    aggs = [f(c).alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in (("n", F.count), ("min", F.min), ("max", F.max))]
     row = df.agg(*aggs).first()
+    if max(row[f"n{i}"] for i in range(len(columns))) <= direct_rows:
+        wanted = F.array(*map(F.lit, probabilities))
+        exact = df.agg(*[F.percentile(c, wanted).alias(f"p{i}") for i, c in enumerate(columns)]).first()
+        return {c: list(exact[f"p{i}"] or [None] * len(probabilities)) for i, c in enumerate(columns)}
 
+    margin = 2.0 / accuracy
+    around = [max(0.0, p - margin) for p in probabilities] + [min(1.0, p + margin) for p in probabilities]
+    sketched = df.agg(
+        *[F.percentile_approx(c, F.array(*map(F.lit, around)), accuracy).alias(f"s{i}") for i, c in enumerate(columns)]
+    ).first()
     targets: list[_Target] = []
     for i, c in enumerate(columns):
         for j, p in enumerate(probabilities):
             if row[f"n{i}"]:
-                targets.append(_Target(c, p, p * (row[f"n{i}"] - 1), row[f"lo{i}"][j], row[f"hi{i}"][j]))
-    if not targets:
-        return {c: [None] * len(probabilities) for c in columns}
+                low, high = sketched[f"s{i}"][j], sketched[f"s{i}"][j + len(probabilities)]
+                targets.append(_Target(c, p, p * (row[f"n{i}"] - 1), low, high))
 
     _count(df, targets)
     loose = [t for t in targets if not t.holds()]

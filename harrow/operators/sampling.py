@@ -1,8 +1,9 @@
 """Seeded splits and samples by hash threshold.
 
 A row's place is fixed by ``md5(key|seed)``. The n rows with the lowest hashes
-are found by counting hash prefixes, so no stratum is sorted in one task; only
-the hashes of the one prefix that crosses the quota are ranked. Rows that share
+are found by counting hash prefixes, so no stratum is sorted in one task. The
+prefix that crosses the quota is split by longer prefixes until few rows share
+it, and only those are ranked. Rows that share
 a key share a hash and stay on one side; a tie that would exceed the quota is
 left out.
 """
@@ -14,9 +15,10 @@ from typing import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from harrow.operators.lookup import lookup_join
+from harrow.operators.lookup import bounded, lookup_join
 
-PREFIX = 4  # hex digits: 65,536 hash ranges per stratum
+DIGITS = 3  # hex digits per step: 4,096 hash ranges per stratum
+RANKED_ROWS = 1_000_000  # most rows of one stratum that are ranked together
 
 
 def row_hash(keys: list[str], seed: int) -> Column:
@@ -24,35 +26,54 @@ def row_hash(keys: list[str], seed: int) -> Column:
     return F.md5(F.concat_ws("|", *parts, F.lit(str(seed))))
 
 
+def _edges(counts: DataFrame, key: list[str]) -> DataFrame:
+    """Per stratum the prefix ``_edge`` that crosses the quota, with ``_left`` of the quota and ``_n`` rows in it.
+
+    ``counts`` has at most ``16**DIGITS`` rows per stratum.
+    """
+    running = Window.partitionBy(*key).orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
+    crossing = counts.withColumn("_upto", F.sum("_n").over(running)).where(F.col("_upto") > F.col("_quota"))
+    edges = (
+        crossing.groupBy(*key)
+        .agg(F.min(F.struct("_upto", "_p", "_n", "_quota")).alias("e"))
+        .select(
+            *key, F.col("e._p").alias("_edge"), F.col("e._n").alias("_n"),
+            (F.col("e._quota") - F.col("e._upto") + F.col("e._n")).alias("_left"),
+        )
+    )
+    small = bounded(edges)
+    return edges if small is None else small
+
+
 def _cutoffs(df: DataFrame, strata: list[str], quota: Callable[[Column], Column]) -> DataFrame:
     """One row per stratum: the highest hash ``_cut`` that is still inside the quota.
 
-    ``df`` has the strata columns and ``_h``.
+    ``df`` has the strata columns and ``_h``. A stratum whose quota covers all
+    its rows has no row here.
     """
     key = strata or ["_all"]
     if not strata:
         df = df.withColumn("_all", F.lit(0))
-    df = df.withColumn("_p", F.substring("_h", 1, PREFIX))
-    # at most 16**PREFIX rows per stratum from here on
-    counts = df.groupBy(*key, "_p").agg(F.count(F.lit(1)).alias("_n"))
-    running = Window.partitionBy(*key).orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*key)
-    ranked = counts.select(
-        *key, "_p", "_n", F.sum("_n").over(running).alias("_upto"), F.sum("_n").over(whole).alias("_total")
-    ).withColumn("_quota", quota(F.col("_total")).cast("long"))
-    edge = (
-        ranked.where(F.col("_upto") > F.col("_quota"))
-        .groupBy(*key)
-        .agg(F.min(F.struct("_upto", "_p", "_n", "_quota")).alias("e"))
-        .select(*key, F.col("e._p").alias("_edge"), (F.col("e._quota") - F.col("e._upto") + F.col("e._n")).alias("_left"))
-    )
-    inside = lookup_join(df.select(*key, "_h", "_p"), edge, key, "inner").where(F.col("_p") == F.col("_edge"))
-    ties = inside.groupBy(*key, "_edge", "_left", "_h").agg(F.count(F.lit(1)).alias("_n"))
+    digits = DIGITS
+    counts = df.groupBy(*key, F.substring("_h", 1, digits).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    total = F.sum("_n").over(Window.partitionBy(*key))
+    edges = _edges(counts.withColumn("_quota", quota(total).cast("long")), key)
+
+    def inside() -> DataFrame:
+        rows = lookup_join(df, edges.select(*key, "_edge", F.col("_left").alias("_quota")), key, "inner")
+        return rows.where(F.substring("_h", 1, digits) == F.col("_edge"))
+
+    while (edges.agg(F.max("_n")).first()[0] or 0) > RANKED_ROWS and digits < 32:
+        rows, digits = inside(), min(32, digits + DIGITS)
+        longer = rows.groupBy(*key, "_quota", F.substring("_h", 1, digits).alias("_p"))
+        edges = _edges(longer.agg(F.count(F.lit(1)).alias("_n")), key)
+
+    ties = inside().groupBy(*key, "_edge", "_quota", "_h").agg(F.count(F.lit(1)).alias("_n"))
     run = Window.partitionBy(*key).orderBy("_h").rowsBetween(Window.unboundedPreceding, 0)
     return (
         ties.withColumn("_upto", F.sum("_n").over(run))
         .groupBy(*key, "_edge")
-        .agg(F.max(F.when(F.col("_upto") <= F.col("_left"), F.col("_h"))).alias("_h"))
+        .agg(F.max(F.when(F.col("_upto") <= F.col("_quota"), F.col("_h"))).alias("_h"))
         # below the first hash of the edge prefix sorts the bare prefix itself
         .select(*key, F.coalesce("_h", "_edge").alias("_cut"))
     )

@@ -16,9 +16,28 @@ SESSION_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.compression.codec": "zstd",
+    # wide projections make methods the JIT refuses (over 8,000 bytes of code);
+    # past that size Spark splits the projection into methods that are compiled
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
+def configure(spark: SparkSession) -> SparkSession:
+    """Put the settings on a session somebody else made."""
+    for key, value in SESSION_CONF.items():
+        spark.conf.set(key, value)
+    return spark
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash a scan over all cores when it has fewer splits than there are cores.
+
+    A table in many files has more splits than that and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 def local_session(cpus: str | int = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A single-JVM session for tests and the bench; clusters bring their own."""
     builder = (

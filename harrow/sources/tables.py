@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harrow.functions.geo import agroecological_zone
+from harrow.runtime import configure, spread, stabilise
 
 # The crops the parts are read as, by part key modulo 11
 CROPS = (
@@ -89,7 +90,7 @@ class Tables:
     """The views as DataFrames; each is a lazy plan over the parquet files."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+        self.spark, self.folder = configure(spark), folder.rstrip("/")
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -100,7 +101,7 @@ class Tables:
         parts = self.read("part").select(
             "p_partkey", "p_size", F.element_at(crop, (F.col("p_partkey") % 11 + 1).cast("int")).alias("crop")
         )
-        lines = self.read("lineitem").join(
+        lines = spread(self.read("lineitem"), "l_orderkey").join(
             self.read("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")
         ).join(parts, F.col("l_partkey") == F.col("p_partkey"))
         table = lines.selectExpr(
@@ -141,6 +142,11 @@ class Tables:
         )
         return table.withColumn("agroecological_zone", agroecological_zone("latitude", "longitude", "elevation"))
 
+    @cached_property
+    def written_obs(self) -> DataFrame:
+        """``obs`` written once, for jobs that read it several times."""
+        return stabilise(self.obs)
+
     @cached_property
     def daily(self) -> DataFrame:
         return self.obs.groupBy("station_id", "observation_date").agg(

@@ -55,14 +55,14 @@ def test_group_stats_match_window(spark, skewed):
         assert r["m"] is None if r["k"] is None else r["m"] == pytest.approx(np.mean(brute[r["k"]]))
 
 
-@pytest.mark.parametrize("max_values", [200_000, 20])
-def test_exact_percentiles(spark, max_values):
+@pytest.mark.parametrize("max_values,direct_rows", [(200_000, 1_000_000), (200_000, 0), (20, 0)])
+def test_exact_percentiles(spark, max_values, direct_rows):
     rng = random.Random(5)
     values = [rng.choice([1.0, 2.0, rng.gauss(0, 1), rng.lognormvariate(0, 8)]) for _ in range(3001)]
     rows = [(v if i % 7 else None, float(i % 2), None) for i, v in enumerate(values)]
     df = spark.createDataFrame(rows, "a double, b double, c double").repartition(5)
     ps = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
-    got = exact_percentiles(df, ["a", "b", "c"], ps, accuracy=50, max_values=max_values)
+    got = exact_percentiles(df, ["a", "b", "c"], ps, accuracy=50, max_values=max_values, direct_rows=direct_rows)
     a = [r[0] for r in rows if r[0] is not None]
     assert got["a"] == pytest.approx(list(np.quantile(a, ps)), rel=1e-12)
     assert got["b"] == pytest.approx(list(np.quantile([r[1] for r in rows], ps)))
@@ -72,8 +72,8 @@ def test_exact_percentiles(spark, max_values):
 def test_exact_percentiles_survive_a_wrong_sketch(spark, monkeypatch):
     """Counting catches brackets that miss the rank."""
     df = spark.range(1000).select(F.col("id").cast("double").alias("a"))
-    monkeypatch.setattr(F, "percentile_approx", lambda c, ps, accuracy: F.array(F.lit(1.0)))
-    assert exact_percentiles(df, ["a"], [0.5])["a"] == [499.5]
+    monkeypatch.setattr(F, "percentile_approx", lambda c, ps, accuracy: F.array(F.lit(1.0), F.lit(2.0)))
+    assert exact_percentiles(df, ["a"], [0.5], direct_rows=10)["a"] == [499.5]
 
 
 @pytest.mark.parametrize("quota", [0, 1, 37, 999, 1000, 5000])
@@ -86,9 +86,19 @@ def test_bounded_sample_is_exact(spark, quota):
 
 def test_sample_with_short_prefix(spark, monkeypatch):
     """Many rows share the prefix that crosses the quota."""
-    monkeypatch.setattr(sampling, "PREFIX", 1)
     df = spark.range(1000).select(F.col("id").alias("key"))
-    assert sampling.bounded_sample(df, ["key"], 333).count() == 333
+    direct = sorted(sampling.bounded_sample(df, ["key"], 333).collect())
+    monkeypatch.setattr(sampling, "DIGITS", 1)
+    monkeypatch.setattr(sampling, "RANKED_ROWS", 5)
+    assert sorted(sampling.bounded_sample(df, ["key"], 333).collect()) == direct and len(direct) == 333
+
+
+def test_long_prefixes_per_stratum(spark, monkeypatch):
+    df = spark.range(2000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("z"), F.col("id") % 5)).alias("zone"))
+    direct = sampling.stratified_split(df, ["id"], "zone")
+    monkeypatch.setattr(sampling, "DIGITS", 1)
+    monkeypatch.setattr(sampling, "RANKED_ROWS", 5)
+    same(direct, sampling.stratified_split(df, ["id"], "zone"))
 
 
 def test_copies_of_a_key_stay_together(spark):
