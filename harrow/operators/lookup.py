@@ -76,7 +76,8 @@ def bucket_join(
 
     ``ranges`` already has one row per bucket it touches. Past ``max_rows`` the
     row side is salted and the ranges are repeated per salt, so a bucket that
-    holds a third of all rows is spread over ``salts`` tasks.
+    holds a third of all rows is spread over ``salts`` shuffle partitions; AQE
+    splits those further by size, since this is a plain sort-merge join.
     """
     small = bounded(ranges, max_rows)
     if small is not None:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ACCURACY = 10_000
-MAX_VALUES = 200_000
+MAX_VALUES = 20_000
 DIRECT_ROWS = 1_000_000
 BINS = 256
 

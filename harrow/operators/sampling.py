@@ -83,15 +83,16 @@ def lowest_hashes(
     df: DataFrame, keys: list[str], seed: int, quota: Callable[[Column], Column], strata: list[str] | None = None
 ) -> DataFrame:
     """Add ``selected``: is the row among the ``quota(n)`` lowest hashes of its stratum."""
-    strata = strata or []
     hashed = df.withColumn("_h", row_hash(keys, seed))
-    cuts = _cutoffs(hashed.select(*strata, "_h"), strata, quota)
     if strata:
-        joined = lookup_join(hashed, cuts, strata, "left")
+        # as text, so that a missing stratum is a stratum too
+        hashed = hashed.withColumn("_stratum", F.to_json(F.struct(*strata)))
+        cuts = _cutoffs(hashed.select("_stratum", "_h"), ["_stratum"], quota)
+        joined = lookup_join(hashed, cuts, "_stratum", "left")
         # a stratum whose quota covers every row has no edge
         inside = F.col("_cut").isNull() | (F.col("_h") <= F.col("_cut"))
-        return joined.withColumn("selected", inside).drop("_h", "_cut")
-    row = cuts.first()
+        return joined.withColumn("selected", inside).drop("_h", "_cut", "_stratum")
+    row = _cutoffs(hashed.select("_h"), [], quota).first()
     return df.withColumn("selected", F.lit(True) if row is None else row_hash(keys, seed) <= F.lit(row["_cut"]))
 
 
