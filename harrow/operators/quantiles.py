@@ -4,8 +4,9 @@ A table of at most ``DIRECT_ROWS`` rows is read off with Spark's own ``percentil
 (its buffer holds the distinct values, so the row count bounds it). Otherwise:
 
 1. one aggregate brackets every wanted rank with an approximate sketch,
-2. one aggregate counts how many values lie below and inside each bracket,
-3. brackets that still hold too many values are narrowed by a 256-bin histogram,
+2. one aggregate counts the values below and inside each bracket, and about how
+   many different ones are inside (copies of one value cost nothing),
+3. brackets with too many different values are narrowed by a 256-bin histogram,
 4. the distinct values inside the brackets (a bounded number) come back with
    their counts, and the rank is read off.
 
@@ -35,6 +36,7 @@ class _Target:
     high: float
     below: int = 0
     inside: int = 0
+    distinct: int = 0
 
     def holds(self) -> bool:
         return self.below <= math.floor(self.rank) and self.below + self.inside >= math.ceil(self.rank) + 1
@@ -46,10 +48,13 @@ class _Target:
 def _count(df: DataFrame, targets: list[_Target]) -> None:
     aggs = []
     for i, t in enumerate(targets):
-        aggs += [F.count_if(F.col(t.column) < F.lit(t.low)).alias(f"b{i}"), F.count_if(t.mask()).alias(f"i{i}")]
+        aggs += [
+            F.count_if(F.col(t.column) < F.lit(t.low)).alias(f"b{i}"), F.count_if(t.mask()).alias(f"i{i}"),
+            F.approx_count_distinct(F.when(t.mask(), F.col(t.column))).alias(f"d{i}"),
+        ]
     row = df.agg(*aggs).first()
     for i, t in enumerate(targets):
-        t.below, t.inside = row[f"b{i}"], row[f"i{i}"]
+        t.below, t.inside, t.distinct = row[f"b{i}"], row[f"i{i}"], row[f"d{i}"]
 
 
 def _narrow(df: DataFrame, targets: list[_Target]) -> None:
@@ -124,7 +129,7 @@ def exact_percentiles(
         for t in loose:
             t.low, t.high = limits[t.column]
         _count(df, loose)
-    while wide := [t for t in targets if t.inside > max_values and t.low < t.high]:
+    while wide := [t for t in targets if t.distinct > max_values and t.low < t.high]:
         before = [(t.low, t.high) for t in wide]
         _narrow(df, wide)
         _count(df, wide)
@@ -138,7 +143,7 @@ def exact_percentiles(
         df.select(F.explode(F.array_compact(F.array(*entries))).alias("e"))
         .groupBy("e.k", "e.v")
         .count()
-        .toArrow()  # distinct values inside brackets of at most max_values rows
+        .toArrow()  # about max_values distinct values per bracket at most
         .to_pandas()
         .sort_values(["k", "v"])
     )
