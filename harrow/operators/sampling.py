@@ -26,8 +26,10 @@ def row_hash(keys: list[str], seed: int) -> Column:
     return F.md5(F.concat_ws("|", *parts, F.lit(str(seed))))
 
 
-def _edges(counts: DataFrame, key: list[str]) -> DataFrame:
-    """Per stratum the prefix ``_edge`` that crosses the quota, with ``_left`` of the quota and ``_n`` rows in it.
+def _edges(counts: DataFrame, key: list[str]) -> tuple[DataFrame, bool, int]:
+    """(edges, whether they are counted small, most rows in one of them).
+
+    An edge is per stratum the prefix ``_edge`` that crosses the quota, with ``_left`` of the quota and ``_n`` rows in it.
 
     ``counts`` has at most ``16**DIGITS`` rows per stratum.
     """
@@ -42,7 +44,8 @@ def _edges(counts: DataFrame, key: list[str]) -> DataFrame:
         )
     )
     small = bounded(edges)
-    return edges if small is None else small
+    table = edges if small is None else small
+    return table, small is not None, table.agg(F.max("_n")).first()[0] or 0
 
 
 def _cutoffs(df: DataFrame, strata: list[str], quota: Callable[[Column], Column]) -> DataFrame:
@@ -57,16 +60,17 @@ def _cutoffs(df: DataFrame, strata: list[str], quota: Callable[[Column], Column]
     digits = DIGITS
     counts = df.groupBy(*key, F.substring("_h", 1, digits).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
     total = F.sum("_n").over(Window.partitionBy(*key))
-    edges = _edges(counts.withColumn("_quota", quota(total).cast("long")), key)
+    edges, small, most = _edges(counts.withColumn("_quota", quota(total).cast("long")), key)
 
     def inside() -> DataFrame:
-        rows = lookup_join(df, edges.select(*key, "_edge", F.col("_left").alias("_quota")), key, "inner")
+        table = edges.select(*key, "_edge", F.col("_left").alias("_quota"))
+        rows = df.join(F.broadcast(table), key) if small else lookup_join(df, table, key, "inner")
         return rows.where(F.substring("_h", 1, digits) == F.col("_edge"))
 
-    while (edges.agg(F.max("_n")).first()[0] or 0) > RANKED_ROWS and digits < 32:
+    while most > RANKED_ROWS and digits < 32:
         rows, digits = inside(), min(32, digits + DIGITS)
         longer = rows.groupBy(*key, "_quota", F.substring("_h", 1, digits).alias("_p"))
-        edges = _edges(longer.agg(F.count(F.lit(1)).alias("_n")), key)
+        edges, small, most = _edges(longer.agg(F.count(F.lit(1)).alias("_n")), key)
 
     ties = inside().groupBy(*key, "_edge", "_quota", "_h").agg(F.count(F.lit(1)).alias("_n"))
     run = Window.partitionBy(*key).orderBy("_h").rowsBetween(Window.unboundedPreceding, 0)
