@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -58,7 +59,8 @@ def local_session(cpus: str | int = "*", shuffle_partitions: int = 8, memory: st
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (a local test) a temporary folder is set up.
+    A temporary folder is set up only in local mode, where driver and executors are
+    one process; on a cluster a missing setting is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder:
@@ -66,6 +68,9 @@ def shared_folder(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
     folder = tempfile.mkdtemp(prefix="harrow-shared-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -84,4 +89,16 @@ def stabilise(df: DataFrame) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, "stage")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored._harrow_stage = path
+    return stored
+
+
+def release(df: DataFrame) -> None:
+    """Delete what ``stabilise`` wrote for ``df`` once nothing reads it any more."""
+    path = getattr(df, "_harrow_stage", None)
+    if path is None:
+        raise ValueError("only a frame that stabilise() returned can be released")
+    jvm = df.sparkSession.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
