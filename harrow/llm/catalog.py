@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from harrow.llm import language, line_rules, packing, piece_codec
+from harrow.llm import html_text, language, line_rules, packing, piece_codec, top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -43,6 +44,12 @@ def _language(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(table(spark, folder, "documents"))
 
 
+@query("op4_exact_top_k", top_k.SEARCH_SQL)
+def _top_k(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = top_k.grid_vectors(table(spark, folder, "embeddings"))
+    return top_k.search(vectors, F.col("id") % 20 == 0, k=20)
+
+
 @query("op6_piece_codec")
 def _pieces(spark: SparkSession, folder: str) -> DataFrame:
     return piece_codec.encoding_digest(table(spark, folder, "documents"), vocabulary("piece_bpe_32k.model"))
@@ -51,3 +58,8 @@ def _pieces(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_quality_rules", line_rules.judge_sql())
 def _rules(spark: SparkSession, folder: str) -> DataFrame:
     return line_rules.judge(table(spark, folder, "documents")).drop("host", "text_hash")
+
+
+@query("op10_html_extraction")
+def _html(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract(table(spark, folder, "pages"))
