@@ -217,13 +217,16 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     pivots = _pivots(vectors)
     if not pivots:
         return vectors.selectExpr("id as query_id", "1 as rank", "id as vec_id", "id as score").limit(0)
+    asked = vectors.filter(is_query)
+    # about one cell for each block's worth of rows; query cells are the first of the data's
+    pivots = pivots[: max(1, vectors.count() // DATA_BLOCK)]
+    q_pivots = pivots[: max(1, asked.count() // QUERY_BLOCK)]
     salted = Window.partitionBy("v", F.pmod(F.xxhash64("id"), F.lit(32))).orderBy("id")
     few = vectors.withColumn("place", F.row_number().over(salted)).filter(F.col("place") <= k + 1)
     points = few.groupBy("v").agg(F.slice(F.sort_array(F.collect_list("id")), 1, k + 1).alias("ids")).withColumn("first_id", F.col("ids")[0])
     data = stabilise(_with_block(_with_cell(points, pivots), "first_id", DATA_BLOCK))
-    asked = vectors.filter(is_query)
     reps = stabilise(
-        _with_block(_with_cell(asked.groupBy("v").agg(F.min("id").alias("rep")), pivots), "rep", QUERY_BLOCK)
+        _with_block(_with_cell(asked.groupBy("v").agg(F.min("id").alias("rep")), q_pivots), "rep", QUERY_BLOCK)
     )
     # the data around a group's own pivot first
     own_blocks = data.groupBy("cell").agg((F.max("block") + 1).alias("n"))
@@ -245,7 +248,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
         F.max("apart").alias("q_radius"), F.when(F.count("worst") == F.count("*"), F.min("worst")).alias("floor")
     )
     blocks = data.groupBy("cell", "block").agg(F.max("apart").alias("radius"))
-    open_ = _open_pairs(floor, blocks, pivots)
+    open_ = _open_pairs(floor, blocks, q_pivots, pivots)
     more = known.select("rep", "v", F.col("cell").alias("q_cell"), F.col("block").alias("q_block"), "worst").join(
         open_, ["q_cell", "q_block"]
     )
@@ -272,15 +275,16 @@ def _visit(queries: DataFrame, data: DataFrame, pairs: DataFrame, k: int) -> Dat
     )
 
 
-def _open_pairs(floor: DataFrame, blocks: DataFrame, pivots: list[list[int]]) -> DataFrame:
+def _open_pairs(floor: DataFrame, blocks: DataFrame, q_pivots: list[list[int]], pivots: list[list[int]]) -> DataFrame:
     """Pairs of blocks in different cells whose bound reaches the worst kth score of the query block."""
-    p = np.array(pivots, np.float64)
-    lengths = np.linalg.norm(p, axis=1)
-    spark = floor.sparkSession
+    q, p = np.array(q_pivots, np.float64), np.array(pivots, np.float64)
+    near, far = np.linalg.norm(q, axis=1), np.linalg.norm(p, axis=1)
     cells = [
-        (i, j, float(p[i] @ p[j]), float(lengths[i]), float(lengths[j])) for i in range(len(p)) for j in range(len(p)) if i != j
+        (i, j, float(q[i] @ p[j]), float(near[i]), float(far[j])) for i in range(len(q)) for j in range(len(p)) if i != j
     ]
-    met = spark.createDataFrame(cells or [(-1, -2, 0.0, 0.0, 0.0)], "q_cell int, cell int, product double, q_length double, length double")
+    met = floor.sparkSession.createDataFrame(
+        cells or [(-1, -2, 0.0, 0.0, 0.0)], "q_cell int, cell int, product double, q_length double, length double"
+    )
     most = (
         F.col("product") + F.col("q_length") * F.col("radius") + F.col("length") * F.col("q_radius") + F.col("radius") * F.col("q_radius")
     )
