@@ -9,6 +9,7 @@ count) classes, and the pieces then find their places by their rank within their
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_right
 from collections import defaultdict
@@ -22,10 +23,13 @@ from pyspark.sql import functions as F
 from harrow.llm.common import slices, text_or_empty
 from harrow.runtime import stabilise
 
-TABLE_ENTRIES = 300_000
+# Entries a task's table holds before it starts anew, and the longest word kept in it: bounds of memory only.
+TABLE_ENTRIES = 400_000
 KEPT_BYTES = 64
 # Pieces of one length that one task ranks, about
-RANKED_PER_TASK = 50_000
+RANKED_PER_TASK = 2000
+# Letters that normalisation leaves alone and that have one lower-case letter each, then punctuation
+PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]{1,64})([.,;:!?#*$%&]{0,8})")
 
 
 @lru_cache(maxsize=2)
@@ -39,12 +43,47 @@ def _tokenizer(path: str):
 class WordIds:
     """Ids of whole texts from a table of distinct words.
 
-    The tokenizer drops white space and no token crosses it, so a text's ids are those of its words in turn.
+    The tokenizer drops white space and no token crosses it, so a text's ids are those of its words in turn. A word
+    of plain letters and then punctuation is two parts to it, whatever the letters' case, so such words share
+    their stems; many new stems are encoded in one call and told apart by the tokens that end a part.
     """
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, own in self.tokenizer.get_vocab().items():
+            self.ends[own] = token.endswith("</w>")
         self.table: dict[bytes, bytes] = {}
+        self.stems: dict[str, bytes] = {"": b""}
+
+    def _encode(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+
+    def _learn_stems(self, new: list[str]) -> None:
+        for at in range(0, len(new), 1000):
+            part = new[at : at + 1000]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(cuts) == len(part):
+                raw = ids.tobytes()
+                self.stems.update((word, raw[a:b]) for word, a, b in zip(part, [0, *cuts], cuts))
+            else:
+                self.stems.update(zip(part, self._encode(part)))
+
+    def _learn(self, new: list[bytes]) -> None:
+        plain, other = [], []
+        for word in new:
+            text = word.decode()
+            if parts := PLAIN.fullmatch(text):
+                plain.append((word, parts[1].lower(), parts[2]))
+            else:
+                other.append((word, text))
+        self.table.update(zip((w for w, _ in other), self._encode([t for _, t in other])))
+        stems = self.stems
+        self._learn_stems(list({stem for _, stem, _ in plain if stem not in stems}))
+        tails = list({tail for _, _, tail in plain if tail not in stems})
+        stems.update(zip(tails, self._encode(tails)))
+        self.table.update((word, stems[stem] + stems[tail]) for word, stem, tail in plain)
 
     def of(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -54,9 +93,9 @@ class WordIds:
         if len(self.table) + len(new) > TABLE_ENTRIES:
             self.table.clear()
             new = list(distinct)
-        coded = self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)
-        for word, ids in zip(new, coded):
-            self.table[word] = np.array(ids.ids, "<u4").tobytes()
+        if len(self.stems) > TABLE_ENTRIES:
+            self.stems = {"": b""}
+        self._learn(new)
         table = self.table
         out = [b"".join([table[w] for w in own]) for own in words]
         for word in [w for w in new if len(w) > KEPT_BYTES]:
