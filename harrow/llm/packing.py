@@ -24,7 +24,7 @@ from harrow.llm.common import slices, text_or_empty
 from harrow.runtime import stabilise
 
 # Entries a task's table holds before it starts anew, and the longest word kept in it: bounds of memory only.
-TABLE_ENTRIES = 400_000
+TABLE_ENTRIES = 800_000
 KEPT_BYTES = 64
 # Pieces of one length that one task ranks, about
 RANKED_PER_TASK = 2000
@@ -103,6 +103,12 @@ class WordIds:
         return out
 
 
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """One table for all tasks of a Python worker."""
+    return WordIds(path)
+
+
 def token_pieces(
     docs: DataFrame, tokenizer: str, capacity: int = 2048, separator: int = 0, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -110,7 +116,7 @@ def token_pieces(
     end = np.array([separator], "<u4").tobytes()
 
     def cut(batches):
-        words = WordIds(tokenizer)
+        words = word_ids(tokenizer)
         for part in slices(batches):
             rows, piece, start, length, crc = [], [], [], [], []
             for row, ids in enumerate(words.of(part.column("text").to_pylist())):

@@ -96,6 +96,12 @@ class ChunkTable:
             self.forget_long()
 
 
+@lru_cache(maxsize=1)
+def chunk_table(path: str) -> ChunkTable:
+    """One table for all tasks of a Python worker."""
+    return ChunkTable(path)
+
+
 def encode_texts(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(``doc_id``, ``ids`` array<int>, ``decoded``): each whole text as the library encodes and decodes it.
 
@@ -104,7 +110,7 @@ def encode_texts(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str
     """
 
     def code(batches):
-        table = ChunkTable(model)
+        table = chunk_table(model)
         for part in slices(batches):
             both = list(table.code(part.column("text").to_pylist()))
             yield pa.RecordBatch.from_arrays(
@@ -124,7 +130,7 @@ def encoding_digest(docs: DataFrame, model: str, doc_id: str = "doc_id", text: s
     """(``doc_id``, ``n_tokens``, ``ids_sha256``, ``decoded_sha256``) of ``encode_texts``, digested inside the task."""
 
     def digest(batches):
-        table = ChunkTable(model)
+        table = chunk_table(model)
         for part in slices(batches):
             counts, of_ids, of_text = [], [], []
             for ids, decoded in table.code(part.column("text").to_pylist()):
