@@ -23,13 +23,13 @@ from pyspark.sql import functions as F
 from harrow.llm.common import slices, text_or_empty
 from harrow.runtime import stabilise
 
-# Entries a task's table holds before it starts anew, and the longest word kept in it: bounds of memory only.
+# Parts a worker's table holds before it starts anew: a bound of memory only.
 TABLE_ENTRIES = 800_000
-KEPT_BYTES = 64
 # Pieces of one length that one task ranks, about
 RANKED_PER_TASK = 2000
-# Letters that normalisation leaves alone and that have one lower-case letter each, then punctuation
-PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]{1,64})([.,;:!?#*$%&]{0,8})")
+# Texts that normalisation only puts into lower case (no apostrophe, which may join what follows), and their parts
+PLAIN_TEXT = re.compile("[\\t-\\r -&(-~À-ÖØ-öø-ÿ]*")
+PART = re.compile("[a-zß-öø-ÿ]+|[0-9]|[!-&(-/:-@[-`{-~]+")
 
 
 @lru_cache(maxsize=2)
@@ -41,11 +41,11 @@ def _tokenizer(path: str):
 
 
 class WordIds:
-    """Ids of whole texts from a table of distinct words.
+    """Ids of whole texts from a table of distinct parts.
 
-    The tokenizer drops white space and no token crosses it, so a text's ids are those of its words in turn. A word
-    of plain letters and then punctuation is two parts to it, whatever the letters' case, so such words share
-    their stems; many new stems are encoded in one call and told apart by the tokens that end a part.
+    The tokenizer drops white space and no token crosses it, so a text's ids are those of its words in turn. In a text
+    of plain letters, digits and punctuation its parts are also known - runs of letters in lower case, single digits, runs
+    of punctuation - and new parts are encoded many in a call, told apart by the tokens that end a part.
     """
 
     def __init__(self, path: str):
@@ -53,54 +53,37 @@ class WordIds:
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, own in self.tokenizer.get_vocab().items():
             self.ends[own] = token.endswith("</w>")
-        self.table: dict[bytes, bytes] = {}
-        self.stems: dict[str, bytes] = {"": b""}
+        self.parts: dict[str, bytes] = {}
 
     def _encode(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
 
-    def _learn_stems(self, new: list[str]) -> None:
+    def _learn(self, new: list[str]) -> None:
         for at in range(0, len(new), 1000):
-            part = new[at : at + 1000]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            some = new[at : at + 1000]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
             cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            if len(cuts) == len(part):
+            if len(cuts) == len(some):
                 raw = ids.tobytes()
-                self.stems.update((word, raw[a:b]) for word, a, b in zip(part, [0, *cuts], cuts))
+                self.parts.update((part, raw[a:b]) for part, a, b in zip(some, [0, *cuts], cuts))
             else:
-                self.stems.update(zip(part, self._encode(part)))
-
-    def _learn(self, new: list[bytes]) -> None:
-        plain, other = [], []
-        for word in new:
-            text = word.decode()
-            if parts := PLAIN.fullmatch(text):
-                plain.append((word, parts[1].lower(), parts[2]))
-            else:
-                other.append((word, text))
-        self.table.update(zip((w for w, _ in other), self._encode([t for _, t in other])))
-        stems = self.stems
-        self._learn_stems(list({stem for _, stem, _ in plain if stem not in stems}))
-        tails = list({tail for _, _, tail in plain if tail not in stems})
-        stems.update(zip(tails, self._encode(tails)))
-        self.table.update((word, stems[stem] + stems[tail]) for word, stem, tail in plain)
+                self.parts.update(zip(some, self._encode(some)))
 
     def of(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        words = [t.encode().split() for t in texts]
-        distinct = set().union(*words)
-        new = [w for w in distinct if w not in self.table]
-        if len(self.table) + len(new) > TABLE_ENTRIES:
-            self.table.clear()
-            new = list(distinct)
-        if len(self.stems) > TABLE_ENTRIES:
-            self.stems = {"": b""}
-        self._learn(new)
-        table = self.table
-        out = [b"".join([table[w] for w in own]) for own in words]
-        for word in [w for w in new if len(w) > KEPT_BYTES]:
-            del table[word]
-        return out
+        plain = [bool(PLAIN_TEXT.fullmatch(t)) and "<|" not in t for t in texts]
+        cut = [PART.findall(t.lower()) for t, p in zip(texts, plain) if p]
+        distinct = set().union(*cut)
+        if len(self.parts) > TABLE_ENTRIES:
+            self.parts = {}
+        self._learn(list(distinct.difference(self.parts)))
+        parts = self.parts
+        coded = iter([b"".join([parts[x] for x in own]) for own in cut])
+        other = [t.encode().split() for t, p in zip(texts, plain) if not p]
+        words = list(set().union(*other))
+        table = dict(zip(words, self._encode([w.decode() for w in words])))
+        rest = iter([b"".join([table[w] for w in own]) for own in other])
+        return [next(coded if p else rest) for p in plain]
 
 
 @lru_cache(maxsize=1)
