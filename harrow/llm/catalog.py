@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harrow.llm import html_text, language, line_rules, packing, piece_codec, top_k
+from harrow.llm import html_text, jaccard_join, language, line_rules, packing, piece_codec, top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -63,3 +63,8 @@ def _rules(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_html_extraction")
 def _html(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.extract(table(spark, folder, "pages"))
+
+
+@query("op8_ngram_jaccard", jaccard_join.CLUSTER_SQL)
+def _jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.cluster(table(spark, folder, "documents")).drop("text_hash")
