@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harrow.llm import html_text, jaccard_join, language, line_rules, packing, piece_codec, top_k
+from harrow.llm import html_text, jaccard_join, language, line_rules, packing, piece_codec, suffix_dedup, top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -68,3 +68,8 @@ def _html(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_ngram_jaccard", jaccard_join.CLUSTER_SQL)
 def _jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.cluster(table(spark, folder, "documents")).drop("text_hash")
+
+
+@query("op7_suffix_dedup")
+def _suffixes(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, folder, "documents")).drop("kept")
