@@ -1,11 +1,57 @@
-"""The corpus pipeline: documents to packed sequences."""
+"""The corpus pipeline: from documents to packed sequences in five stages.
+
+Each stage reads what its predecessor kept, written as Parquet. All but the last return the columns of ``documents``; the last
+returns one row per piece of a document with its place in a sequence. SQL cannot express the chain (tokens, language profiles), so the
+tests hold it against plain Python stages.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from harrow.llm import jaccard_join, language, line_rules, packing, suffix_dedup
+from harrow.llm.catalog import table, vocabulary
+from harrow.runtime import stabilise
 
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejected documents go; lines that too many texts of a source share go from the others."""
+    return line_rules.keep_good(docs)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are like no language go."""
+    return language.keep_known(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: five-word shingles, similarity of 0.8 or more."""
+    return jaccard_join.without_near_copies(docs, n=5, percent=80)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Strings of 50 bytes that a document with a smaller id has go."""
+    return suffix_dedup.without_repeats(docs, size=50)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 2048 tokens and their sequences."""
+    return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"), capacity=2048)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("language ID", language_id),
+    ("n-gram Jaccard join", near_copies),
+    ("suffix-array dedup", repeated_passages),
+    ("best-fit packing", packed),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = stabilise(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -57,7 +57,7 @@ def _pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op9_quality_rules", line_rules.judge_sql())
 def _rules(spark: SparkSession, folder: str) -> DataFrame:
-    return line_rules.judge(table(spark, folder, "documents")).drop("host", "text_hash")
+    return line_rules.judge(table(spark, folder, "documents")).drop("host", "text_hash", "shared_lines")
 
 
 @query("op10_html_extraction")
@@ -67,9 +67,9 @@ def _html(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op8_ngram_jaccard", jaccard_join.CLUSTER_SQL)
 def _jaccard(spark: SparkSession, folder: str) -> DataFrame:
-    return jaccard_join.cluster(table(spark, folder, "documents")).drop("text_hash")
+    return jaccard_join.cluster(table(spark, folder, "documents")).drop("text_hash", "first")
 
 
 @query("op7_suffix_dedup")
 def _suffixes(spark: SparkSession, folder: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(table(spark, folder, "documents")).drop("kept")
+    return suffix_dedup.remove_repeats(table(spark, folder, "documents")).drop("kept", "digest")

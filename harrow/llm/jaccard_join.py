@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harrow.llm.common import slices, text_key, text_or_empty
+from harrow.llm.common import column_names, slices, text_key, text_or_empty
 from harrow.llm.graph import components
 from harrow.runtime import stabilise
 
@@ -204,10 +204,10 @@ def link_texts(texts: DataFrame, sketches: DataFrame, n: int, percent: int) -> D
 def cluster(
     docs: DataFrame, n: int = 3, percent: int = 90, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """(``doc_id``, ``text_hash``, ``n_shingles``, ``component_id``), one row per row of ``docs``.
+    """(``doc_id``, ``text_hash``, ``n_shingles``, ``component_id``, ``first``), one row per row of ``docs``.
 
     ``component_id`` is the smallest id that links reach. A null text or one without words has no shingle and no link, and its own id;
-    equal texts with words are linked. Null ids keep their rows and are never the smallest. Elements are compared as 64-bit hashes.
+    equal texts with words are linked. ``first`` marks the row with the smallest id of each component (and its repeats). Null ids keep their rows and are never the smallest. Elements are compared as 64-bit hashes.
     """
     key = text_key(F.col("text"))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
@@ -218,17 +218,31 @@ def cluster(
     sketches = stabilise(texts.mapInArrow(_sketch(n, percent), "tid long, first_doc long, size long, keys array<long>, bits binary"))
     roots = link_texts(texts, sketches, n, percent)
     known = sketches.select("tid", "first_doc", "size").join(roots, "tid", "left").withColumn("root", F.coalesce("root", "tid"))
-    smallest = known.groupBy("root").agg(F.min("first_doc").alias("component"))
-    of_text = known.join(smallest, "root").select("tid", "size", "component")
+    order = F.struct(F.col("first_doc").isNull(), "first_doc", "tid")
+    smallest = known.groupBy("root").agg(F.min("first_doc").alias("component"), F.min_by("tid", order).alias("first_tid"))
+    of_text = known.join(smallest, "root").select("tid", "size", "component", "first_tid")
     return (
         rows.select("doc_id", F.xxhash64(key).alias("tid")).join(of_text, "tid")
         .select(
             "doc_id", F.col("tid").alias("text_hash"), F.col("size").alias("n_shingles"),
             F.when(F.col("size") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
+            ((F.col("size") == 0) | ((F.col("tid") == F.col("first_tid")) & F.col("doc_id").eqNullSafe(F.col("component")))).alias("first"),
         )
     )
 
 
+def without_near_copies(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each component, the one with the smallest id; texts without words all stay, repeated rows once."""
+    found, tid, first = column_names(docs, "found", "tid", "first")
+    keep = cluster(docs, n, percent, doc_id, text).filter("first").select(
+        F.col("doc_id").alias(found), F.col("text_hash").alias(tid), F.col("n_shingles").alias(first)
+    ).distinct()
+    mine = column_names(docs, "mine")[0]
+    rows = docs.withColumn(mine, F.xxhash64(text_key(text_or_empty(text))))
+    same = F.col(doc_id).cast("long").eqNullSafe(F.col(found)) & (F.col(mine) == F.col(tid))
+    return rows.join(keep, same).dropDuplicates([doc_id, mine]).select(*docs.columns)
+
+
 # The same join as SQL text: sets that share a shingle are compared, and components grow along the links.
 CLUSTER_SQL = r"""
 with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as words from documents),

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from harrow.llm.common import slices, text_or_empty
+from harrow.llm.common import column_names, slices, text_or_empty
 
 # n-grams in a profile, and of a text that are compared
 PROFILE_SIZE = 400
@@ -177,8 +177,10 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text", size: int = PRO
     return Profiles([tuple(r) for r in ranked], size)
 
 
-def predict(docs: DataFrame, profiles: Profiles, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns ``keep`` with ``lang_pred`` and ``score`` of every whole text.
+def predict(
+    docs: DataFrame, profiles: Profiles, text: str = "text", keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")
+) -> DataFrame:
+    """Columns ``keep`` with the predicted language and its score of every whole text.
 
     A null text, a text without a letter, and every text when nothing was learned are ``und`` with score 0.
     Repeated rows and null ids stay.
@@ -186,11 +188,12 @@ def predict(docs: DataFrame, profiles: Profiles, text: str = "text", keep: tuple
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
     shape = docs.select(*keep).schema
-    fields = [*shape.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]
+    fields = [*shape.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())]
+    whole = column_names(docs, "whole")[0]
 
     def name(batches):
-        for part in slices(batches, "__text"):
-            found = [profiles.nearest(t) for t in part.column("__text").to_pylist()]
+        for part in slices(batches, whole):
+            found = [profiles.nearest(t) for t in part.column(whole).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
                     *[part.column(i) for i in range(part.num_columns - 1)],
@@ -199,7 +202,7 @@ def predict(docs: DataFrame, profiles: Profiles, text: str = "text", keep: tuple
                 [f.name for f in fields],
             )
 
-    return docs.select(*keep, text_or_empty(text).alias("__text")).mapInArrow(name, StructType(fields))
+    return docs.select(*keep, text_or_empty(text).alias(whole)).mapInArrow(name, StructType(fields))
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -212,3 +215,19 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", lang: str = "lang", text:
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     profiles = fit(rows.filter(~held_out()))
     return predict(rows, profiles).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def keep_known(docs: DataFrame, min_score: float = 0.3, doc_id: str = "doc_id", lang: str = "lang", text: str = "text") -> DataFrame:
+    """``docs`` without the texts that are like no language learned from them; a null ``lang`` gets the predicted one.
+
+    Rejected are texts without a letter and texts closer than ``min_score`` to no profile. Without any labelled text nothing is rejected.
+    """
+    profiles = fit(docs.filter(~held_out(doc_id)), lang, text)
+    if not profiles.names:
+        return docs
+    pred, score = column_names(docs, "lang_pred", "score")
+    found = predict(docs, profiles, text, tuple(docs.columns), (pred, score))
+    return (
+        found.filter((F.col(pred) != UNKNOWN) & (F.col(score) >= min_score))
+        .withColumn(lang, F.coalesce(F.col(lang), F.col(pred))).select(*docs.columns)
+    )

@@ -140,7 +140,8 @@ def shared_lines(docs: DataFrame, limits: Limits = Limits(), host: str = "source
 
 
 def judge(docs: DataFrame, limits: Limits = Limits(), host: str = "source", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: ``doc_id``, ``host``, ``text_hash``, the base counts, ``base_failed``, ``removed_words``, ``kept``.
+    """One row per row of ``docs``: ``doc_id``, ``host``, ``text_hash``, the base counts, ``base_failed``, ``removed_words``, ``kept``, ``shared_lines``
+    (hashes of the lines that go, null if none).
 
     Repeated rows (same id, host and text) get the same verdict each. Null and empty texts fail the base rules.
     """
@@ -159,7 +160,7 @@ def judge(docs: DataFrame, limits: Limits = Limits(), host: str = "source", doc_
         mine.join(shared.select("host", "line", "first_doc"), ["host", "line"])
         .filter(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
         .groupBy(F.col("doc_id").alias("d"), F.col("host").alias("h"), F.col("text_hash").alias("t"))
-        .agg(F.sum("words").alias("lost"))
+        .agg(F.sum("words").alias("lost"), F.collect_set("line").alias("shared_lines"))
     )
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("host") == F.col("h")) & (F.col("text_hash") == F.col("t"))
     left = F.col("n_words") - F.col("removed_words")
@@ -169,10 +170,28 @@ def judge(docs: DataFrame, limits: Limits = Limits(), host: str = "source", doc_
         .withColumn("removed_words", F.coalesce((F.col("lost") / F.col("rows")).cast("long"), F.lit(0).cast("long")))
         .withColumn("kept", ~F.col("base_failed") & enough)
         .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
-        .select("doc_id", "host", "text_hash", *counted, "removed_words", "kept")
+        .select("doc_id", "host", "text_hash", *counted, "removed_words", "kept", "shared_lines")
     )
 
 
+def keep_good(docs: DataFrame, limits: Limits = Limits(), host: str = "source", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` without the rejected rows and without the lines that go."""
+    found, at, key, gone = column_names(docs, "found", "at", "key", "gone")
+    good = judge(docs, limits, host, doc_id, text).filter("kept").select(
+        F.col("doc_id").alias(found), F.col("host").alias(at), F.col("text_hash").alias(key), F.col("shared_lines").alias(gone)
+    ).dropDuplicates([found, at, key])
+    same = (
+        F.col(doc_id).cast("long").eqNullSafe(F.col(found))
+        & (F.coalesce(F.col(host).cast("string"), F.lit("")) == F.col(at))
+        & (F.xxhash64(text_or_empty(text)) == F.col(key))
+    )
+    left = F.filter(
+        F.split(F.col(text), "\n"), lambda line: ~(line.rlike(WORD) & F.array_contains(F.col(gone), F.xxhash64(normalised(line))))
+    )
+    cleaned = F.when(F.col(gone).isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))
+    return docs.join(good, same).withColumn(text, cleaned).select(*docs.columns)
+
+
 # The same rules as SQL text: lines are compared themselves instead of their hashes.
 JUDGE_SQL = r"""
 with d as (select doc_id, coalesce(source, '') as host, coalesce(text, '') as text from documents),

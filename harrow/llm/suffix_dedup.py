@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harrow.llm.common import slices, text_key, text_or_empty
+from harrow.llm.common import column_names, slices, text_key, text_or_empty
 from harrow.llm.jaccard_join import mixed
 from harrow.runtime import stabilise
 
@@ -289,11 +289,11 @@ def _tell_shared(table: pa.Table) -> pa.Table:
 
 
 # kind: 0 a finished row, 1 a text that waits, 2 runs for a shard, 3 stretches known already
-_SENT = "kind int, grp long, shard int, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, a binary, b binary, c binary, d binary, e binary"
+_SENT = "kind int, grp long, shard int, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, digest binary, a binary, b binary, c binary, d binary, e binary"
 
 
 def _frame(rows: list[dict]) -> pa.Table:
-    kinds = {"kind": pa.int32(), "grp": pa.int64(), "shard": pa.int32(), "doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), **{c: pa.binary() for c in "abcde"}}
+    kinds = {"kind": pa.int32(), "grp": pa.int64(), "shard": pa.int32(), "doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "digest": pa.binary(), **{c: pa.binary() for c in "abcde"}}
     return pa.table({name: pa.array([r.get(name) for r in rows], kind) for name, kind in kinds.items()})
 
 
@@ -316,12 +316,12 @@ def _send_runs(size: int, shards: int):
             texts = [_unpack(z) for z in raws[first:last]]
             live = []
             for row, text in zip(range(first, last), texts):
-                gone = len(text) >= size and (ids[row], hashlib.sha256(text).digest()) in copies
-                if gone:
-                    out.append({"kind": 0, "doc_id": ids[row], "n_bytes": len(text), "n_removed": len(text), "n_spans": 1, "kept_sha256": hashlib.sha256(b"").hexdigest()})
+                digest = hashlib.sha256(text).digest()
+                if len(text) >= size and (ids[row], digest) in copies:
+                    out.append({"kind": 0, "doc_id": ids[row], "digest": digest, "n_bytes": len(text), "n_removed": len(text), "n_spans": 1, "kept_sha256": hashlib.sha256(b"").hexdigest()})
                 else:
-                    live.append((row, text))
-            data, begins, ends = _joined([t for _, t in live])
+                    live.append((row, text, digest))
+            data, begins, ends = _joined([t for _, t, _ in live])
             lo, hi, text, number = runs(data, begins, ends, size)
             shard, kept = _place(number, shards)
             code = kept.astype(np.uint64) | (shard.astype(np.uint64) << np.uint64(32))
@@ -329,14 +329,14 @@ def _send_runs(size: int, shards: int):
             hit = mask[at] == code if len(mask) else np.zeros(len(code), bool)
             lo, hi, text, shard, kept = lo[hit], hi[hit], text[hit], shard[hit], kept[hit]
             waiting = set(text.tolist())
-            for k, (row, own) in enumerate(live):
-                # a null id is larger than every id
+            for k, (row, own, digest) in enumerate(live):
                 if k in waiting:
-                    out.append({"kind": 1, "grp": grp, "doc_id": ids[row], "shard": row, "a": raws[row]})
+                    out.append({"kind": 1, "grp": grp, "doc_id": ids[row], "digest": digest, "shard": row, "a": raws[row]})
                 else:
-                    out.append({"kind": 0, "doc_id": ids[row], "n_bytes": len(own), "n_removed": 0, "n_spans": 0, "kept_sha256": hashlib.sha256(own).hexdigest()})
-            row_of = np.array([r for r, _ in live], np.int64)[text] if len(live) else text
-            rank = np.array([_BIGGEST if ids[r] is None else ids[r] for r, _ in live], np.int64)[text] if len(live) else text
+                    out.append({"kind": 0, "doc_id": ids[row], "digest": digest, "n_bytes": len(own), "n_removed": 0, "n_spans": 0, "kept_sha256": digest.hex()})
+            row_of = np.array([r for r, _, _ in live], np.int64)[text] if len(live) else text
+            # a null id is larger than every id
+            rank = np.array([_BIGGEST if ids[r] is None else ids[r] for r, _, _ in live], np.int64)[text] if len(live) else text
             blob = data.tobytes()
             for k in range(len(lo)):
                 pending.append((int(shard[k]), int(kept[k]), int(rank[k]), int(row_of[k]), int(lo[k] - begins[text[k]]), blob[lo[k] : hi[k] + size]))
@@ -430,7 +430,7 @@ def _remove(size: int):
         spans = np.concatenate(own) if own else np.zeros((0, 3), np.int32)
         spans = spans[np.argsort(spans[:, 0], kind="stable")]
         out = []
-        for doc, row, raw in zip(*(waiting.column(c).to_pylist() for c in ("doc_id", "shard", "a"))):
+        for doc, digest, row, raw in zip(*(waiting.column(c).to_pylist() for c in ("doc_id", "digest", "shard", "a"))):
             data = np.frombuffer(_unpack(raw), np.uint8)
             lo, hi = np.searchsorted(spans[:, 0], [row, row + 1])
             edge = np.zeros(len(data) + 1, np.int64)
@@ -439,16 +439,16 @@ def _remove(size: int):
             gone = np.cumsum(edge[:-1]) > 0
             rise = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
             kept = data[~gone].tobytes()
-            out.append((doc, len(data), int(gone.sum()), rise, hashlib.sha256(kept).hexdigest(), _pack(kept)))
-        columns = list(zip(*out)) or [()] * 6
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-        return pa.table({n: pa.array(c, k) for n, c, k in zip(("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"), columns, kinds)})
+            out.append((doc, digest, len(data), int(gone.sum()), rise, hashlib.sha256(kept).hexdigest(), _pack(kept)))
+        columns = list(zip(*out)) or [()] * 7
+        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+        return pa.table({n: pa.array(c, k) for n, c, k in zip(("doc_id", "digest", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"), columns, kinds)})
 
     return remove
 
 
 def remove_repeats(docs: DataFrame, size: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: ``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``, and ``kept``: what is left of a text
+    """One row per row of ``docs``: ``doc_id``, ``digest`` of the text, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``, and ``kept``: what is left of a text
     that lost a part of its bytes (zstd; null for a text that stays or goes whole).
 
     A null text counts as empty. A null id is larger than every other. Rows of one id never remove anything from each other, a
@@ -489,11 +489,37 @@ def remove_repeats(docs: DataFrame, size: int = 50, doc_id: str = "doc_id", text
     )
     repeats = sent.filter("kind = 2").select("shard", "grp", *"abcde").groupBy("shard").applyInArrow(_find_repeats(size), "grp long, a binary")
     stretches = repeats.unionByName(sent.filter("kind = 3").select("grp", "a"))
-    waiting = sent.filter("kind = 1").select("grp", "doc_id", "shard", "a")
+    waiting = sent.filter("kind = 1").select("grp", "doc_id", "digest", "shard", "a")
     cut = waiting.groupBy("grp").cogroup(stretches.groupBy("grp")).applyInArrow(
-        _remove(size), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+        _remove(size), "doc_id long, digest binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     )
     done = sent.filter("kind = 0").select(
-        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.lit(None).cast("binary").alias("kept")
+        "doc_id", "digest", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.lit(None).cast("binary").alias("kept")
     )
     return done.unionByName(cut)
+
+
+def without_repeats(docs: DataFrame, size: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` without the repeated bytes; a text that loses all of them goes, one that was empty before stays.
+
+    What a cut leaves of a character goes too. Repeated rows are cut alike and stay.
+    """
+    digest, found, kept, gone = column_names(docs, "digest", "found", "kept", "gone")
+    cut = remove_repeats(docs, size, doc_id, text).filter("n_removed > 0").select(
+        F.col("doc_id").alias(found), F.col("digest").alias(digest), F.col("kept").alias(kept), (F.col("n_removed") == F.col("n_bytes")).alias(gone)
+    ).dropDuplicates([found, digest])
+    same = F.col(doc_id).cast("long").eqNullSafe(F.col(found)) & (text_key(text_or_empty(text)) == F.col(digest))
+
+    def restore(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index(text)
+            texts = batch.column(at).to_pylist()
+            for row, raw in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                if raw is not None:
+                    texts[row] = _unpack(raw).decode("utf-8", "ignore")
+            columns = [batch.column(i) for i in range(batch.num_columns - 1)]
+            columns[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
+
+    joined = docs.join(cut, same, "left").filter(~F.coalesce(F.col(gone), F.lit(False)))
+    return joined.select(*docs.columns, kept).mapInArrow(restore, docs.schema)
