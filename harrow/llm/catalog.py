@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harrow.llm import html_text, jaccard_join, language, line_rules, packing, piece_codec, suffix_dedup, top_k
+from harrow.llm import html_text, jaccard_join, kneser_ney, language, license_scan, line_rules, packing, piece_codec, suffix_dedup, top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -73,3 +73,13 @@ def _jaccard(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_suffix_dedup")
 def _suffixes(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, folder, "documents")).drop("kept", "digest")
+
+
+@query("op3_license_scan", license_scan.scan_sql())
+def _licences(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.scan(license_scan.document_paths(table(spark, folder, "documents")))
+
+
+@query("op5_kneser_ney_quality")
+def _quality(spark: SparkSession, folder: str) -> DataFrame:
+    return kneser_ney.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))

@@ -202,7 +202,7 @@ def _with_cell(points: DataFrame, pivots: list[list[int]]) -> DataFrame:
 def _with_block(points: DataFrame, key: str, size: int) -> DataFrame:
     """``block`` within the cell, of about ``size`` points each: a crowded cell is many blocks."""
     sizes = points.groupBy("cell").agg(F.ceil(F.count("*") / size).alias("blocks"))
-    return points.join(F.broadcast(sizes), "cell").withColumn(
+    return points.join(sizes, "cell").withColumn(
         "block", F.pmod(F.xxhash64(key), F.col("blocks")).cast("int")
     ).drop("blocks")
 
@@ -230,7 +230,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     )
     # the data around a group's own pivot first
     own_blocks = data.groupBy("cell").agg((F.max("block") + 1).alias("n"))
-    home = reps.join(F.broadcast(own_blocks), "cell").select(
+    home = reps.join(own_blocks, "cell").select(
         "rep", "v", F.col("cell").alias("q_cell"), F.col("block").alias("q_block"), F.lit(None).cast("double").alias("worst"),
         "cell", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("block"),
     )
