@@ -27,6 +27,8 @@ from harrow.runtime import stabilise
 BITMAP_BYTES = 128
 # Elements of the sets that one verification task holds, about
 TASK_ELEMENTS = 500_000
+# Keys a task holds before it hands them on
+HELD = 2_000_000
 _WORDS_KEPT = 500_000
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
@@ -83,40 +85,107 @@ def band_top(band: int, percent: int) -> int:
 
 
 def part_keys(elements: np.ndarray, percent: int) -> np.ndarray:
-    """A key for each part of the set in the tile of its band and in the tile of the band above."""
+    """A key for each part of the set in the tile of its band and in the tile of the band above.
+
+    With ``spare`` parts more than differences plus one, similar sets agree in ``spare + 1`` parts; a set with no more than ``spare``
+    empty parts then agrees in one that is not empty and gives no keys for empty ones.
+    """
     band = band_of(len(elements), percent)
+    place, value = mixed(elements ^ np.uint64(0x5851F42D4C957F2D)), mixed(elements + np.uint64(1))
     keys = []
     for tile in (band, band + 1):
-        parts = differences(band_top(tile, percent), percent) + 1
-        part = (mixed(elements ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(parts)).astype(np.int64)
+        apart = differences(band_top(tile, percent), percent)
+        spare = 1 + apart // 25
+        parts = apart + 1 + spare
+        part = (place % np.uint64(parts)).astype(np.int64)
         sums = np.zeros(parts, np.uint64)
-        np.add.at(sums, part, mixed(elements + np.uint64(1)))
-        label = np.arange(parts, dtype=np.uint64) + np.uint64((tile + 1) << 32)
-        keys.append(mixed(mixed(label) + sums))
+        np.add.at(sums, part, value)
+        label = np.flatnonzero(np.bincount(part, minlength=parts)) if parts - len(np.unique(part)) <= spare else np.arange(parts)
+        keys.append(mixed(mixed(label.astype(np.uint64) + np.uint64((tile + 1) << 32)) + sums[label]))
     return np.concatenate(keys)
 
 
 def _sketch(n: int, percent: int):
     def sketch(batches):
         for part in slices(batches):
-            sizes, keys, maps = [], [], []
-            for text in part.column("text").to_pylist():
-                own = shingles(text, n)
-                sizes.append(len(own))
-                keys.append(part_keys(own, percent).view(np.int64) if len(own) else np.zeros(0, np.int64))
-                maps.append(bitmap(own).tobytes())
-            offsets = np.concatenate(([0], np.cumsum([len(k) for k in keys])))
+            sets = [shingles(text, n) for text in part.column("text").to_pylist()]
+            maps = np.concatenate([bitmap(x) for x in sets]).view(np.int64)
+            width = BITMAP_BYTES // 8
             yield pa.RecordBatch.from_arrays(
                 [
-                    part.column("tid"), part.column("first_doc"), pa.array(sizes, pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(keys))), pa.array(maps, pa.binary()),
+                    part.column("tid"), part.column("first_doc"), pa.array([len(x) for x in sets], pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * width, pa.int32()), pa.array(maps)),
                 ],
-                ["tid", "first_doc", "size", "keys", "bits"],
+                ["tid", "first_doc", "size", "bits"],
             )
 
     return sketch
 
 
+def _list_keys(n: int, percent: int, buckets: int):
+    """Keys of the texts by bucket. Of the sets that share a key inside the task only the smallest goes to the key's bucket (``sub`` 0);
+    they themselves go to one of many other groups with it as centre, so a key that a third of all sets have is spread."""
+
+    def rows(keys, tids):
+        code = ((keys >> np.uint64(32)) % np.uint64(buckets) << np.uint64(32)) | (keys & np.uint64(0xFFFFFFFF))
+        order = np.lexsort((tids, code))
+        code, tids = code[order], tids[order]
+        first = np.concatenate(([True], code[1:] != code[:-1]))
+        start = np.flatnonzero(first)
+        length = np.diff(np.append(start, len(code)))
+        center = np.repeat(tids[start], length)
+        many = np.repeat(length > 1, length)
+        sub = 1 + int(mixed(tids[:1].view(np.uint64))[0] % np.uint64(1 << 30))
+        for chosen, own_sub in ((first, 0), (many, sub)):
+            c, t, m = code[chosen], tids[chosen], center[chosen]
+            bucket = (c >> np.uint64(32)).astype(np.int64)
+            cut = np.flatnonzero(np.concatenate(([True], np.diff(bucket) != 0))) if len(c) else np.zeros(0, np.int64)
+            end = np.append(cut[1:], len(c))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(bucket[cut], pa.int64()), pa.array(np.full(len(cut), own_sub), pa.int64()),
+                    pa.array([(c[i:j] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() for i, j in zip(cut, end)], pa.binary()),
+                    pa.array([t[i:j].tobytes() for i, j in zip(cut, end)], pa.binary()),
+                    pa.array([m[i:j].tobytes() if own_sub else b"" for i, j in zip(cut, end)], pa.binary()),
+                ],
+                ["bucket", "sub", "keys", "tids", "centers"],
+            )
+
+    def listed(batches):
+        keys, tids, held = [], [], 0
+        for part in slices(batches):
+            for tid, text in zip(part.column("tid").to_pylist(), part.column("text").to_pylist()):
+                own = shingles(text, n)
+                if len(own):
+                    keys.append(part_keys(own, percent))
+                    tids.append(np.full(len(keys[-1]), tid, np.int64))
+                    held += len(keys[-1])
+            if held > HELD:
+                yield from rows(np.concatenate(keys), np.concatenate(tids))
+                keys, tids, held = [], [], 0
+        if held:
+            yield from rows(np.concatenate(keys), np.concatenate(tids))
+
+    return listed
+
+
+def _share(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """(``code`` of a key, ``tid``, ``center``) of the sets that share a key with another."""
+    keys = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("keys").to_pylist()]).astype(np.int64)
+    tids = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("tids").to_pylist()])
+    code = keys | (key[0].as_py() << 32)
+    if key[1].as_py():
+        center = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("centers").to_pylist()])
+    else:
+        order = np.lexsort((tids, code))
+        code, tids = code[order], tids[order]
+        start = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+        length = np.diff(np.append(start, len(code)))
+        many = np.repeat(length > 1, length)
+        code, tids, center = code[many], tids[many], np.repeat(tids[start], length)[many]
+    return pa.table({"code": pa.array(code, pa.int64()), "tid": pa.array(tids, pa.int64()), "center": pa.array(center, pa.int64())})
+
+
 def _verify(n: int, percent: int):
     """Links between each tile's centre and its members."""
 
@@ -148,7 +217,6 @@ def _verify(n: int, percent: int):
 
 def _links(pairs: DataFrame, texts: DataFrame, sizes: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (``center``, ``member``) that are links. A centre with many members is many tiles."""
-    pairs = stabilise(pairs)
     per_center = pairs.groupBy("center").agg(F.count("*").alias("members"))
     tiles = pairs.join(per_center, "center").select(
         "center", "member", F.pmod(F.xxhash64("member"), F.ceil(F.col("members") / 256)).alias("tile")
@@ -171,34 +239,34 @@ def similar(x: str, y: str, percent: int):
 
 def link_texts(texts: DataFrame, sketches: DataFrame, n: int, percent: int) -> DataFrame:
     """(``tid``, ``root``) of every set with a link: the smallest set that links reach."""
-    keys = sketches.select("tid", "size", F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("tid").alias("center"), F.max("tid").alias("last")).filter(F.col("center") < F.col("last"))
-    crowded = stabilise(keys.join(shared.select("key", "center"), "key"))
+    total = sketches.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    buckets = max(1, math.ceil(total / TASK_ELEMENTS))
+    listed = texts.select("tid", "text").mapInArrow(_list_keys(n, percent, buckets), "bucket long, sub long, keys binary, tids binary, centers binary")
+    shared = listed.groupBy("bucket", "sub").applyInArrow(_share, "code long, tid long, center long")
+    crowded = stabilise(shared)
     centers = sketches.select(F.col("tid").alias("center"), F.col("size").alias("center_size"))
-    met = crowded.filter(F.col("tid") != F.col("center")).groupBy("center", F.col("tid").alias("member"), "size").agg(F.lit(1).alias("_"))
-    pairs = met.join(centers, "center").filter(similar("size", "center_size", percent)).select("center", "member")
+    met = crowded.filter(F.col("tid") != F.col("center")).select("center", "tid").distinct()
+    pairs = stabilise(met.join(sketches.select("tid", "size"), "tid").withColumnRenamed("tid", "member").join(centers, "center").filter(similar("size", "center_size", percent)).select("center", "member"))
     first = stabilise(_links(pairs, texts, sketches, n, percent))
     # parts whose sets are not all connected yet: the rest of their pairs
     roots = components(first).withColumnRenamed("node", "tid")
-    labelled = crowded.join(roots, "tid", "left").select("key", "tid", "size", "center", F.coalesce("root", "tid").alias("root"))
-    apart = labelled.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter(F.col("r0") < F.col("r1"))
+    labelled = crowded.select("code", "tid").distinct().join(roots, "tid", "left").select("code", "tid", F.coalesce("root", "tid").alias("root"))
+    apart = labelled.groupBy("code").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter(F.col("r0") < F.col("r1"))
     apart = stabilise(apart)
     if apart.isEmpty():
         return roots
-    left = labelled.filter(F.col("tid") != F.col("center")).join(apart.select("key"), "key").join(sketches.select("tid", "bits"), "tid")
-    left = stabilise(left.select("key", "root", "tid", "size", "bits"))
-    right = left.select("key", *[F.col(c).alias(f"{c}_2") for c in ("root", "tid", "size", "bits")])
-    differ = sum(
-        F.bit_count(F.conv(F.hex(F.substring("bits", 1 + at, 7)), 16, 10).cast("long").bitwiseXOR(F.conv(F.hex(F.substring("bits_2", 1 + at, 7)), 16, 10).cast("long")))
-        for at in range(0, BITMAP_BYTES, 7)
-    )
+    left = labelled.join(apart.select("code"), "code").join(sketches.select("tid", "size", "bits"), "tid")
+    left = stabilise(left.select("code", "root", "tid", "size", "bits"))
+    right = left.select("code", *[F.col(c).alias(f"{c}_2") for c in ("root", "tid", "size", "bits")])
+    differ = sum(F.bit_count(F.col("bits")[k].bitwiseXOR(F.col("bits_2")[k])) for k in range(BITMAP_BYTES // 8))
     most = F.floor((F.col("size") + F.col("size_2") - differ) / 2)
     rest = (
-        left.join(right, "key").filter((F.col("root") < F.col("root_2")) & similar("size", "size_2", percent))
+        left.join(right, "code").filter((F.col("root") < F.col("root_2")) & similar("size", "size_2", percent))
         .filter(100 * most >= percent * (F.col("size") + F.col("size_2") - most))
         .select(F.least("tid", "tid_2").alias("center"), F.greatest("tid", "tid_2").alias("member")).distinct()
+        .join(pairs, ["center", "member"], "left_anti")
     )
-    return components(first.unionByName(_links(rest, texts, sketches, n, percent))).withColumnRenamed("node", "tid")
+    return components(first.unionByName(_links(stabilise(rest), texts, sketches, n, percent))).withColumnRenamed("node", "tid")
 
 
 def cluster(
@@ -215,7 +283,7 @@ def cluster(
         rows.groupBy(key.alias("key")).agg(F.min("doc_id").alias("first_doc"), F.first("text").alias("text"))
         .select(F.xxhash64("key").alias("tid"), "first_doc", "text")
     )
-    sketches = stabilise(texts.mapInArrow(_sketch(n, percent), "tid long, first_doc long, size long, keys array<long>, bits binary"))
+    sketches = stabilise(texts.mapInArrow(_sketch(n, percent), "tid long, first_doc long, size long, bits array<long>"))
     roots = link_texts(texts, sketches, n, percent)
     known = sketches.select("tid", "first_doc", "size").join(roots, "tid", "left").withColumn("root", F.coalesce("root", "tid"))
     order = F.struct(F.col("first_doc").isNull(), "first_doc", "tid")
