@@ -237,6 +237,13 @@ def similar(x: str, y: str, percent: int):
     return (100 * F.col(x) >= percent * F.col(y)) & (100 * F.col(y) >= percent * F.col(x))
 
 
+def plausible(pairs: DataFrame, percent: int) -> DataFrame:
+    """Pairs (``size``, ``bits``, ``size_2``, ``bits_2``) that sizes and bitmaps leave open."""
+    differ = sum(F.bit_count(F.col("bits")[k].bitwiseXOR(F.col("bits_2")[k])) for k in range(BITMAP_BYTES // 8))
+    most = F.floor((F.col("size") + F.col("size_2") - differ) / 2)
+    return pairs.filter(similar("size", "size_2", percent)).filter(100 * most >= percent * (F.col("size") + F.col("size_2") - most))
+
+
 def link_texts(texts: DataFrame, sketches: DataFrame, n: int, percent: int) -> DataFrame:
     """(``tid``, ``root``) of every set with a link: the smallest set that links reach."""
     total = sketches.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
@@ -244,9 +251,10 @@ def link_texts(texts: DataFrame, sketches: DataFrame, n: int, percent: int) -> D
     listed = texts.select("tid", "text").mapInArrow(_list_keys(n, percent, buckets), "bucket long, sub long, keys binary, tids binary, centers binary")
     shared = listed.groupBy("bucket", "sub").applyInArrow(_share, "code long, tid long, center long")
     crowded = stabilise(shared)
-    centers = sketches.select(F.col("tid").alias("center"), F.col("size").alias("center_size"))
-    met = crowded.filter(F.col("tid") != F.col("center")).select("center", "tid").distinct()
-    pairs = stabilise(met.join(sketches.select("tid", "size"), "tid").withColumnRenamed("tid", "member").join(centers, "center").filter(similar("size", "center_size", percent)).select("center", "member"))
+    members = sketches.select(F.col("tid").alias("member"), "size", "bits")
+    centers = sketches.select(F.col("tid").alias("center"), F.col("size").alias("size_2"), F.col("bits").alias("bits_2"))
+    met = crowded.filter(F.col("tid") != F.col("center")).select("center", F.col("tid").alias("member")).distinct()
+    pairs = stabilise(plausible(met.join(members, "member").join(centers, "center"), percent).select("center", "member"))
     first = stabilise(_links(pairs, texts, sketches, n, percent))
     # parts whose sets are not all connected yet: the rest of their pairs
     roots = components(first).withColumnRenamed("node", "tid")
@@ -258,11 +266,8 @@ def link_texts(texts: DataFrame, sketches: DataFrame, n: int, percent: int) -> D
     left = labelled.join(apart.select("code"), "code").join(sketches.select("tid", "size", "bits"), "tid")
     left = stabilise(left.select("code", "root", "tid", "size", "bits"))
     right = left.select("code", *[F.col(c).alias(f"{c}_2") for c in ("root", "tid", "size", "bits")])
-    differ = sum(F.bit_count(F.col("bits")[k].bitwiseXOR(F.col("bits_2")[k])) for k in range(BITMAP_BYTES // 8))
-    most = F.floor((F.col("size") + F.col("size_2") - differ) / 2)
     rest = (
-        left.join(right, "code").filter((F.col("root") < F.col("root_2")) & similar("size", "size_2", percent))
-        .filter(100 * most >= percent * (F.col("size") + F.col("size_2") - most))
+        plausible(left.join(right, "code").filter(F.col("root") < F.col("root_2")), percent)
         .select(F.least("tid", "tid_2").alias("center"), F.greatest("tid", "tid_2").alias("member")).distinct()
         .join(pairs, ["center", "member"], "left_anti")
     )
