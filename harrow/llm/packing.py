@@ -188,14 +188,15 @@ def reduce_dominated(counts: dict[int, int], capacity: int) -> tuple[list[tuple[
 
 def _best_pair(left: _Lengths, room: int, but: int) -> int:
     """Largest sum of two pieces within ``room``."""
-    lo, hi, best = 0, bisect_right(left.keys, room) - 1, 0
     own = lambda key: left.count[key] - (key == but)
+    keys = [key for key in left.keys if key <= room and own(key)]
+    lo, hi, best = 0, len(keys) - 1, 0
     while lo <= hi:
-        a, b = left.keys[lo], left.keys[hi]
+        a, b = keys[lo], keys[hi]
         if a + b > room:
             hi -= 1
             continue
-        if own(a) >= 1 + (a == b) and own(b) >= 1:
+        if lo < hi or own(a) > 1:
             best = max(best, a + b)
         lo += 1
     return best
