@@ -127,14 +127,18 @@ def x6_spikes(t: Tables) -> DataFrame:
     "x6_gap_filling",
     with_views(
         "daily",
-        ahead=f"select station_id, observation_date, temperature_mean as v, lead(observation_date) over ({_BY_DAY}) as nd, lead(temperature_mean) over ({_BY_DAY}) as nv from daily",
-        filled="select *, unnest(generate_series(0, case when nd-observation_date between 2 and 6 then nd-observation_date-1 else 0 end)) as k from ahead",
+        gappy="select station_id, observation_date, precipitation_daily, case when dayofyear(observation_date)%7>1 then temperature_mean end as v from daily",
+        ahead=f"select station_id, observation_date, v, lead(observation_date) over ({_BY_DAY}) as nd, lead(v) over ({_BY_DAY}) as nv from gappy where v is not null",
+        fills="select station_id as s, observation_date+cast(k as int) as d, v+(nv-v)*k/(nd-observation_date) as f from (select *, unnest(generate_series(1, nd-observation_date-1)) as k from ahead where nd-observation_date between 2 and 6)",
     )
-    + f"""select station_id, observation_date+cast(k as int) as observation_date, {sql_round('case when k=0 then v else v+(nv-v)*k/(nd-observation_date) end')} as temperature_mean,
-      k>0 as is_filled from filled""",
+    + f"""select coalesce(station_id, s) as station_id, coalesce(observation_date, d) as observation_date, {sql_round('precipitation_daily')} as precipitation_daily,
+      {sql_round('coalesce(v, f)')} as temperature_mean, v is null and f is not null as is_filled
+      from gappy full join fills on station_id=s and observation_date=d""",
 )
 def x6_gaps(t: Tables) -> DataFrame:
-    return rounded(series.fill_short_gaps(t.daily, *KEY, "temperature_mean"), "temperature_mean")
+    seen = F.when(F.dayofyear("observation_date") % 7 > 1, F.col("temperature_mean"))
+    days = t.daily.select(*KEY, "precipitation_daily", seen.alias("temperature_mean"))
+    return rounded(series.fill_short_gaps(days, *KEY, "temperature_mean"), "precipitation_daily", "temperature_mean")
 
 
 @query(

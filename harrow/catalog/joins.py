@@ -133,7 +133,7 @@ def j7(t: Tables) -> DataFrame:
 
 # --- sequences ---------------------------------------------------------------------------
 WEATHER = ["precipitation_daily", "temperature_mean", "relative_humidity"]
-_STEPS = "select * from (select *, row_number() over (partition by station_id order by observation_date) as i from daily) as t where i<=180"
+_STEPS = "select *, row_number() over (partition by station_id order by observation_date) as i from daily"
 
 
 @query(
@@ -144,7 +144,7 @@ _STEPS = "select * from (select *, row_number() over (partition by station_id or
     )
     + f"""select lens.station_id, s_nationkey, cast(n as int) as length, cast(k as int) as step, {', '.join(
         f'{sql_round(f"coalesce({w}, 0)")} as {w}' for w in WEATHER)}, {sql_round('target')} as target
-      from lens join (select unnest(generate_series(1, 180)) as k) as ks on true
+      from lens join (select unnest(generate_series(1, (select max(n) from lens))) as k) as ks on true
       left join steps on steps.station_id=lens.station_id and i=k
       join supplier on s_suppkey=lens.station_id
       join (select station_id, avg(yield_kg_ha) as target from obs group by 1) as y on y.station_id=lens.station_id""",

@@ -255,4 +255,3 @@ ENGINEERED_FEATURES = (
 WEATHER_SEQUENCE_FEATURES = (
     "temperature_min", "temperature_max", "precipitation_daily", "relative_humidity", "solar_radiation",
 )
-MAX_SEQUENCE_LENGTH = 180

@@ -76,16 +76,18 @@ def booleans_to_int(df: DataFrame) -> DataFrame:
     )
 
 
-def detect_target(df: DataFrame, wanted: str | None = None) -> str:
-    for name in (wanted, *TARGETS):
-        if name and name in df.columns:
-            return name
-    raise ValueError(f"No target column found. Expected '{wanted or TARGETS[0]}', '{TARGETS[0]}', or '{TARGETS[1]}'")
+def target_column(df: DataFrame, candidates: tuple[str, ...] = TARGETS) -> str:
+    """The first candidate that the table has."""
+    have = set(df.columns)
+    found = [name for name in candidates if name in have]
+    if not found:
+        raise ValueError(f"No target column among {', '.join(candidates)}")
+    return found[0]
 
 
 def model_columns(df: DataFrame, target: str | None = None, also_drop: tuple[str, ...] = ()) -> tuple[DataFrame, str]:
     """Features plus the target; leakage, identifiers, text and the other target go."""
-    target = detect_target(df, target)
+    target = target_column(df, (target, *TARGETS) if target else TARGETS)
     gone = set(LEAKAGE_COLUMNS) | set(ID_AND_TEXT_COLUMNS) | set(also_drop) | (set(TARGETS) - {target})
     return df.select(*[c for c in df.columns if c not in gone]), target
 
@@ -243,16 +245,17 @@ TABLE_DIGITS = {
 }
 
 
+# What identifies a row, the first key that a table has
+TABLE_KEYS = (("field_id",), ("sample_id",), ("station_id", "date"))
+
+
 def clean_table(df: DataFrame, kind: str, order: list[str]) -> DataFrame:
     """The three table types share the steps and differ in key, rules and rounding."""
     if kind not in TABLE_RULES:
         raise ValueError(f"Unknown table type '{kind}'. Available: {sorted(TABLE_RULES)}")
-    if "field_id" in df.columns:
-        df = first_per_key(df, "field_id", order)
-    elif "sample_id" in df.columns:
-        df = first_per_key(df, "sample_id", order)
-    elif {"station_id", "date"} <= set(df.columns):
-        df = first_per_key(df, ["station_id", "date"], order)
+    unique = next((list(key) for key in TABLE_KEYS if set(key) <= set(df.columns)), None)
+    if unique:
+        df = first_per_key(df, unique, order)
     for rule in TABLE_RULES[kind]:
         df = df.where(rule)
     if {"latitude", "longitude"} <= set(df.columns):

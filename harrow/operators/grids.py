@@ -102,20 +102,28 @@ def dry_run_counter(
 
 
 # --- zone boxes ------------------------------------------------------------------
-def _degrees(low: Column, high: Column, limit: int) -> Column:
-    low, high = F.greatest(F.floor(low), F.lit(-limit)), F.least(F.floor(high), F.lit(limit))
+def _degrees(low: Column, high: Column, least: int | None, most: int | None) -> Column:
+    """Degrees of a box that the data reach."""
+    low, high = F.greatest(F.floor(low), F.lit(least)), F.least(F.floor(high), F.lit(most))
     # an empty box yields no bucket at all
     return F.explode(F.when(low <= high, F.sequence(low.cast("int"), high.cast("int"))))
 
 
+def _extent(df: DataFrame, *names: str) -> list[int | None]:
+    """Lowest and highest whole degree of each coordinate; None for a table without one."""
+    row = df.agg(*[f(F.floor(n)).cast("int").alias(f"{n}_{k}") for n in names for k, f in enumerate((F.min, F.max))]).first()
+    return list(row)
+
+
 def zone_join(grid: DataFrame, zones: DataFrame, max_rows: int = BROADCAST_ROWS, salts: int = SALTS) -> DataFrame:
     """Cells x boxes that contain them (ends inclusive); overlapping boxes repeat a cell.
 
     Boxes are spread over the one-degree squares they touch, which turns the
     range join into an equality join plus an exact check.
     """
-    squares = zones.withColumn("_lat", _degrees(F.col("lat_min"), F.col("lat_max"), 90)).withColumn(
-        "_lon", _degrees(F.col("lon_min"), F.col("lon_max"), 180)
+    south, north, west, east = _extent(grid, "latitude", "longitude")
+    squares = zones.withColumn("_lat", _degrees(F.col("lat_min"), F.col("lat_max"), south, north)).withColumn(
+        "_lon", _degrees(F.col("lon_min"), F.col("lon_max"), west, east)
     )
     cells = grid.withColumn("_lat", F.floor("latitude").cast("int")).withColumn("_lon", F.floor("longitude").cast("int"))
     inside = F.col("latitude").between(F.col("lat_min"), F.col("lat_max")) & F.col("longitude").between(
@@ -133,11 +141,11 @@ def zonal_means(grid: DataFrame, zones: DataFrame, **options) -> DataFrame:
 
 
 # --- nearest cell --------------------------------------------------------------------
-def _axis_gaps(grid: DataFrame, name: str, limit: int) -> DataFrame:
+def _axis_gaps(grid: DataFrame, name: str) -> DataFrame:
     """One row per gap of a coordinate axis and per degree it touches: ``_lo <= x < _hi``.
 
-    Windows run inside one degree; only the first coordinate of each degree
-    (at most ``2 * limit + 1`` rows) is ordered as a whole.
+    An open end has the degree of its coordinate. Windows run inside one degree; only the first coordinate of
+    each degree is ordered as a whole.
     """
     axis = grid.select(F.col(name).alias("_lo")).where(F.col("_lo").isNotNull()).distinct()
     axis = axis.withColumn("_deg", F.floor("_lo").cast("int"))
@@ -148,20 +156,23 @@ def _axis_gaps(grid: DataFrame, name: str, limit: int) -> DataFrame:
     ).select("_lo", F.coalesce("_up", "_next").alias("_hi"))
     before = firsts.agg(F.min("_first").alias("_hi")).select(F.lit(None).cast("double").alias("_lo"), "_hi")
     touched = F.sequence(
-        F.coalesce(F.floor("_lo"), F.lit(-limit)).cast("int"), F.coalesce(F.floor("_hi"), F.lit(limit)).cast("int")
+        F.floor(F.coalesce("_lo", "_hi")).cast("int"), F.floor(F.coalesce("_hi", "_lo")).cast("int")
     )
     return gaps.unionByName(before).withColumn("_deg", F.explode(touched))
 
 
-def _nearest(points: DataFrame, grid: DataFrame, name: str, limit: int, max_rows: int) -> DataFrame:
+def _nearest(points: DataFrame, grid: DataFrame, name: str, max_rows: int) -> DataFrame:
     p = F.col(name)
     in_gap = (F.col("_lo").isNull() | (F.col("_lo") <= p)) & (F.col("_hi").isNull() | (p < F.col("_hi")))
-    gaps = _axis_gaps(grid, name, limit)
+    gaps = _axis_gaps(grid, name)
+    least, most = _extent(grid, name)
+    # a point beyond the axis meets the gap at its end
+    degree = F.least(F.greatest(F.floor(p), F.lit(least)), F.lit(most)).cast("int")
     low, high = p - F.col("_lo"), F.col("_hi") - p
     # a tie goes to the larger coordinate
     pick = F.when(F.col("_lo").isNull() | (high <= low), F.col("_hi")).otherwise(F.col("_lo"))
     return (
-        bucket_join(points.withColumn("_deg", F.floor(p).cast("int")), gaps, ["_deg"], in_gap, max_rows)
+        bucket_join(points.withColumn("_deg", F.when(p.isNotNull(), degree)), gaps, ["_deg"], in_gap, max_rows)
         .withColumn(f"cell_{name}", pick)
         .drop("_deg", "_lo", "_hi")
     )
@@ -169,8 +180,8 @@ def _nearest(points: DataFrame, grid: DataFrame, name: str, limit: int, max_rows
 
 def nearest_cells(points: DataFrame, grid: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Nearest latitude and nearest longitude of the grid for every point, chosen independently."""
-    out = _nearest(points, grid, "latitude", 90, max_rows)
-    return _nearest(out, grid, "longitude", 180, max_rows)
+    out = _nearest(points, grid, "latitude", max_rows)
+    return _nearest(out, grid, "longitude", max_rows)
 
 
 def point_timeseries(grid: DataFrame, points: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -4,8 +4,8 @@ A row's place is fixed by ``md5(key|seed)``. The n rows with the lowest hashes
 are found by counting hash prefixes, so no stratum is sorted in one task. The
 prefix that crosses the quota is split by longer prefixes until few rows share
 it, and only those are ranked. Rows that share
-a key share a hash and stay on one side; a tie that would exceed the quota is
-left out.
+a key share a hash and stay on one side of a split; a tie that would exceed the quota is
+left out there, and cut by the other columns in a sample.
 """
 
 from __future__ import annotations
@@ -128,7 +128,18 @@ def group_split(df: DataFrame, group: str = "agroecological_zone", share: float
 
 
 def bounded_sample(df: DataFrame, keys: list[str], n: int, seed: int = 42) -> DataFrame:
-    """At most ``n`` rows, the same ones on every run; all rows of a smaller table."""
-    return lowest_hashes(df, keys, seed, lambda _: F.lit(int(n))).where("selected").drop("selected")
-
+    """``n`` rows, the same ones on every run; all rows of a smaller table.
 
+    Of rows that share the key at the edge as many as are missing are taken, in the order of all their columns.
+    """
+    hashed = df.withColumn("_h", row_hash(keys, seed))
+    edge = _cutoffs(hashed.select("_h"), [], lambda _: F.lit(int(n))).first()
+    if edge is None:
+        return df
+    head = hashed.where(F.col("_h") <= F.lit(edge["_cut"]))
+    missing = n - head.count()
+    if missing:
+        tied = hashed.where(F.col("_h") > F.lit(edge["_cut"])).agg(F.min("_h").alias("h")).first()["h"]
+        rest = hashed.where(F.col("_h") == F.lit(tied)).orderBy(F.to_json(F.struct(*df.columns))).limit(missing)
+        head = head.unionByName(rest)
+    return head.drop("_h")

@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from harrow.functions.constants import MAX_SEQUENCE_LENGTH
 from harrow.functions.nulls import clip
 from harrow.operators.lookup import lookup_join, with_group_stats
 
@@ -22,23 +21,22 @@ def daily_series(df: DataFrame, station: str, date: str, aggregates: dict[str, C
 
 # --- model sequences ------------------------------------------------------------
 def weather_sequences(
-    df: DataFrame, key: str, date: str, features: list[str], max_length: int = MAX_SEQUENCE_LENGTH
+    df: DataFrame, key: str, date: str, features: list[str], max_length: int | None = None
 ) -> DataFrame:
-    """``sequence`` (max_length x features, zero padded) and its real ``length`` per key.
+    """``sequence`` (steps x features, zero padded to the longest record) and its real ``length`` per key.
 
-    The first ``max_length`` days are picked by a row number, which Spark limits
-    before the shuffle; only those rows are ever collected into an array.
+    Every day counts. With ``max_length`` all sequences have that many steps, and a longer record is an error.
     """
     step = F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features])
-    first_days = Window.partitionBy(key).orderBy(date)
-    picked = df.withColumn("_i", F.row_number().over(first_days)).where(F.col("_i") <= max_length)
-    lists = picked.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_i", step.alias("v")))).alias("_steps"))
-    padding = F.array_repeat(F.array(*[F.lit(0.0) for _ in features]), F.lit(max_length) - F.size("_steps"))
-    return lists.select(
-        key,
-        F.concat(F.transform("_steps", lambda s: s["v"]), padding).alias("sequence"),
-        F.size("_steps").alias("length"),
-    )
+    lists = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(date).alias("d"), step.alias("v")))).alias("_steps"))
+    size = F.size("_steps")
+    if max_length is None:
+        steps = F.lit(df.groupBy(key).count().agg(F.max("count").alias("n")).first()["n"] or 0)
+    else:
+        too_long = F.raise_error(F.format_string(f"a record of %d days is longer than {max_length}", size)).cast("int")
+        steps = F.when(size > max_length, too_long).otherwise(F.lit(max_length))
+    padding = F.array_repeat(F.array(*[F.lit(0.0) for _ in features]), steps - size)
+    return lists.select(key, F.concat(F.transform("_steps", lambda s: s["v"]), padding).alias("sequence"), size.alias("length"))
 
 
 def sequence_samples(static: DataFrame, sequences: DataFrame, targets: DataFrame, key: str) -> DataFrame:
@@ -166,27 +164,35 @@ def flag_spikes(df: DataFrame, station: str, value: str, sigmas: float = 3.0) ->
 
 
 def fill_short_gaps(df: DataFrame, station: str, date: str, value: str, max_gap: int = 5) -> DataFrame:
-    """Insert the missing days of gaps up to ``max_gap`` by linear interpolation (``is_filled``)."""
-    known = df.where(F.col(value).isNotNull()).select(station, date, F.col(value).cast("double").alias(value))
+    """Fill the days without a value in gaps up to ``max_gap`` by linear interpolation (``is_filled``).
+
+    Every row and column stays: days of longer or open-ended gaps keep their missing value, and days
+    that have no row are inserted with nothing but station, date and value.
+    """
+    known = df.where(F.col(value).isNotNull()).select(station, date, F.col(value).cast("double").alias(value)).distinct()
     ahead = Window.partitionBy(station).orderBy(date)
     span = F.datediff("_date", date)
-    offsets = F.when(
-        (span > 1) & (span - 1 <= max_gap), F.sequence(F.lit(0), span - 1)
-    ).otherwise(F.array(F.lit(0)))
-    return (
+    fills = (
         known.withColumn("_date", F.lead(date).over(ahead))
         .withColumn("_value", F.lead(value).over(ahead))
         .withColumn("_span", span)
-        .withColumn("_k", F.explode(offsets))
+        .where((F.col("_span") > 1) & (F.col("_span") - 1 <= max_gap))
+        .withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_span") - 1)))
         .select(
-            station,
-            F.date_add(date, F.col("_k")).alias(date),
-            F.when(F.col("_k") == 0, F.col(value))
-            .otherwise(F.col(value) + (F.col("_value") - F.col(value)) * F.col("_k") / F.col("_span"))
-            .alias(value),
-            (F.col("_k") > 0).alias("is_filled"),
+            F.col(station).alias("_fill_station"),
+            F.date_add(date, F.col("_k")).alias("_fill_date"),
+            (F.col(value) + (F.col("_value") - F.col(value)) * F.col("_k") / F.col("_span")).alias("_fill"),
         )
     )
+    same = (F.col(station) == F.col("_fill_station")) & (F.col(date) == F.col("_fill_date"))
+    filled = {
+        station: F.coalesce(station, "_fill_station"), date: F.coalesce(date, "_fill_date"),
+        value: F.coalesce(F.col(value).cast("double"), "_fill"),
+    }
+    return df.join(fills, same, "full").select(
+        *[filled.get(c, F.col(c)).alias(c) for c in df.columns],
+        (F.col(value).isNull() & F.col("_fill").isNotNull()).alias("is_filled"),
+    )
 
 
 def water_balance(df: DataFrame, station: str, date: str, rain: str, et0: str, kc: Column) -> DataFrame:

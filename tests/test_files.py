@@ -111,9 +111,9 @@ def test_targets(spark):
     df = spark.createDataFrame([(1.0, 2.0, 3.0, "a")], "yield_tha double, yield_kg_ha double, latitude double, crop_name string")
     table, target = cleaning.model_columns(df)
     assert target == "yield_tha" and table.columns == ["yield_tha", "latitude"]
-    assert cleaning.detect_target(df, "yield_kg_ha") == "yield_kg_ha"
+    assert cleaning.target_column(df, ("yield_kg_ha",)) == "yield_kg_ha"
     with pytest.raises(ValueError, match="No target column"):
-        cleaning.detect_target(df.select("latitude"))
+        cleaning.target_column(df.select("latitude"))
 
 
 def test_medians_are_reused(spark):

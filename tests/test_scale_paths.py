@@ -4,6 +4,8 @@ import random
 from collections import defaultdict
 
 import numpy as np
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,7 +13,8 @@ from harrow.operators import grids, sampling
 from harrow.operators.cleaning import first_per_key
 from harrow.operators.lookup import bounded, lookup_join, with_group_stats
 from harrow.operators.quantiles import exact_percentiles
-from harrow.operators.series import weather_sequences
+from harrow.runtime import release, shared_folder, stabilise
+from harrow.operators.series import fill_short_gaps, weather_sequences
 
 
 def same(a, b):
@@ -136,15 +139,46 @@ def test_first_per_key_limits_before_the_shuffle(spark, skewed, capsys):
     assert plan.where("k = 7").first()["id"] == 0
 
 
-def test_sequences_limit_before_the_shuffle(spark, capsys):
-    df = spark.range(500).selectExpr("id % 1 as k", "date_add(date'2020-01-01', cast(id as int)) as d", "cast(id as double) as x")
-    sequences = weather_sequences(df, "k", "d", ["x"], 180)
-    sequences.explain()
-    assert "WindowGroupLimit" in capsys.readouterr().out
-    row = sequences.first()
-    assert row["length"] == 180 and [s[0] for s in row["sequence"]] == [float(i) for i in range(180)]
+def test_sequences_keep_every_day(spark):
+    df = spark.range(500).selectExpr("id % 400 div 399 as k", "date_add(date'2020-01-01', cast(id as int)) as d", "cast(id as double) as x")
+    rows = {r["k"]: r for r in weather_sequences(df, "k", "d", ["x"]).collect()}
+    assert rows[0]["length"] == 499 and [s[0] for s in rows[0]["sequence"]] == [float(i) for i in range(500) if i != 399]
+    assert rows[1]["length"] == 1 and len(rows[1]["sequence"]) == 499 and rows[1]["sequence"][1] == [0.0]
     short = weather_sequences(df.limit(3), "k", "d", ["x"], 5).first()
     assert short["length"] == 3 and [s[0] for s in short["sequence"]] == [0.0, 1.0, 2.0, 0.0, 0.0]
+    with pytest.raises(Exception, match="is longer than 180"):
+        weather_sequences(df, "k", "d", ["x"], 180).collect()
+
+
+def test_gaps_keep_rows_and_columns(spark):
+    days = spark.createDataFrame(
+        [("a", 1, 1.0, "x"), ("a", 3, 3.0, "y"), ("a", 4, None, "z"), ("a", 5, 5.0, "u"), ("a", 12, None, "v"), ("a", 20, 9.0, "w"), (None, 2, None, "n")],
+        "s string, n int, v double, note string",
+    ).selectExpr("s", "date_add(date'2020-01-01', n) as d", "v", "note")
+    rows = sorted(((r["s"], r["d"].day, r["v"], r["note"], r["is_filled"]) for r in fill_short_gaps(days, "s", "d", "v").collect()), key=str)
+    assert rows == sorted([
+        ("a", 2, 1.0, "x", False), ("a", 3, 2.0, None, True), ("a", 4, 3.0, "y", False), ("a", 5, 4.0, "z", True), ("a", 6, 5.0, "u", False),
+        ("a", 13, None, "v", False), ("a", 21, 9.0, "w", False), (None, 3, None, "n", False),
+    ], key=str)
+
+
+def test_sample_takes_its_number_from_ties(spark):
+    one_key = spark.range(10).selectExpr("1 as key", "id")
+    picked = [r["id"] for r in sampling.bounded_sample(one_key, ["key"], 5).collect()]
+    assert sorted(picked) == [0, 1, 2, 3, 4]
+    some = spark.range(100).selectExpr("id % 4 as key", "id")
+    assert sampling.bounded_sample(some, ["key"], 60).count() == 60 and sampling.bounded_sample(some, ["key"], 200).count() == 100
+
+
+def test_coordinates_beyond_half_circles(spark):
+    cells = spark.createDataFrame([(t, 0.5, lon, 1.0) for t in (1, 2) for lon in (169.5, 170.0, 200.5)], "time int, latitude double, longitude double, v double")
+    boxes = spark.createDataFrame([("east", -5.0, 5.0, 190.0, 210.0)], "zone string, lat_min double, lat_max double, lon_min double, lon_max double")
+    assert {r["longitude"] for r in grids.zone_join(cells, boxes).collect()} == {200.5}
+    points = spark.createDataFrame([(1, 0.0, 190.0), (2, 80.0, 300.0), (3, -80.0, -20.0)], "point_id int, latitude double, longitude double")
+    near = {r["point_id"]: r["cell_longitude"] for r in grids.nearest_cells(points, cells).collect()}
+    assert near == {1: 200.5, 2: 200.5, 3: 169.5}
+    west = cells.where("longitude < 180")
+    assert {r["cell_longitude"] for r in grids.nearest_cells(points.where("point_id = 1"), west).collect()} == {170.0}
 
 
 # --- grids --------------------------------------------------------------------------------
@@ -229,3 +263,31 @@ def test_merge_keeps_cells_of_any_variable(spark):
     b = spark.range(2, 5).selectExpr(*key.split(", "), "2.0D b")
     rows = {r["latitude"]: (r["a"], r["b"]) for r in grids.merge_variables([a, b]).collect()}
     assert rows == {0.0: (1.0, None), 1.0: (1.0, None), 2.0: (1.0, 2.0), 3.0: (None, 2.0), 4.0: (None, 2.0)}
+
+
+# --- scratch folder -------------------------------------------------------------------------
+def test_stages_are_released(spark):
+    stage = stabilise(spark.range(5))
+    assert stage.count() == 5
+    release(stage)
+    assert not Path(stage._harrow_stage).exists()
+    with pytest.raises(ValueError):
+        release(spark.range(1))
+
+
+def test_a_cluster_names_its_folder(monkeypatch, spark):
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return {}
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Session())
