@@ -6,7 +6,7 @@ candidates. In a tile that allows d differences the elements are dealt into d +
 in one whole part, so only sets with an equal part are compared. The parity bitmap of a set's hashes comes first: each
 bit in which two bitmaps differ is an element that only one set has, which bounds the overlap from above. What passes is intersected exactly.
 
-A part that many sets share is not expanded into pairs: its sets are compared with its smallest member, and after the
+Tiles have parts to spare, so that every set passes over its most common ones. A part that many sets share is not expanded into pairs: its sets are compared with its smallest member, and after the
 links found so far are joined into components only members of different components meet.
 """
 
@@ -17,7 +17,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from harrow.llm.common import column_names, slices, text_key, text_or_empty
@@ -84,25 +84,26 @@ def band_top(band: int, percent: int) -> int:
     return math.ceil((100 / percent) ** (band + 1) * (1 + 1e-9))
 
 
-def part_keys(elements: np.ndarray, percent: int) -> np.ndarray:
-    """A key for each part of the set in the tile of its band and in the tile of the band above.
+def part_keys(elements: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """A key for each part of the set in the tile of its band and in the tile of the band above, and what may be skipped there.
 
-    With ``spare`` parts more than differences plus one, similar sets agree in ``spare + 1`` parts; a set with no more than ``spare``
-    empty parts then agrees in one that is not empty and gives no keys for empty ones.
+    With ``spare`` parts more than differences plus one, similar sets agree in ``spare + 1`` parts. Each may then pass over the
+    ``spare`` keys that most sets have: the least common key of those they share is among the kept ones of both. The second number of
+    a key is twice ``spare``, plus one in the tile above.
     """
     band = band_of(len(elements), percent)
     place, value = mixed(elements ^ np.uint64(0x5851F42D4C957F2D)), mixed(elements + np.uint64(1))
-    keys = []
-    for tile in (band, band + 1):
-        apart = differences(band_top(tile, percent), percent)
-        spare = 1 + apart // 25
+    keys, skips = [], []
+    for above in (0, 1):
+        apart = differences(band_top(band + above, percent), percent)
+        spare = 1 + apart // 3
         parts = apart + 1 + spare
         part = (place % np.uint64(parts)).astype(np.int64)
         sums = np.zeros(parts, np.uint64)
         np.add.at(sums, part, value)
-        label = np.flatnonzero(np.bincount(part, minlength=parts)) if parts - len(np.unique(part)) <= spare else np.arange(parts)
-        keys.append(mixed(mixed(label.astype(np.uint64) + np.uint64((tile + 1) << 32)) + sums[label]))
-    return np.concatenate(keys)
+        keys.append(mixed(mixed(np.arange(parts, dtype=np.uint64) + np.uint64((band + above + 1) << 32)) + sums))
+        skips.append(np.full(parts, 2 * spare + above, np.int32))
+    return np.concatenate(keys), np.concatenate(skips)
 
 
 def _sketch(n: int, percent: int):
@@ -124,20 +125,19 @@ def _sketch(n: int, percent: int):
 
 def _list_keys(n: int, percent: int, buckets: int):
     """Keys of the texts by bucket. Of the sets that share a key inside the task only the smallest goes to the key's bucket (``sub`` 0);
-    they themselves go to one of many other groups with it as centre, so a key that a third of all sets have is spread."""
+    they themselves go to one of many other groups, so a key that a third of all sets have is spread."""
 
-    def rows(keys, tids):
+    def rows(keys, tids, skips):
         code = ((keys >> np.uint64(32)) % np.uint64(buckets) << np.uint64(32)) | (keys & np.uint64(0xFFFFFFFF))
         order = np.lexsort((tids, code))
-        code, tids = code[order], tids[order]
+        code, tids, skips = code[order], tids[order], skips[order]
         first = np.concatenate(([True], code[1:] != code[:-1]))
         start = np.flatnonzero(first)
         length = np.diff(np.append(start, len(code)))
-        center = np.repeat(tids[start], length)
         many = np.repeat(length > 1, length)
         sub = 1 + int(mixed(tids[:1].view(np.uint64))[0] % np.uint64(1 << 30))
         for chosen, own_sub in ((first, 0), (many, sub)):
-            c, t, m = code[chosen], tids[chosen], center[chosen]
+            c, t, m = code[chosen], tids[chosen], skips[chosen]
             bucket = (c >> np.uint64(32)).astype(np.int64)
             cut = np.flatnonzero(np.concatenate(([True], np.diff(bucket) != 0))) if len(c) else np.zeros(0, np.int64)
             end = np.append(cut[1:], len(c))
@@ -146,44 +146,43 @@ def _list_keys(n: int, percent: int, buckets: int):
                     pa.array(bucket[cut], pa.int64()), pa.array(np.full(len(cut), own_sub), pa.int64()),
                     pa.array([(c[i:j] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() for i, j in zip(cut, end)], pa.binary()),
                     pa.array([t[i:j].tobytes() for i, j in zip(cut, end)], pa.binary()),
-                    pa.array([m[i:j].tobytes() if own_sub else b"" for i, j in zip(cut, end)], pa.binary()),
+                    pa.array([m[i:j].tobytes() for i, j in zip(cut, end)], pa.binary()),
                 ],
-                ["bucket", "sub", "keys", "tids", "centers"],
+                ["bucket", "sub", "keys", "tids", "skips"],
             )
 
     def listed(batches):
-        keys, tids, held = [], [], 0
+        held, count = [], 0
         for part in slices(batches):
             for tid, text in zip(part.column("tid").to_pylist(), part.column("text").to_pylist()):
                 own = shingles(text, n)
                 if len(own):
-                    keys.append(part_keys(own, percent))
-                    tids.append(np.full(len(keys[-1]), tid, np.int64))
-                    held += len(keys[-1])
-            if held > HELD:
-                yield from rows(np.concatenate(keys), np.concatenate(tids))
-                keys, tids, held = [], [], 0
+                    keys, skips = part_keys(own, percent)
+                    held.append((keys, np.full(len(keys), tid, np.int64), skips))
+                    count += len(keys)
+            if count > HELD:
+                yield from rows(*map(np.concatenate, zip(*held)))
+                held, count = [], 0
         if held:
-            yield from rows(np.concatenate(keys), np.concatenate(tids))
+            yield from rows(*map(np.concatenate, zip(*held)))
 
     return listed
 
 
 def _share(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """(``code`` of a key, ``tid``, ``center``) of the sets that share a key with another."""
+    """(``code`` of a key, ``tid``, ``skip``) of the sets that share a key with another."""
     keys = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("keys").to_pylist()]).astype(np.int64)
     tids = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("tids").to_pylist()])
+    skips = np.concatenate([np.frombuffer(x, np.int32) for x in table.column("skips").to_pylist()])
     code = keys | (key[0].as_py() << 32)
-    if key[1].as_py():
-        center = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("centers").to_pylist()])
-    else:
-        order = np.lexsort((tids, code))
-        code, tids = code[order], tids[order]
+    if not key[1].as_py():
+        order = np.argsort(code, kind="stable")
+        code, tids, skips = code[order], tids[order], skips[order]
         start = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
         length = np.diff(np.append(start, len(code)))
         many = np.repeat(length > 1, length)
-        code, tids, center = code[many], tids[many], np.repeat(tids[start], length)[many]
-    return pa.table({"code": pa.array(code, pa.int64()), "tid": pa.array(tids, pa.int64()), "center": pa.array(center, pa.int64())})
+        code, tids, skips = code[many], tids[many], skips[many]
+    return pa.table({"code": pa.array(code, pa.int64()), "tid": pa.array(tids, pa.int64()), "skip": pa.array(skips, pa.int32())})
 
 
 def _verify(n: int, percent: int):
@@ -248,9 +247,16 @@ def link_texts(texts: DataFrame, sketches: DataFrame, n: int, percent: int) -> D
     """(``tid``, ``root``) of every set with a link: the smallest set that links reach."""
     total = sketches.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     buckets = max(1, math.ceil(total / TASK_ELEMENTS))
-    listed = texts.select("tid", "text").mapInArrow(_list_keys(n, percent, buckets), "bucket long, sub long, keys binary, tids binary, centers binary")
-    shared = listed.groupBy("bucket", "sub").applyInArrow(_share, "code long, tid long, center long")
-    crowded = stabilise(shared)
+    listed = texts.select("tid", "text").mapInArrow(_list_keys(n, percent, buckets), "bucket long, sub long, keys binary, tids binary, skips binary")
+    shared = listed.groupBy("bucket", "sub").applyInArrow(_share, "code long, tid long, skip int")
+    shared = stabilise(shared.distinct())
+    # each set passes over its most common keys, as many as its tile spares
+    common = shared.groupBy("code").agg(F.count("*").alias("sets"))
+    mine = Window.partitionBy("tid", "skip").orderBy(F.desc("sets"), F.desc("code"))
+    kept = shared.join(common, "code").withColumn("place", F.row_number().over(mine)).filter(F.col("place") > F.shiftright("skip", 1))
+    kept = stabilise(kept.select("code", "tid"))
+    centers = kept.groupBy("code").agg(F.min("tid").alias("center"), F.max("tid").alias("last")).filter(F.col("center") < F.col("last"))
+    crowded = stabilise(kept.join(centers.select("code", "center"), "code"))
     members = sketches.select(F.col("tid").alias("member"), "size", "bits")
     centers = sketches.select(F.col("tid").alias("center"), F.col("size").alias("size_2"), F.col("bits").alias("bits_2"))
     met = crowded.filter(F.col("tid") != F.col("center")).select("center", F.col("tid").alias("member")).distinct()
