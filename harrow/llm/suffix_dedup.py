@@ -31,10 +31,10 @@ from harrow.runtime import stabilise
 
 GRAM = 16
 # Bytes of text in a group of documents, and bytes handled at once inside it
-GROUP_BYTES = 12 << 20
-STEP_BYTES = 1 << 20
+GROUP_BYTES = 4 << 20
+STEP_BYTES = 1 << 19
 # Numbers a task holds before it hands them on
-HELD = 3 << 20
+HELD = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
@@ -410,7 +410,7 @@ def _find_repeats(size: int):
     return find
 
 
-def _number_steps(number: np.ndarray, starts: np.ndarray, most: int = 1 << 21):
+def _number_steps(number: np.ndarray, starts: np.ndarray, most: int = 1 << 19):
     """Slices of runs, whole numbers each, of about ``most`` starts."""
     if not len(number):
         return
