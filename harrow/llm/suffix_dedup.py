@@ -89,7 +89,7 @@ class Hashes:
             back[1:] = np.cumprod(np.full(len(data), np.uint64(pow(int(_BASE), -1, 1 << 64))))
             self.prefix = np.zeros(len(data) + 1, np.uint64)
             self.prefix[1:] = np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:-1])
-        self.back = back
+        self.back, self.eight = back, _words8(data)
 
     def of(self, at: np.ndarray, length) -> np.ndarray:
         return (self.prefix[at + length] - self.prefix[at]) * self.back[at]
@@ -112,14 +112,15 @@ def _words8(data: np.ndarray) -> np.ndarray:
     return np.ndarray(max(0, len(data) - 7), ">u8", data.tobytes(), strides=(1,))
 
 
-def sort_suffixes(data: np.ndarray, at: np.ndarray, shard: np.ndarray, size: int) -> np.ndarray:
+def sort_suffixes(data: np.ndarray, at: np.ndarray, shard: np.ndarray, size: int, hashes: Hashes | None = None) -> np.ndarray:
     """Order of the suffixes ``at`` by ``shard``, then by their first ``size`` bytes (stable)."""
-    eight = _words8(data)[at].astype(np.uint64)
+    hashes = hashes or Hashes(data)
+    eight = hashes.eight[at].astype(np.uint64)
     order = np.lexsort((eight, shard))
     split = np.flatnonzero((np.diff(shard[order]) != 0) | (np.diff(eight[order].view(np.int64)) != 0)) + 1
     begin = np.concatenate(([0], split))
     length = np.diff(np.append(begin, len(order)))
-    hashes, width = Hashes(data), 1
+    width = 1
     while width < length.max(initial=0):
         # merge neighbouring sorted stretches of ``width`` inside each bucket that is longer
         long = length > width
@@ -161,12 +162,12 @@ def _spans(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 def least_document(data: np.ndarray, at: np.ndarray, shard: np.ndarray, doc: np.ndarray, size: int) -> np.ndarray:
     """For each suffix the smallest document that has one with the same ``size`` first bytes."""
-    order = sort_suffixes(data, at, shard, size)
+    hashes = Hashes(data)
+    order = sort_suffixes(data, at, shard, size, hashes)
     a, b = at[order[:-1]], at[order[1:]]
     near = shard[order[:-1]] == shard[order[1:]]
-    hashes = Hashes(data)
     claimed = near & (hashes.of(a, size) == hashes.of(b, size))
-    eight = _words8(data)
+    eight = hashes.eight
     same = claimed.copy()
     for k in [*range(0, size - 8, 8), size - 8]:
         same &= eight[a + k] == eight[b + k]
@@ -278,13 +279,16 @@ def _tell_shared(table: pa.Table) -> pa.Table:
     else:
         low, high = np.minimum.reduceat(texts[order], start), np.maximum.reduceat(texts[order], start)
         shared = flat[order][start][low != high]
+    at = np.minimum(np.searchsorted(shared, flat), max(0, len(shared) - 1))
+    told = shared[at] == flat if len(shared) else np.zeros(len(flat), bool)
+    ends = np.cumsum([len(x) for x in numbers])
     out = {"grp": [], "shard": [], "numbers": []}
-    for shard, grp, own in zip(table.column("shard").to_pylist(), table.column("grp").to_pylist(), numbers):
-        mine = np.unique(own[np.isin(own, shared)])
+    for shard, grp, own, end in zip(table.column("shard").to_pylist(), table.column("grp").to_pylist(), numbers, ends):
+        mine = own[told[end - len(own) : end]]
         if len(mine):
             out["grp"].append(grp)
             out["shard"].append(shard)
-            out["numbers"].append(mine.tobytes())
+            out["numbers"].append(np.unique(mine).tobytes())
     return pa.table({"grp": pa.array(out["grp"], pa.int64()), "shard": pa.array(out["shard"], pa.int32()), "numbers": pa.array(out["numbers"], pa.binary())})
 
 
@@ -387,20 +391,25 @@ def _find_repeats(size: int):
         found: dict[int, list[np.ndarray]] = {}
         for some in _number_steps(number[chosen], (length - size + 1)[chosen]):
             run = chosen[some]
-            count = (length - size + 1)[run]
-            at = _spans(begin[run], count)
-            owner = np.repeat(run, count)
-            least = least_document(text, at, number[owner].astype(np.int64), rank[owner], size) if len(at) else at
-            repeated = least < rank[owner]
+            data = text[_spans(begin[run], length[run])]
+            local = np.cumsum(length[run]) - length[run]
+            count = length[run] - size + 1
+            at, owner = _spans(local, count), np.repeat(np.arange(len(run)), count)
+            least = least_document(data, at, number[run].astype(np.int64)[owner], rank[run][owner], size)
+            repeated = least < rank[run][owner]
             at, owner = at[repeated], owner[repeated]
             if not len(at):
                 continue
             split = np.flatnonzero((np.diff(at) != 1) | (np.diff(owner) != 0)) + 1
             first, last = np.concatenate(([0], split)), np.append(split, len(at)) - 1
-            who = owner[first]
-            stretch = np.stack([place[who, 0], place[who, 1] + at[first] - begin[who], place[who, 1] + at[last] - begin[who] + size], axis=1).astype(np.int32)
-            for group in np.unique(source[who]):
-                found.setdefault(int(group), []).append(stretch[source[who] == group])
+            own = owner[first]
+            who = run[own]
+            shift = place[who, 1] - local[own]
+            stretch = np.stack([place[who, 0], shift + at[first], shift + at[last] + size], axis=1).astype(np.int32)
+            order = np.argsort(source[who], kind="stable")
+            cut = np.flatnonzero(np.diff(source[who][order])) + 1
+            for rows in np.split(order, cut):
+                found.setdefault(int(source[who[rows[0]]]), []).append(stretch[rows])
         groups = sorted(found)
         return pa.table({
             "grp": pa.array([columns["grp"][g] for g in groups], pa.int64()),
