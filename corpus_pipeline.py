@@ -1,8 +1,8 @@
 """The corpus pipeline: from documents to packed sequences in five stages.
 
 Each stage reads what its predecessor kept, written as Parquet. All but the last return the columns of ``documents``; the last
-returns one row per piece of a document with its place in a sequence. SQL cannot express the chain (tokens, language profiles), so the
-tests hold it against plain Python stages.
+returns one row per piece of a document with its place in a sequence. SQL cannot express the chain (tokens, language profiles);
+its operators are tested one by one, the chain itself for columns and odd rows only.
 """
 
 from __future__ import annotations
