@@ -262,6 +262,70 @@ def x11(t: Tables) -> DataFrame:
     return validate(table, schemas.CROP_FILES["cereals"]).select(*ROW, "is_valid", F.array_join("errors", "; ").alias("errors"))
 
 
+def _crop_file(group: str, columns: dict[str, str], tests: list[tuple[str, str]]) -> None:
+    """Judge ``obs`` read as the crop file of a group; the limits of the SQL stand here a second time."""
+    source = [f"{e} as {n}" for n, e in columns.items()]
+
+    @query(
+        f"x11_{group}_file",
+        with_views("obs", src=f"select {ROW_SQL}, {', '.join(source)} from obs")
+        + f"select {ROW_SQL}, errors='' as is_valid, errors from (select *, {errors_sql(tests)} as errors from src) as t",
+    )
+    def judged(t: Tables) -> DataFrame:
+        table = validate(t.obs.selectExpr(*ROW, *source), schemas.CROP_FILES[group])
+        return table.select(*ROW, "is_valid", F.array_join("errors", "; ").alias("errors"))
+
+
+_crop_file(
+    "vegetables",
+    {
+        "crop_type": "case when part_id%4=0 then 'okra' when part_id%4=1 then 'tomato' when part_id%4=2 then 'leek' end",
+        "plant_support": "case when part_id%3=0 then 'cages' else 'wires' end", "harvest_frequency": "cast(part_id%25 as int)",
+        "brix_content": "disease_incidence/5e0", "shelf_life_days": "cast(station_id%40 as int)",
+    },
+    [
+        ("crop_type not in ('tomato', 'pepper', 'onion', 'cabbage', 'carrot', 'lettuce', 'cucumber', 'okra')", "crop_type: not an allowed value"),
+        ("plant_support not in ('none', 'stakes', 'trellis', 'cages')", "plant_support: not an allowed value"),
+        ("harvest_frequency<1 or harvest_frequency>20", "harvest_frequency: outside [1, 20]"),
+        ("brix_content<3 or brix_content>12", "brix_content: outside [3, 12]"),
+        ("shelf_life_days<1 or shelf_life_days>30", "shelf_life_days: outside [1, 30]"),
+    ],
+)
+_crop_file(
+    "root_tubers",
+    {
+        "crop_type": "crop_name", "propagation_material": "case when part_id%3=0 then 'true_seeds' when part_id%3=1 then 'cloves' end",
+        "plant_spacing_cm": "disease_incidence*2e0", "storage_root_yield_tha": "yield_kg_ha/100e0", "fiber_content": "harvest_index*10e0",
+        "storage_duration_days": "cast(elevation as int)", "post_harvest_losses": "clay_percentage",
+    },
+    [
+        ("crop_type not in ('cassava', 'sweet_potato', 'yam', 'potato')", "crop_type: not an allowed value"),
+        ("propagation_material not in ('stem_cuttings', 'vine_cuttings', 'tuber_pieces', 'whole_tubers', 'true_seeds')", "propagation_material: not an allowed value"),
+        ("plant_spacing_cm<20 or plant_spacing_cm>150", "plant_spacing_cm: outside [20, 150]"),
+        ("storage_root_yield_tha<1 or storage_root_yield_tha>50", "storage_root_yield_tha: outside [1, 50]"),
+        ("fiber_content<0.5e0 or fiber_content>5", "fiber_content: outside [0.5, 5]"),
+        ("storage_duration_days<1 or storage_duration_days>365", "storage_duration_days: outside [1, 365]"),
+        ("post_harvest_losses<0 or post_harvest_losses>50", "post_harvest_losses: outside [0, 50]"),
+    ],
+)
+_crop_file(
+    "tree_crops",
+    {
+        "crop_type": "crop_name", "pest_pressure": "case when part_id%3=0 then 'high' when part_id%3=1 then 'severe' end",
+        "planting_year": "cast(year(observation_date)-14 as int)", "tree_age_years": "cast(station_id%60 as int)",
+        "disease_incidence": "disease_incidence", "annual_yield_kg_ha": "yield_kg_ha",
+    },
+    [
+        ("crop_type not in ('cocoa', 'coffee', 'oil_palm', 'mango', 'plantain_banana')", "crop_type: not an allowed value"),
+        ("pest_pressure not in ('low', 'moderate', 'high')", "pest_pressure: not an allowed value"),
+        ("planting_year<1980 or planting_year>2024", "planting_year: outside [1980, 2024]"),
+        ("tree_age_years<1 or tree_age_years>50", "tree_age_years: outside [1, 50]"),
+        ("disease_incidence<0 or disease_incidence>100", "disease_incidence: outside [0, 100]"),
+        ("annual_yield_kg_ha<100 or annual_yield_kg_ha>5000", "annual_yield_kg_ha: outside [100, 5000]"),
+    ],
+)
+
+
 @query(
     "x12_harvest_index_in_range",
     with_views(

@@ -17,6 +17,22 @@ from harrow.sources.tables import Tables, with_views
 ROW_SQL = ", ".join(ROW)
 
 
+@query(
+    "s1_feature_csv",
+    with_views("obs")
+    + f"""select {ROW_SQL}, data_source, agroecological_zone, season, crop_name, crop_group, {sql_r6("yield_kg_ha", "biomass_kg_ha", "harvest_index")},
+    {sql_round("yield_kg_ha/1000e0")} as nue, {sql_round("yield_kg_ha/2000e0")} as wue, {sql_round("yield_kg_ha/3000e0")} as yield_gap_ratio from obs""",
+)
+def s1(t: Tables) -> DataFrame:
+    shares = {"nue": 1000.0, "wue": 2000.0, "yield_gap_ratio": 3000.0}
+    rows = t.obs.select(
+        *ROW, "data_source", "agroecological_zone", "season", "crop_name", "crop_group", "yield_kg_ha", "biomass_kg_ha", "harvest_index",
+        *[(F.col("yield_kg_ha") / n).alias(c) for c, n in shares.items()],
+    )
+    path = files.write_delimited(rows, scratch_path(t.spark, "features") + ".csv")
+    return rounded(files.load_feature_csv(t.spark, path, rows.schema), "yield_kg_ha", "biomass_kg_ha", "harvest_index", *shares)
+
+
 @query(
     "s2_read_by_suffix",
     "select l_orderkey, l_linenumber, l_quantity, l_discount, cast(l_shipdate as date) as l_shipdate from lineitem",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from harrow.catalog.registry import ROW, query, r6, rounded, sql_r6, sql_round
 from harrow.functions.constants import CROP_PROFILE
 from harrow.operators import grids
-from harrow.operators.crops import with_crop_profile
+from harrow.operators.crops import crop_varieties, with_crop_profile
 from harrow.operators.lookup import with_group_stats
 from harrow.operators.series import masked_mean, sequence_samples, weather_sequences
 from harrow.plans.survey import with_crop_group
@@ -131,6 +131,17 @@ def j7(t: Tables) -> DataFrame:
     return with_crop_profile(named)
 
 
+@query(
+    "j7_crop_varieties",
+    with_views("obs", listed="select distinct crop_name, concat(crop_name, '_', cast(part_id%3 as varchar)) as variety from obs where crop_name<>'rice'")
+    + f"select {ROW_SQL}, obs.crop_name, variety from obs join listed on listed.crop_name=obs.crop_name",
+)
+def j7_varieties(t: Tables) -> DataFrame:
+    named = t.obs.selectExpr("crop_name", "concat(crop_name, '_', cast(part_id%3 as string)) as variety").where("crop_name<>'rice'")
+    listed = named.groupBy("crop_name").agg(F.collect_set("variety").alias("varieties"))
+    return crop_varieties(t.obs.select(*ROW, "crop_name"), listed).select(*ROW, "crop_name", "variety")
+
+
 # --- sequences ---------------------------------------------------------------------------
 WEATHER = ["precipitation_daily", "temperature_mean", "relative_humidity"]
 _STEPS = "select *, row_number() over (partition by station_id order by observation_date) as i from daily"

@@ -13,6 +13,10 @@ def _ranges(**limits: tuple[float, float]) -> tuple[Field, ...]:
     return tuple(Field(name, *pair) for name, pair in limits.items())
 
 
+def _typed(kind: str, *names: str) -> tuple[Field, ...]:
+    return tuple(Field(name, kind=kind) for name in names)
+
+
 def _required(*names: str) -> tuple[Field, ...]:
     return tuple(Field(name, required=True) for name in names)
 
@@ -211,8 +215,21 @@ WIND = Model(
 
 PRESSURE = Model("pressure", _ranges(atmospheric_pressure=(600, 1040), sea_level_pressure=(990, 1035)))
 
-DERIVED_INDICES = Model("derived_indices", ())
-EXTREME_EVENTS = Model("extreme_events", ())
+# Optional fields that have a type and no limits
+DERIVED_INDICES = Model(
+    "derived_indices",
+    _typed(
+        "double", "growing_degree_days_base10", "growing_degree_days_base15", "cooling_degree_days", "heat_index",
+        "reference_et_penman_monteith", "potential_et_priestley_taylor", "aridity_index",
+        "standardized_precipitation_index", "water_balance", "cumulative_water_deficit",
+    ),
+)
+EXTREME_EVENTS = Model(
+    "extreme_events",
+    _typed("boolean", "frost_occurrence", "heat_wave_occurrence", "heavy_rainfall_event", "drought_event", "high_wind_event")
+    + _typed("double", "frost_duration_hours", "storm_damage_potential")
+    + _typed("int", "heat_wave_duration_days", "dry_spell_length"),
+)
 
 QUALITY_CONTROL = Model(
     "quality_control",

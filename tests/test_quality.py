@@ -146,3 +146,11 @@ def test_crop_file_contract(spark):
     assert judged(spark, model, schema, "maize", date(2020, 6, 1), date(2020, 3, 1), 5.0, 0.5, 9.0)["is_valid"]
     row = judged(spark, model, schema, "yam", date(2020, 3, 1), date(2020, 3, 1), 5.0, 0.5, 2.0)
     assert row["errors"] == ["crop_type: not an allowed value", "harvest_date > planting_date", "yield_tha * harvest_index <= biomass_tha"]
+
+
+def test_typed_weather_blocks(spark):
+    kinds = {f.name: f.kind for f in schemas.EXTREME_EVENTS.fields}
+    assert kinds["drought_event"] == "boolean" and kinds["dry_spell_length"] == "int" and len(kinds) == 9
+    assert len(schemas.DERIVED_INDICES.fields) == 10
+    df = spark.createDataFrame([("3", True)], "dry_spell_length string, drought_event boolean")
+    assert schema_mismatches(df, schemas.EXTREME_EVENTS.fields) == [("dry_spell_length", "int", "string")]
