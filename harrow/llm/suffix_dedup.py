@@ -218,7 +218,7 @@ _LISTED = pa.schema([("shard", pa.int32()), ("grp", pa.int64()), ("numbers", pa.
 
 
 def _list_numbers(size: int, shards: int):
-    """Numbers by shard and group, each with 16 bits of its text's digest, twice at most: two texts are enough to be told."""
+    """Numbers by shard and group, each with 64 bits of its text's digest, twice at most: two texts are enough to be told."""
 
     def rows(held):
         shard, grp, number, text = (np.concatenate(x) for x in zip(*held))
@@ -226,7 +226,7 @@ def _list_numbers(size: int, shards: int):
         shard, grp, number, text = shard[order], grp[order], number[order], text[order]
         same = (np.diff(shard) == 0) & (np.diff(grp) == 0) & (np.diff(number.astype(np.int64)) == 0)
         first = np.concatenate(([True], ~same))
-        new = np.concatenate(([True], ~same | (np.diff(text.astype(np.int64)) != 0)))
+        new = np.concatenate(([True], ~same | (text[1:] != text[:-1])))
         run = np.cumsum(first) - 1
         nth = np.cumsum(new) - np.cumsum(new)[first.nonzero()[0]][run]
         keep = new & (nth < 2)
@@ -255,7 +255,7 @@ def _list_numbers(size: int, shards: int):
                 continue
             shard, kept = _place(number, shards)
             grp = part.column("grp").to_numpy()
-            digest = np.array([int.from_bytes(hashlib.sha256(t).digest()[:2], "little") for t in texts], np.uint16)
+            digest = np.array([int.from_bytes(hashlib.sha256(t).digest()[:8], "little") for t in texts], np.uint64)
             held.append((shard, grp[text], kept, digest[text]))
             count += len(first)
             if count > HELD:
@@ -271,7 +271,7 @@ def _tell_shared(table: pa.Table) -> pa.Table:
     """Of each group's numbers those that more than one text has."""
     numbers = [np.frombuffer(x, np.uint32) for x in table.column("numbers").to_pylist()]
     flat = np.concatenate(numbers) if numbers else np.zeros(0, np.uint32)
-    texts = np.concatenate([np.frombuffer(x, np.uint16) for x in table.column("of_text").to_pylist()]) if numbers else flat
+    texts = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("of_text").to_pylist()]) if numbers else flat
     order = np.argsort(flat, kind="stable")
     start = np.flatnonzero(np.concatenate(([True], np.diff(flat[order].astype(np.int64)) != 0))) if len(flat) else np.zeros(0, np.int64)
     if not len(flat):

@@ -99,6 +99,19 @@ def test_repeats_equal_brute_force(spark, monkeypatch, group_bytes):
     assert got == _cut(rows, 50)
 
 
+def test_texts_whose_digests_begin_alike_are_two(spark):
+    def begin(text):
+        return hashlib.sha256(text.encode()).digest()[:2]
+
+    passage = "a passage of more than fifty bytes that only two texts of this table have"
+    first = f"{passage} first"
+    second = next(t for t in (f"second {k} {passage}" for k in range(10_000_000)) if begin(t) == begin(first))
+    rows = [(0, first), (1, second), (2, "another text of more than fifty bytes that shares nothing with them")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(docs).collect()}
+    assert got == _cut(rows, 50) and got[1][1] >= len(passage)
+
+
 def test_suffixes_are_sorted():
     data = np.frombuffer(b"abracadabra" * 9 + b"banana" * 9, np.uint8)
     at = np.arange(len(data) - 50)
