@@ -38,6 +38,10 @@ SIDE_WORDS = frozenset(
     "newsletter subscribe subscription signup login comment comments disqus reply replies respond discussion complementary contentinfo search "
     "pagination pager toolbar".split()
 )
+# Of these, words that also name an article's own parts and wrappers; alone they do not tell
+LOOSE_WORDS = frozenset("header banner sidebar aside widget related recommended notice consent search discussion toolbar promotion".split())
+REPLY_WORDS = frozenset("comment comments disqus reply replies respond".split())
+ARTICLE_WORDS = frozenset("article post entry content story title page section".split())
 ARTICLE_TAGS = ("article", "main")
 # A new paragraph ends the open one, a new item or cell the one before
 CLOSED_BY = {
@@ -53,17 +57,28 @@ REGION_PART = 0.6
 
 
 class Block:
-    __slots__ = ("path", "nodes", "pieces", "link")
+    __slots__ = ("path", "nodes", "inside", "pieces", "link")
 
-    def __init__(self, path: tuple[str, ...], nodes: tuple[int, ...]):
-        self.path, self.nodes, self.pieces, self.link = path, nodes, [], 0
+    def __init__(self, path: tuple[str, ...], nodes: tuple[int, ...], inside: tuple[int, ...]):
+        self.path, self.nodes, self.inside, self.pieces, self.link = path, nodes, inside, [], 0
 
     def text(self) -> str:
         return SPACE.sub(" ", "".join(self.pieces)).strip()
 
 
+def side_words(attrs) -> frozenset[str]:
+    """Side words of class, id and role; a header with a word for articles in its name is the article's own."""
+    out = set()
+    for name, value in attrs:
+        if name in ("class", "id", "role") and value:
+            for own in value.lower().split():
+                words = set(re.split(r"[^a-z]+", own))
+                out |= (words & SIDE_WORDS) - ({"header"} if words & ARTICLE_WORDS else set())
+    return frozenset(out)
+
+
 class Blocks(HTMLParser):
-    """Blocks of a page in order, without what stands in dropped or side elements."""
+    """Blocks of a page in order, without what stands in dropped elements; ``named`` has the side words of elements."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -72,6 +87,7 @@ class Blocks(HTMLParser):
         self.elements = 0
         self.current: Block | None = None
         self.tags: dict[int, str] = {}
+        self.named: dict[int, frozenset[str]] = {}
 
     def handle_starttag(self, tag, attrs):
         if tag not in INLINE:
@@ -81,13 +97,14 @@ class Blocks(HTMLParser):
             self._add(" ")
         if tag in VOID:
             return
-        words = {w for name, value in attrs if name in ("class", "id", "role") and value for w in re.split(r"[^a-z]+", value.lower())}
         hidden = any(n == "hidden" or (n == "aria-hidden" and v == "true") or (n == "style" and v and re.search(r"display\s*:\s*none", v)) for n, v in attrs)
         body = tag in ("html", "body", *ARTICLE_TAGS)
         inside = any(t in ARTICLE_TAGS for t, _, _ in self.open)
-        out = tag in DROPPED and not (tag == "header" and inside) or (not body and bool(words & SIDE_WORDS)) or (hidden and not body)
+        out = tag in DROPPED and not (tag == "header" and inside) or (hidden and not body)
         self.elements += 1
         self.tags[self.elements] = tag
+        if not body and (words := side_words(attrs)):
+            self.named[self.elements] = words
         self.open.append((tag, self.elements, out or (bool(self.open) and self.open[-1][2])))
 
     def handle_startendtag(self, tag, attrs):
@@ -128,7 +145,7 @@ class Blocks(HTMLParser):
             if not data.strip():
                 return
             blocks = [(t, n) for t, n, _ in self.open if t not in INLINE]
-            self.current = Block(tuple(t for t, _ in blocks), tuple(n for _, n in blocks))
+            self.current = Block(tuple(t for t, _ in blocks), tuple(n for _, n in blocks), tuple(n for _, n, _ in self.open))
             self.blocks.append(self.current)
         self.current.pieces.append(data)
         if any(t == "a" for t, _, _ in self.open):
@@ -154,12 +171,55 @@ def path_scores(blocks: list[tuple[Block, str]]) -> dict[tuple[str, ...], float]
     return out
 
 
+def without_sides(parser: Blocks) -> list[tuple[Block, str]]:
+    """Blocks with their texts, but for those in elements that are beside the article by name.
+
+    A name never outweighs the text: the element stays if it holds the page's largest article or main. On a page without
+    one it stays with most of the text outside links (nine tenths, or an h1 besides, if firmly named: adverts and
+    replies can be longer than a short article). With loose words only it
+    also stays if the block around a character of it has as much such text as a block outside firmly named elements has on average.
+    """
+    blocks = [(b, t) for b in parser.blocks if (t := b.text())]
+    if not parser.named:
+        return blocks
+    plain, own_squares = defaultdict(int), defaultdict(int)
+    total = 0
+    for b, t in blocks:
+        n = max(0, len(t) - b.link)
+        total += n
+        for node in b.inside:
+            plain[node] += n
+            own_squares[node] += n * n
+    replies = {n for n, words in parser.named.items() if words & REPLY_WORDS}
+    articles = {}
+    for b, _ in blocks:
+        for node in b.inside:
+            if parser.tags[node] in ARTICLE_TAGS and node not in articles:
+                articles[node] = {n for n in b.inside if n <= node}
+    own = {n: above for n, above in articles.items() if not above & replies} or articles
+    largest = max(own, key=lambda n: plain[n], default=None)
+    holders = own[largest] if largest is not None else set()
+    firm = {n for n, words in parser.named.items() if not words <= LOOSE_WORDS} - holders
+    titled = {n for b, _ in blocks if "h1" in b.path for n in b.inside}
+    rest = [max(0, len(t) - b.link) for b, t in blocks if firm.isdisjoint(b.inside)]
+    usual = sum(rest) / max(1, len(rest))
+
+    def beside(node: int) -> bool:
+        most = 9 if node in firm and node not in titled else 5
+        if node in holders or (largest is None and 10 * plain[node] >= most * total > 0):
+            return False
+        return node in firm or own_squares[node] < usual * plain[node] or not plain[node]
+
+    sides = {n for n in parser.named if beside(n)}
+    return [(b, t) for b, t in blocks if sides.isdisjoint(b.inside)]
+
+
 def main_text(html: str | None) -> str:
     """Article text of one page; empty if it has none."""
     parser = Blocks()
     parser.feed(html or "")
     parser.close()
-    blocks = [(b, t) for b in parser.blocks if (t := b.text())]
+    blocks = without_sides(parser)
     if not blocks:
         return ""
     scores = path_scores(blocks)

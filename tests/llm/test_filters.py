@@ -99,6 +99,33 @@ def test_page_text(spark):
     assert all(r.n_chars == len(r.text) for r in got)
 
 
+LONG = "A paragraph of the article that says something, with commas, and that is long enough to be taken for its text."
+
+
+@pytest.mark.parametrize("wrapper", [
+    '<div class="layout has-sidebar"><article>{}</article></div>', '<div class="layout has-sidebar"><div>{}</div></div>', '<div class="elementor-widget-text">{}</div>',
+    '<div id="search-results">{}</div>', '<div class="no-comments menu-open"><main>{}</main></div>', '<div class="post"><div class="discussion">{}</div></div>',
+])
+def test_a_name_of_a_wrapper_drops_no_article(wrapper):
+    own = f"<h1>Title</h1><p>{LONG}</p><p>{LONG}</p>"
+    rest = '<div class="sidebar"><ul><li><a href=/x>Other page</a></li></ul></div><div class="comments"><p>Nice article, I agree with all of it!</p></div>'
+    assert html_text.main_text(f"<html><body>{wrapper.format(own)}{rest}</body></html>") == f"Title\n{LONG}\n{LONG}"
+
+
+@pytest.mark.parametrize("name", ["ad", "comments", "cookie-notice"])
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_a_side_longer_than_the_article_goes(name, tag):
+    page = f'<body><{tag} id="text"><h1>Title</h1><p>{LONG}</p></{tag}><div class="{name}"><p>{LONG} {LONG}</p></div></body>'
+    assert html_text.main_text(page) == f"Title\n{LONG}"
+
+
+def test_headers_and_sections_of_an_article_stay():
+    page = f"""<body><article><div class="post-header"><h1>Title</h1></div><div class="elementor-widget"><p>{LONG}</p></div><div class="elementor-widget"><p>{LONG}</p></div>
+<section class="related-work"><p>{LONG}</p></section><div class="related"><a href=/y>Another article</a></div><div class="cookie-notice">We use cookies.</div></article>
+<section class="comments"><article>{LONG} {LONG} {LONG} {LONG}</article></section></body>"""
+    assert html_text.main_text(page) == f"Title\n{LONG}\n{LONG}\n{LONG}"
+
+
 def test_kneser_ney_adds_up_and_tells_junk(spark, no_docs):
     text = "a good plain text about many good plain things that we like to read "
     rows = [(k, text[k % 9 :] * 3, "en") for k in range(40)] + [(90, "#$%& QQ|| zzz$$$ <<>>", "en"), (91, None, "en"), (92, text, None)]
