@@ -4,8 +4,8 @@ A page is cut into blocks of text, each under its path of tags from the root. Fo
 the lengths of text and of link text, the punctuation and the number of blocks are added up; its ratio is the
 text and punctuation a block of it has on average. Ratios are smoothed over paths that follow each other in the page,
 fused with the share of text outside links, and paths above a part of the page's mean are content. The
-smallest region that holds most of their text gives the article: its own headings and short paragraphs stay
-whatever their ratio, while parts that are navigation, notices, forms, adverts or comments by tag, role or class go.
+smallest region that holds most of their text gives the article: all its blocks stay whatever their ratio, but for paths of
+link text alone, and for parts that are navigation, notices, forms, adverts or comments by tag, role or class.
 """
 
 from __future__ import annotations
@@ -43,6 +43,8 @@ LOOSE_WORDS = frozenset("header banner sidebar aside widget related recommended
 REPLY_WORDS = frozenset("comment comments disqus reply replies respond".split())
 ARTICLE_WORDS = frozenset("article post entry content story title page section".split())
 ARTICLE_TAGS = ("article", "main")
+# Elements that are parts of an article, never its region
+PARTS = frozenset("p li dt dd ul ol dl pre table caption thead tbody tfoot tr figure figcaption blockquote h1 h2 h3 h4 h5 h6".split())
 # A new paragraph ends the open one, a new item or cell the one before
 CLOSED_BY = {
     "p": frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()),
@@ -171,6 +173,14 @@ def path_scores(blocks: list[tuple[Block, str]]) -> dict[tuple[str, ...], float]
     return out
 
 
+def link_paths(blocks: list[tuple[Block, str]]) -> set[tuple[str, ...]]:
+    """Paths that have text in links alone: menus."""
+    out, plain = set(), set()
+    for block, text in blocks:
+        (out if block.link >= len(text) else plain).add(block.path)
+    return out - plain
+
+
 def without_sides(parser: Blocks) -> list[tuple[Block, str]]:
     """Blocks with their texts, but for those in elements that are beside the article by name.
 
@@ -232,16 +242,13 @@ def main_text(html: str | None) -> str:
         for depth, node in enumerate(b.nodes):
             held[node] += len(t)
             first[node] = depth
-    wanted = [n for n in held if held[n] >= REGION_PART * weight and parser.tags[n] != "p"]
+    wanted = [n for n in held if held[n] >= REGION_PART * weight and parser.tags[n] not in PARTS]
     named = [n for n in wanted if parser.tags[n] in ARTICLE_TAGS]
     region = max(named or wanted, key=lambda n: first[n], default=None)
-    if region is None:
-        chosen = content
-    elif named:
-        chosen = [(b, t) for b, t in blocks if region in b.nodes]
-    else:
-        kept = {b.path for b, _ in content}
-        chosen = [(b, t) for b, t in blocks if region in b.nodes and (b.path in kept or re.fullmatch("h[1-6]", b.path[-1]))]
+    chosen = [(b, t) for b, t in blocks if region is None or region in b.nodes]
+    if not named:
+        kept, menus = {b.path for b, _ in content}, link_paths(chosen)
+        chosen = [(b, t) for b, t in chosen if b.path in kept or b.path not in menus or re.fullmatch("h[1-6]", b.path[-1])]
     return "\n".join(t for _, t in chosen)
 
 

@@ -126,6 +126,19 @@ def test_headers_and_sections_of_an_article_stay():
     assert html_text.main_text(page) == f"Title\n{LONG}\n{LONG}\n{LONG}"
 
 
+def test_short_blocks_of_a_page_of_divs_stay():
+    long = LONG * 3
+    page = f"""<body><div class="page"><div><ul><li><a href=/a>Start</a></li><li><a href=/b>News</a></li></ul></div><div class="text"><h1>Title</h1><p>{long}</p>
+<ul><li>A short item</li><li>One with <a href=/c>a link</a></li></ul><p>{long}</p><table><caption>Yields</caption><tr><th>Crop</th><td>3.1</td></tr></table><pre>x = 1</pre>
+<dl><dt>Term</dt><dd>Meaning</dd></dl><figure><img src=z.png><figcaption>A figure</figcaption></figure><p>{long}</p></div></div></body>"""
+    want = ["Title", long, "A short item", "One with a link", long, "Yields", "Crop", "3.1", "x = 1", "Term", "Meaning", "A figure", long]
+    assert html_text.main_text(page).split("\n") == want
+    bare = page.replace("<div class=\"page\"><div>", "").replace("</ul></div><div class=\"text\">", "</ul>").replace("</div></div></body>", "</body>")
+    assert [x for x in html_text.main_text(bare).split("\n") if x not in ("Start", "News")] == want
+    listing = f"<div class=a><h1>Title</h1><p>Short one.</p><pre>{long * 4}</pre><p>Short two.</p></div>"
+    assert html_text.main_text(listing).split("\n") == ["Title", "Short one.", long * 4, "Short two."]
+
+
 def test_kneser_ney_adds_up_and_tells_junk(spark, no_docs):
     text = "a good plain text about many good plain things that we like to read "
     rows = [(k, text[k % 9 :] * 3, "en") for k in range(40)] + [(90, "#$%& QQ|| zzz$$$ <<>>", "en"), (91, None, "en"), (92, text, None)]
