@@ -23,42 +23,89 @@ from harrow.runtime import stabilise
 
 ORDER = 4
 BITS = 15
-# Trusted documents that the model learns from at most (by hash of the id); a bound of the classifier's training rows alone.
-TRUSTED_DOCS = 200_000
-# Symbols a prediction chooses from: 15 bits of a code point
+# Symbols a prediction chooses from
 SYMBOLS = 1 << BITS
 GROUP_BYTES = 24 << 20
 HELD = 1 << 21
 
 
-def grams(text: str) -> np.ndarray:
+class Alphabet:
+    """Numbers of characters, no two of the trusted text alike. ``chars``: their code points; all other characters share one number,
+    which changes no probability, as the model has seen none of them."""
+
+    def __init__(self, chars=None):
+        self.chars = np.arange(SYMBOLS - 1) if chars is None else np.union1d(np.asarray(chars, np.int64), [32])
+        self.bits = BITS if len(self.chars) < SYMBOLS else 16
+        if len(self.chars) >= 1 << self.bits:
+            raise ValueError(f"{len(self.chars)} different characters in trusted text; 4-grams of 64 bits take {(1 << self.bits) - 1}")
+        self.table = None
+
+    def __getstate__(self):
+        return {**self.__dict__, "table": None}
+
+    def numbers(self, code: np.ndarray) -> np.ndarray:
+        if self.table is None:
+            # a code point that fits is its own number, the others take what is free
+            own = self.chars < 1 << self.bits
+            free = np.setdiff1d(np.arange(1 << self.bits), self.chars[own])
+            table = np.full(0x110000, free[-1], np.int64)
+            table[self.chars[own]] = self.chars[own]
+            table[self.chars[~own]] = free[: (~own).sum()]
+            self.table = table
+        return self.table[code]
+
+
+PLAIN = Alphabet()
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(" ".join(text.split()).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+
+
+def grams(text: str, alphabet: Alphabet = PLAIN) -> np.ndarray:
     """4-grams of the text, white space as one blank, three blanks before it; the low bits are the predicted character."""
-    code = np.frombuffer(" ".join(text.split()).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64) & (SYMBOLS - 1)
-    code = np.concatenate((np.full(ORDER - 1, 32, np.int64), code))
+    code = alphabet.numbers(np.concatenate((np.full(ORDER - 1, 32, np.int64), _codes(text))))
     out = np.zeros(max(0, len(code) - ORDER + 1), np.int64)
     for k in range(ORDER):
-        out = (out << BITS) | code[k : len(code) - ORDER + 1 + k]
+        out = (out << alphabet.bits) | code[k : len(code) - ORDER + 1 + k]
     return out
 
 
-def count_trusted(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """(``gram``, ``n``) over the trusted documents."""
-    ids = np.array(sorted(r[0] for r in trusted.select(F.col("doc_id").cast("long")).dropna().distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRUSTED_DOCS).collect()), np.int64)
+def trusted_texts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """(``doc_id``, ``text``) of every trusted document."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    return rows.join(trusted.select(F.col("doc_id").cast("long").alias("doc_id")).dropna().distinct(), "doc_id", "left_semi")
+
+
+def trusted_alphabet(docs: DataFrame, trusted: DataFrame) -> Alphabet:
+    """Numbers for all characters of the trusted documents."""
+
+    def found(batches):
+        seen = np.zeros(0x110000, bool)
+        for part in slices(batches):
+            for text in part.column("text").to_pylist():
+                seen[_codes(text)] = True
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(seen), pa.int64())], ["code"])
+
+    rows = trusted_texts(docs, trusted).select("text").mapInArrow(found, "code long").distinct()
+    return Alphabet([r[0] for r in rows.collect()])  # as many as there are characters at most
+
+
+def count_trusted(docs: DataFrame, trusted: DataFrame, alphabet: Alphabet = PLAIN) -> DataFrame:
+    """(``gram``, ``n``) over all trusted documents."""
 
     def count(batches):
         held: list[tuple[np.ndarray, np.ndarray]] = []
         for part in slices(batches):
-            doc = pc.fill_null(part.column("doc_id"), np.iinfo(np.int64).min).to_numpy()
-            own = [grams(t) for t, d in zip(part.column("text").to_pylist(), np.isin(doc, ids)) if d]
-            if own:
-                held = [merge([*held, np.unique(np.concatenate(own), return_counts=True)])]
-            if held and len(held[0][0]) > HELD:
+            own = [grams(t, alphabet) for t in part.column("text").to_pylist()]
+            held = [merge([*held, np.unique(np.concatenate(own), return_counts=True)])]
+            if len(held[0][0]) > HELD:
                 yield pa.RecordBatch.from_arrays([pa.array(held[0][0]), pa.array(held[0][1], pa.int64())], ["gram", "n"])
                 held = []
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(held[0][0]), pa.array(held[0][1], pa.int64())], ["gram", "n"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    rows = trusted_texts(docs, trusted).select("text")
     return rows.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
@@ -74,14 +121,14 @@ def _discounts(counts: DataFrame) -> tuple[float, float, float]:
 class Model:
     """Tables of each order: ``direct`` (gram, p without the lower order) and ``back`` (context, weight of the lower order)."""
 
-    def __init__(self, counts: DataFrame):
-        self.direct, self.back = {}, {}
+    def __init__(self, counts: DataFrame, alphabet: Alphabet = PLAIN):
+        self.direct, self.back, self.alphabet = {}, {}, alphabet
         table = counts
         for order in range(ORDER, 0, -1):
             table = stabilise(table)
             d1, d2, d3 = _discounts(table)
             off = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-            rows = table.withColumn("context", F.shiftright("gram", BITS))
+            rows = table.withColumn("context", F.shiftrightunsigned("gram", alphabet.bits))
             back = rows.groupBy("context").agg(F.sum("n").alias("total"), F.sum(off).alias("given")).select(
                 "context", "total", (F.col("given") / F.col("total")).alias("back")
             )
@@ -90,15 +137,15 @@ class Model:
                 rows.join(self.back[order], "context").select("gram", (F.greatest(F.col("n") - off, F.lit(0.0)) / F.col("total")).alias("p"))
             )
             # each distinct longer gram counts its ending once
-            mask = (1 << (BITS * (order - 1))) - 1
+            mask = (1 << (alphabet.bits * (order - 1))) - 1
             table = table.groupBy(F.col("gram").bitwiseAND(F.lit(mask)).alias("gram")).agg(F.count("*").alias("n"))
 
     def log_probability(self, asked: DataFrame) -> DataFrame:
         """(``gram``, ``logp``) of distinct grams: per order the discounted share plus the freed weight times the order below."""
-        out = asked.select("gram").withColumn("p", F.lit(1.0 / SYMBOLS))
+        out = asked.select("gram").withColumn("p", F.lit(1.0 / (1 << self.alphabet.bits)))
         for order in range(1, ORDER + 1):
-            mask = (1 << (BITS * order)) - 1
-            out = out.withColumn("own", F.col("gram").bitwiseAND(F.lit(mask))).withColumn("ctx", F.shiftright("own", BITS))
+            mask = (1 << (self.alphabet.bits * order)) - 1 if order < ORDER else -1
+            out = out.withColumn("own", F.col("gram").bitwiseAND(F.lit(mask))).withColumn("ctx", F.shiftrightunsigned("own", self.alphabet.bits))
             direct = self.direct[order].select(F.col("gram").alias("own"), F.col("p").alias("share"))
             back = self.back[order].select(F.col("context").alias("ctx"), "back")
             out = out.join(direct, "own", "left").join(back, "ctx", "left").select(
@@ -112,6 +159,7 @@ def perplexities(docs: DataFrame, model: Model) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), text_or_empty().alias("text"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     groups = max(1, math.ceil(total / GROUP_BYTES))
+    alphabet = model.alphabet
     rows = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)))
 
     def distinct(batches):
@@ -126,7 +174,7 @@ def perplexities(docs: DataFrame, model: Model) -> DataFrame:
         for part in slices(batches):
             by: dict[int, list] = {}
             for grp, text in zip(part.column("grp").to_pylist(), part.column("text").to_pylist()):
-                by.setdefault(grp, []).append(grams(text))
+                by.setdefault(grp, []).append(grams(text, alphabet))
             for grp, own in by.items():
                 held[grp] = np.unique(np.concatenate([*own, held.get(grp, np.zeros(0, np.int64))]))
             size = sum(map(len, held.values()))
@@ -149,7 +197,7 @@ def perplexities(docs: DataFrame, model: Model) -> DataFrame:
         gram, logp = gram[order], logp[order]
         n, value = [], []
         for z in texts.column("z").to_pylist():
-            own = grams(zstandard.ZstdDecompressor().decompress(z).decode())
+            own = grams(zstandard.ZstdDecompressor().decompress(z).decode(), alphabet)
             n.append(len(own))
             value.append(float(np.exp(-logp[np.searchsorted(gram, own)].mean())) if len(own) else None)
         return pa.table({"doc_id": texts.column("doc_id"), "lang": texts.column("lang"), "n_grams": pa.array(n, pa.int64()), "perplexity": pa.array(value, pa.float64())})
@@ -164,7 +212,9 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.95) -> Data
     Trusted are documents with a label of quality 1. A null language is a language of its own. A text without a character has no perplexity
     and is not kept. Without trusted text every n-gram is as likely as any other and all texts with characters are kept.
     """
-    model = Model(count_trusted(docs, labels.filter("quality = 1")))
+    trusted = labels.filter("quality = 1")
+    alphabet = trusted_alphabet(docs, trusted)
+    model = Model(count_trusted(docs, trusted, alphabet), alphabet)
     scored = stabilise(perplexities(docs, model))
     limits = stabilise(scored.groupBy(F.col("lang").alias("of")).agg(F.percentile_approx("perplexity", quantile, 10_000).alias("threshold")))
     few = limits.count() <= 10_000

@@ -153,3 +153,25 @@ def test_kneser_ney_adds_up_and_tells_junk(spark, no_docs):
     total = sum(math.exp(r.logp) for r in model.log_probability(asked).collect())
     assert total == pytest.approx(1.0, abs=1e-6)
     assert kneser_ney.classify(no_docs, labels).count() == 0
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_kneser_ney_keeps_characters_and_documents_apart(spark, wide):
+    rows = [(k, "aAbB " * 10, "en") for k in range(20)] + [(90, "".join(chr(ord(c) + 0x8000) if c != " " else c for c in "aAbB " * 10), "en")]
+    if wide:  # more characters than 15 bits can tell apart
+        rows += [(50, "".join(map(chr, range(0xA000, 0xD800))) + "".join(map(chr, range(0x20000, 0x25000))), "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    trusted = spark.createDataFrame([(k,) for k in [*range(20), 50]] * 2, "doc_id long")
+    alphabet = kneser_ney.trusted_alphabet(docs, trusted)
+    counts = kneser_ney.count_trusted(docs, trusted, alphabet)
+    text = [r[1] for r in rows if r[0] != 90]
+    assert counts.agg({"n": "sum"}).first()[0] == sum(len(t.strip()) for t in text)
+    got = {r.doc_id: r.perplexity for r in kneser_ney.perplexities(docs, kneser_ney.Model(counts, alphabet)).collect()}
+    assert got[90] > 50 * got[1] and alphabet.bits == (16 if wide else 15)
+    assert len({int(x) for x in alphabet.numbers(alphabet.chars)}) == len(alphabet.chars)
+
+
+def test_kneser_ney_counts_every_trusted_document(spark):
+    docs = spark.range(200_010).selectExpr("id as doc_id", "'ab' as text")
+    counts = kneser_ney.count_trusted(docs, docs.select("doc_id"))
+    assert counts.agg({"n": "sum"}).first()[0] == 2 * 200_010
