@@ -69,6 +69,14 @@ def test_shared_lines_go_but_for_the_first(spark):
     assert cleaned[5] == body[5] and cleaned[0].startswith("Accept")
 
 
+def test_shared_lines_go_under_the_limits_in_use(spark):
+    rows = [(k, f"Accept our cookies now\n{' '.join(f'w{k}x{i}' for i in range(20))}", "h1") for k in range(101)]
+    rows += [(1000 + k, f"Accept our cookies now\n{' '.join(f'v{k}x{i}' for i in range(20))}", "h2") for k in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.removed_words for r in line_rules.judge(docs).collect()}
+    assert got == {k: 4 if 0 < k < 101 else 0 for k, _, _ in rows}
+
+
 def test_licences_are_inherited_from_the_nearest_directory(spark):
     rows = [
         ("a/LICENSE", "Released under the MIT License."), ("a/b/LICENSE.txt", "Licensed under the Apache License, Version 2.0."),
