@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harrow.llm import html_text, jaccard_join, kneser_ney, language, license_scan, line_rules, packing, piece_codec, suffix_dedup, top_k
+from harrow.llm import html_text, jaccard_join, kneser_ney, language, license_scan, line_rules, packing, piece_codec, sharding, suffix_dedup, top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -83,3 +83,11 @@ def _licences(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_kneser_ney_quality")
 def _quality(spark: SparkSession, folder: str) -> DataFrame:
     return kneser_ney.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op11_stratified_sharding", sharding.shard_sql())
+def _shards(spark: SparkSession, folder: str) -> DataFrame:
+    placed = sharding.place(table(spark, folder, "documents"))
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
