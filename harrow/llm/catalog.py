@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harrow.llm import html_text, jaccard_join, kneser_ney, language, license_scan, line_rules, packing, piece_codec, sharding, suffix_dedup, top_k
+from harrow.llm import (
+    conversations, html_text, jaccard_join, kneser_ney, language, license_scan, line_rules, packing, phrases, piece_codec, sharding,
+    suffix_dedup, top_k,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -91,3 +94,13 @@ def _shards(spark: SparkSession, folder: str) -> DataFrame:
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+@query("op12_conversation_repair")
+def _repairs(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.reports(conversations.damaged(table(spark, folder, "conversations")), present="present")
+
+
+@query("op13_phrase_mining", phrases.collocation_sql())
+def _phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents"))

@@ -2,7 +2,8 @@
 
 The rows of each source (the stratum) are ranked in a seeded random order; rank ``r`` of ``n`` rows gets the fraction
 ``(r + u) / n`` with a start ``u`` in [0, 1) that depends on the seed and the source alone. Sorted by fraction, every source is spread
-evenly over the whole order, so cutting the order into equal runs gives each shard every source's share, to within a row or two.
+evenly over the whole order: between two fractions it has its share to within a row. Cutting the order into equal runs gives each shard every
+source's share; a cut lies off its fraction by the odd rows of the sources, one each at most.
 The starts keep sources of a single row from meeting at one fraction.
 
 No source and no stretch of the order is sorted by one task. With ``N`` rows, the random order is cut into about sqrt(N) cells by the
