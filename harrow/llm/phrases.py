@@ -30,9 +30,11 @@ from harrow.llm.jaccard_join import mixed
 from harrow.operators.lookup import lookup_join
 from harrow.runtime import stabilise
 
-# Bytes of text a task counts at once, and bytes of text whose windows make up a shard
-BLOCK_BYTES = 16 << 20
-SHARD_BYTES = 8 << 20
+# Bytes of text a task counts at once (a quarter of them where only frequent words are looked for), and bytes of text whose windows make up a shard
+BLOCK_BYTES = 4 << 20
+SHARD_BYTES = 16 << 20
+# Parts of a shard that are added up one after the other
+PARTS = 8
 UNKNOWN = "und"
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -52,19 +54,20 @@ class Block:
         kind = _KIND[data]
         inside = kind == 0
         edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
-        begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        begin, end = (np.flatnonzero(edge == side).astype(np.int32) for side in (1, -1))
         offsets = np.zeros(len(begin) + 1, np.int32)
         np.cumsum(end - begin, out=offsets[1:])
+        del edge, end
         coded = pa.BinaryArray.from_buffers(
             pa.binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])]
         ).dictionary_encode()
-        self.words, self.codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        self.piece = np.cumsum(kind == 2, dtype=np.int64)[begin] if len(begin) else np.zeros(0, np.int64)
+        self.words, self.codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+        self.piece = np.cumsum(kind == 2, dtype=np.int32)[begin] if len(begin) else np.zeros(0, np.int32)
         starts = np.cumsum([0, *[len(t) + 1 for t in raw[:-1]]])
         names = {name: k for k, name in enumerate(dict.fromkeys(langs))}
-        of_text = np.array([names[x] for x in langs], np.int64)
+        of_text = np.array([names[x] for x in langs], np.int32)
         self.langs = list(names)
-        self.lang = of_text[np.searchsorted(starts, begin, side="right") - 1] if len(begin) else np.zeros(0, np.int64)
+        self.lang = of_text[np.searchsorted(starts, begin, side="right") - 1] if len(begin) else np.zeros(0, np.int32)
 
     def windows(self, order: int) -> list[np.ndarray]:
         """The lead columns: codes plus one of the words from each word on, 0 past the end of its piece."""
@@ -76,21 +79,16 @@ class Block:
             columns.append(column)
         return columns
 
-    def find(self, words: list[bytes]) -> np.ndarray:
-        """Codes plus one of the given words, -1 for those that do not occur."""
-        at = pc.index_in(pa.array(words, pa.binary()), value_set=self.words)
-        return pc.fill_null(at, -2).to_numpy(zero_copy_only=False).astype(np.int64) + 1
 
-
-def _blocks(batches, text: str = "text", lang: str = "lang"):
-    """Blocks of about ``BLOCK_BYTES`` of text; a longer text is a block of its own."""
+def _blocks(batches, most: int, text: str = "text", lang: str = "lang"):
+    """Blocks of about ``most`` bytes of text; a longer text is a block of its own."""
     texts, langs, size = [], [], 0
-    for part in slices(batches, text):
+    for part in slices(batches, text, most):
         own = part.column(text).to_pylist()
         texts += own
         langs += part.column(lang).to_pylist()
         size += sum(map(len, own))
-        if size >= BLOCK_BYTES:
+        if size >= most:
             yield Block(texts, langs)
             texts, langs, size = [], [], 0
     if texts:
@@ -102,34 +100,46 @@ def _frequent(shards: int):
     schema = pa.schema([("lang", pa.string()), ("w1", pa.binary()), ("w2", pa.binary()), ("n", pa.int64())])
 
     def find(batches):
-        for block in _blocks(batches):
+        for block in _blocks(batches, BLOCK_BYTES // 4):
             total, size = len(block.codes), len(block.words) + 1
             first, second = block.windows(2)
             rows = [(None, None, None, total)]
-            word, n = np.unique(block.lang * size + first, return_counts=True)
+            opening = block.lang.astype(np.int64) * size + first
+            word, n = np.unique(opening, return_counts=True)
             often = word[n * shards >= total]
             for key, count in zip(often.tolist(), n[n * shards >= total].tolist()):
                 rows.append((block.langs[key // size], block.words[key % size - 1].as_py(), None, count))
-            both = np.isin(block.lang * size + first, often) & (second > 0)
-            pair, n = np.unique(np.stack([(block.lang * size + first)[both], second[both]]), axis=1, return_counts=True)
-            for (key, other), count in zip(pair.T[n * shards >= total].tolist(), n[n * shards >= total].tolist()):
-                rows.append((block.langs[key // size], block.words[key % size - 1].as_py(), block.words[other - 1].as_py(), count))
+            # a frequent pair starts with a frequent word and ends with one of them, if it stands for a shard's share
+            both = np.isin(opening, often) & np.isin(block.lang.astype(np.int64) * size + second, often)
+            keys, n = np.unique(np.searchsorted(often, opening[both]) * size + second[both], return_counts=True)
+            for key, count in zip(keys[n * shards >= total].tolist(), n[n * shards >= total].tolist()):
+                opens = int(often[key // size])
+                rows.append((block.langs[opens // size], block.words[opens % size - 1].as_py(), block.words[key % size - 1].as_py(), count))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     return find
 
 
-def _sorted(columns: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Order of the rows by the columns, and for each column count where the prefix of that many columns changes."""
-    order = np.lexsort(columns[::-1])
-    change, out = np.zeros(len(order), bool), []
+def _order(columns: list[np.ndarray]) -> np.ndarray:
+    """Order of the rows by the columns of small non-negative numbers: one number per row where 64 bits hold it."""
+    bits = [int(c.max(initial=0)).bit_length() for c in columns]
+    if sum(bits) > 64:
+        return np.lexsort(columns[::-1])
+    key = np.zeros(len(columns[0]), np.uint64)
+    for column, width in zip(columns, bits):
+        key = (key << np.uint64(width)) | column.astype(np.uint64)
+    return np.argsort(key)
+
+
+def _prefix_starts(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """Of sorted rows: for each number of leading columns, where their values change."""
+    change, out = np.zeros(len(columns[0]), bool), []
     change[:1] = True
     for column in columns:
-        own = column[order]
         change = change.copy()
-        change[1:] |= own[1:] != own[:-1]
+        change[1:] |= column[1:] != column[:-1]
         out.append(change)
-    return order, out
+    return out
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -140,57 +150,72 @@ def _unpack(raw: bytes, kind=np.int32) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), kind)
 
 
-_DEALT = pa.schema([("shard", pa.int32()), ("lang", pa.string()), ("words", pa.binary()), ("windows", pa.binary())])
+_DEALT = pa.schema([("shard", pa.int32()), ("lang", pa.string()), ("words", pa.binary()), ("windows", pa.list_(pa.binary()))])
+
+
+def _hot_keys(hot: list[tuple[str, bytes, bytes | None]], langs: list[str], words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the hot words, ``lang * size + code``, and of the hot pairs, ``(lang * size + code) * size + code``; codes count from 1."""
+    size, places = len(words) + 1, {name: k for k, name in enumerate(langs)}
+
+    def codes(own: list[bytes]) -> np.ndarray:
+        at = pc.index_in(pa.array(own, words.type), value_set=words)
+        return pc.fill_null(at, -1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+
+    lang = np.array([places.get(a, -1) for a, _, _ in hot], np.int64)
+    first, second = codes([w for _, w, _ in hot]), codes([v or b"" for _, _, v in hot])
+    single = np.array([v is None for _, _, v in hot], bool)
+    found = (lang >= 0) & (first > 0)
+    one, two = found & single, found & ~single & (second > 0)
+    return (lang * size + first)[one], ((lang * size + first) * size + second)[two]
 
 
 def _deal(order: int, shards: int, hot: list[tuple[str, bytes, bytes | None]]):
     """Counted windows of each block by shard and language."""
-    single = [(a, w) for a, w, v in hot if v is None]
-    double = [(a, w, v) for a, w, v in hot if v is not None]
-
-    def keys(block: Block, size: int):
-        places = {name: k for k, name in enumerate(block.langs)}
-        lang1 = np.array([places.get(a, -1) for a, _ in single], np.int64)
-        lang2 = np.array([places.get(a, -1) for a, _, _ in double], np.int64)
-        w1 = block.find([w for _, w in single])
-        w2, v2 = block.find([w for _, w, _ in double]), block.find([v for _, _, v in double])
-        ok1, ok2 = (lang1 >= 0) & (w1 > 0), (lang2 >= 0) & (w2 > 0) & (v2 > 0)
-        return (lang1 * size + w1)[ok1], ((lang2 * size + w2) * size + v2)[ok2]
+    def shards_of(block: Block, size: int, lang: np.ndarray, columns: list[np.ndarray]) -> np.ndarray:
+        hashes = np.array([0, *[xxhash.xxh3_64_intdigest(w) for w in block.words.to_pylist()]], np.uint64)
+        names = np.array([xxhash.xxh3_64_intdigest(x) for x in block.langs], np.uint64)
+        number = mixed(hashes[columns[0]] + names[lang] * _STEPS[0])
+        one, two = _hot_keys(hot, block.langs, block.words)
+        opening = lang.astype(np.int64) * size + columns[0]
+        split = np.isin(opening, one)
+        number[split] = mixed(number[split] + hashes[columns[1][split]] * _STEPS[1])
+        if order > 2 and len(two):
+            again = split & np.isin(opening * size + columns[1], two)
+            number[again] = mixed(number[again] + hashes[columns[2][again]] * _STEPS[0])
+        # the parts of a shard follow one another
+        return (number % np.uint64(shards * PARTS)).astype(np.int64)
 
     def deal(batches):
-        for block in _blocks(batches):
+        for block in _blocks(batches, BLOCK_BYTES):
             if not len(block.codes):
                 continue
             size = len(block.words) + 1
             columns = block.windows(order)
-            hashes = np.array([0, *[xxhash.xxh3_64_intdigest(w) for w in block.words.to_pylist()]], np.uint64)
-            names = np.array([xxhash.xxh3_64_intdigest(x) for x in block.langs], np.uint64)
-            number = mixed(hashes[columns[0]] + names[block.lang] * _STEPS[0])
-            one, two = keys(block, size)
-            opening = block.lang * size + columns[0]
-            split = np.isin(opening, one)
-            number[split] = mixed(number[split] + hashes[columns[1][split]] * _STEPS[1])
-            if order > 2 and len(two):
-                again = split & np.isin(opening * size + columns[1], two)
-                number[again] = mixed(number[again] + hashes[columns[2][again]] * _STEPS[0])
-            shard = (number % np.uint64(shards)).astype(np.int64)
-            rows, changes = _sorted([shard, block.lang, *columns])
-            first = np.flatnonzero(changes[-1])
-            counts = np.diff(np.append(first, len(rows)))
-            kept = rows[first]
-            cut = np.flatnonzero(changes[1][first])
-            ends = np.append(cut[1:], len(kept))
+            by = _order([block.lang, *columns])
+            lang, *columns = (c[by] for c in (block.lang, *columns))
+            first = np.flatnonzero(_prefix_starts([lang, *columns])[-1])
+            counts = np.diff(np.append(first, len(by))).astype(np.int32)
+            lang, *columns = (c[first] for c in (lang, *columns))
+            part = shards_of(block, size, lang, columns)
+            pack = part // PARTS * len(block.langs) + lang
+            kept = np.lexsort((part, pack))
+            cut = np.flatnonzero(np.diff(pack[kept], prepend=-1))
             out = []
-            for lo, hi in zip(cut.tolist(), ends.tolist()):
-                own = np.stack([c[kept[lo:hi]] for c in columns])
-                used, coded = np.unique(own, return_inverse=True)
-                used = used[used > 0]
-                coded = coded.reshape(own.shape) + (0 if len(used) < coded.max() + 1 else 1)
-                body = np.concatenate([coded.astype(np.int32), counts[lo:hi].astype(np.int32)[None]])
-                body[0] = np.diff(body[0], prepend=0)
+            for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), len(kept)]):
+                mine = kept[lo:hi]
+                used = np.zeros(size, bool)
+                for column in columns:
+                    used[column[mine]] = True
+                used[0] = False
+                number = np.cumsum(used, dtype=np.int32)
+                number[0] = 0
+                body = np.stack([*[number[c[mine]] for c in columns], counts[mine]])
+                edges = np.searchsorted(part[mine] % PARTS, np.arange(PARTS + 1))
+                own = block.words.take(pa.array(np.flatnonzero(used) - 1))
+                joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own), b" ")[0].as_py()
                 out.append((
-                    int(shard[kept[lo]]), block.langs[block.lang[kept[lo]]],
-                    zstandard.ZstdCompressor(level=1).compress(b" ".join(block.words.take(pa.array(used - 1)).to_pylist())), _pack(body),
+                    int(part[mine[0]]) // PARTS, block.langs[lang[mine[0]]], zstandard.ZstdCompressor(level=1).compress(joined),
+                    [_pack(body[:, a:b]) for a, b in zip(edges[:-1], edges[1:])],
                 ))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _DEALT)], schema=_DEALT)
 
@@ -199,44 +224,28 @@ def _deal(order: int, shards: int, hot: list[tuple[str, bytes, bytes | None]]):
 
 def _shorten(order: int, least: int, hot: list[tuple[str, bytes, bytes | None]]):
     """Add up a shard's packs; windows shrink to their longest prefix with ``least`` occurrences or of a hot word or pair."""
-    single = {(a, w) for a, w, v in hot if v is None}
-    double = {(a, w, v) for a, w, v in hot if v is not None}
     fields = [("lang", pa.string()), *[(f"w{k + 1}", pa.string()) for k in range(order)], ("n", pa.int64())]
 
-    def shorten(packs: pa.Table) -> pa.Table:
-        names = {name: k for k, name in enumerate(dict.fromkeys(packs.column("lang").to_pylist()))}
-        langs = list(names)
-        lists = [zstandard.ZstdDecompressor().decompress(w).split(b" ") for w in packs.column("words").to_pylist()]
-        coded = pa.array([w for words in lists for w in words], pa.binary()).dictionary_encode()
-        words, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int32)
-        parts, at = [], 0
-        for own, name, raw in zip(lists, packs.column("lang").to_pylist(), packs.column("windows").to_pylist()):
-            body = _unpack(raw).reshape(order + 1, -1).copy()
-            body[0] = np.cumsum(body[0])
-            table = np.concatenate(([0], codes[at : at + len(own)] + 1)).astype(np.int32)
-            at += len(own)
-            parts.append(np.concatenate([np.full((1, body.shape[1]), names[name], np.int32), table[body[:order]], body[order:]]))
-        rows = np.concatenate(parts, axis=1)
-        by, changes = _sorted(list(rows[: order + 1]))
+    def shortened(rows: np.ndarray, langs: list[str], told: tuple[np.ndarray, np.ndarray], texts: pa.Array) -> list[pa.Table]:
+        """Tables of shortened windows by their depth; ``rows`` are the language, the codes and the number of each window."""
+        rows = rows[:, _order(list(rows[: order + 1]))]
+        changes = _prefix_starts(list(rows[: order + 1]))
         first = np.flatnonzero(changes[-1])
-        n = np.add.reduceat(rows[order + 1][by].astype(np.int64), first)
-        kept, changes = rows[: order + 1, by[first]], [c[first] for c in changes]
+        n = np.add.reduceat(rows[order + 1].astype(np.int64), first)
+        kept, changes = rows[: order + 1, first], [c[first] for c in changes]
+        out = []
         depth, alive = np.zeros(len(first), np.int64), np.ones(len(first), bool)
         groups = [np.cumsum(c) - 1 for c in changes]
-        known = [w.as_py() for w in words] if hot else []
         for level in range(1, order + 1):
             starts = np.flatnonzero(changes[level])
             enough = np.add.reduceat(n, starts) >= least
-            if hot and level < 3:
-                told = single if level == 1 else double
-                enough |= np.array([
-                    code[-1] > 0 and (langs[lang], *[known[c - 1] for c in code]) in told
-                    for lang, *code in kept[: level + 1, starts].T.tolist()
-                ], bool)
+            if level < 3:
+                prefix = kept[0, starts].astype(np.int64)
+                for column in kept[1 : level + 1]:
+                    prefix = prefix * len(texts) + column[starts]
+                enough |= np.isin(prefix, told[level - 1])
             alive &= enough[groups[level]] & (kept[level] > 0)
             depth[alive] = level
-        texts = pa.concat_arrays([pa.array([""]), words.cast(pa.string())])
-        out = []
         for level in range(order + 1):
             mine = np.flatnonzero(depth == level)
             if not len(mine):
@@ -249,6 +258,30 @@ def _shorten(order: int, least: int, hot: list[tuple[str, bytes, bytes | None]])
                 [pa.array([langs[k] for k in some[0].tolist()], pa.string()), *[texts.take(pa.array(some[k])) for k in range(1, order + 1)],
                  pa.array(np.add.reduceat(n[mine], begin))], schema=pa.schema(fields),
             ))
+        return out
+
+    def shorten(packs: pa.Table) -> pa.Table:
+        names = {name: k for k, name in enumerate(dict.fromkeys(packs.column("lang").to_pylist()))}
+        langs = list(names)
+        blobs = pa.array([zstandard.ZstdDecompressor().decompress(w) for w in packs.column("words").to_pylist()], pa.large_binary())
+        lists = pc.split_pattern(blobs, pattern=b" ")
+        coded = lists.flatten().dictionary_encode()
+        words, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+        tables = [
+            np.concatenate(([0], codes[lo:hi] + 1)).astype(np.int32) for lo, hi in zip(lists.offsets.to_numpy()[:-1], lists.offsets.to_numpy()[1:])
+        ]
+        told = _hot_keys(hot, langs, words)
+        texts = pa.concat_arrays([pa.array([""]), words.cast(pa.large_string()).cast(pa.string())])
+        of_pack = [names[name] for name in packs.column("lang").to_pylist()]
+        out = []
+        for part in range(PARTS):
+            rows = []
+            for table, lang, windows in zip(tables, of_pack, packs.column("windows")):
+                body = _unpack(windows[part].as_py()).reshape(order + 1, -1)
+                rows.append(np.concatenate([np.full((1, body.shape[1]), lang, np.int32), table[body[:order]], body[order:]]))
+            rows = np.concatenate(rows, axis=1)
+            if rows.shape[1]:
+                out += shortened(rows, langs, told, texts)
         return pa.concat_tables(out)
 
     return shorten
@@ -271,7 +304,7 @@ def phrase_counts(docs: DataFrame, order: int = 3, least: int = 10, lang: str =
     hot = [(r.lang, bytes(r.w1), r.w2 and bytes(r.w2)) for r in found.filter(F.col("w1").isNotNull() & (F.col("n") * shards >= total)).collect()] if shards > 1 else []
     columns = ["lang", *[f"w{k + 1}" for k in range(order)]]
     windows = (
-        rows.mapInArrow(_deal(order, shards, hot), "shard int, lang string, words binary, windows binary")
+        rows.mapInArrow(_deal(order, shards, hot), "shard int, lang string, words binary, windows array<binary>")
         .repartition(shards, "shard").groupBy("shard")
         .applyInArrow(_shorten(order, least, hot), ", ".join(f"{c} string" for c in columns) + ", n long")
     )
