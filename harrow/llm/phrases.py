@@ -30,8 +30,8 @@ from harrow.llm.jaccard_join import mixed
 from harrow.operators.lookup import lookup_join
 from harrow.runtime import stabilise
 
-# Bytes of text a task counts at once (a quarter of them where only frequent words are looked for), and bytes of text whose windows make up a shard
-BLOCK_BYTES = 4 << 20
+# Characters of text a task counts at once at most (a quarter of them where only frequent words are looked for), and bytes of text whose windows make up a shard
+BLOCK_CHARS = 4 << 20
 SHARD_BYTES = 16 << 20
 # Parts of a shard that are added up one after the other
 PARTS = 8
@@ -81,14 +81,14 @@ class Block:
 
 
 def _blocks(batches, most: int, text: str = "text", lang: str = "lang"):
-    """Blocks of about ``most`` bytes of text; a longer text is a block of its own."""
+    """Blocks of ``most`` characters at most, half of them at least; a longer text is a block of its own."""
     texts, langs, size = [], [], 0
     for part in slices(batches, text, most):
         own = part.column(text).to_pylist()
         texts += own
         langs += part.column(lang).to_pylist()
         size += sum(map(len, own))
-        if size >= most:
+        if 2 * size >= most:
             yield Block(texts, langs)
             texts, langs, size = [], [], 0
     if texts:
@@ -100,7 +100,7 @@ def _frequent(shards: int):
     schema = pa.schema([("lang", pa.string()), ("w1", pa.binary()), ("w2", pa.binary()), ("n", pa.int64())])
 
     def find(batches):
-        for block in _blocks(batches, BLOCK_BYTES // 4):
+        for block in _blocks(batches, BLOCK_CHARS // 4):
             total, size = len(block.codes), len(block.words) + 1
             first, second = block.windows(2)
             rows = [(None, None, None, total)]
@@ -186,7 +186,7 @@ def _deal(order: int, shards: int, hot: list[tuple[str, bytes, bytes | None]]):
         return (number % np.uint64(shards * PARTS)).astype(np.int64)
 
     def deal(batches):
-        for block in _blocks(batches, BLOCK_BYTES):
+        for block in _blocks(batches, BLOCK_CHARS):
             if not len(block.codes):
                 continue
             size = len(block.words) + 1
