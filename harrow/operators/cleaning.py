@@ -206,7 +206,7 @@ def _impute_gaps(df: DataFrame) -> DataFrame:
     """Medians of the table as it stands; it is read several times, so it is written once."""
     df = stabilise(df)
     gaps = columns_with_gaps(df, numeric_columns(df))
-    return fill_missing(df, fit_medians(df, gaps)) if gaps else df
+    return fill_missing(df, fit_medians(df, gaps, stored=True)) if gaps else df
 
 
 def _in_country(df: DataFrame) -> DataFrame:

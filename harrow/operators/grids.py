@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harrow.operators.lookup import BROADCAST_ROWS, SALTS, bucket_join
+from harrow.runtime import stabilise
 
 CELL = ("latitude", "longitude")
 
@@ -76,9 +77,12 @@ def monthly_rain_stats(
         F.max(p).alias("rain_intensity_max"),
         F.stddev_pop(p).alias("precipitation_std"),
         F.coalesce(F.bit_or(F.when(p < wet, bit)), F.lit(0)).alias("_dry"),
+        F.coalesce(F.bit_or(F.when(p >= wet, bit)), F.lit(0)).alias("_wet"),
         F.coalesce(F.bit_or(F.when(p.isNotNull(), bit)), F.lit(0)).alias("_seen"),
     )
-    return stats.withColumn("max_dry_spell", _longest_dry_run(F.col("_dry"), F.col("_seen"))).drop("_dry", "_seen")
+    # a day with a wet and a dry reading is wet
+    dry = F.col("_dry").bitwiseAND(F.bitwise_not("_wet"))
+    return stats.withColumn("max_dry_spell", _longest_dry_run(dry, F.col("_seen"))).drop("_dry", "_wet", "_seen")
 
 
 def max_dry_spell(df: DataFrame, **options) -> DataFrame:
@@ -141,52 +145,57 @@ def zonal_means(grid: DataFrame, zones: DataFrame, **options) -> DataFrame:
 
 
 # --- nearest cell --------------------------------------------------------------------
-def _axis_gaps(grid: DataFrame, name: str) -> DataFrame:
-    """One row per gap of a coordinate axis and per degree it touches: ``_lo <= x < _hi``.
+def _nearest(points: DataFrame, cells: DataFrame, name: str, salts: int) -> DataFrame:
+    """Add ``cell_<name>``, the nearest coordinate of the axis: a merge of points and axis values in their common order.
 
-    An open end has the degree of its coordinate. Windows run inside one degree; only the first coordinate of
-    each degree is ordered as a whole.
+    Ranges of one degree are merged on their own; what lies before and after a degree comes from a table of one row per degree. The points of a
+    degree are dealt over ``salts`` merges, each of which gets the axis values of the degree, so a crowd at one place is spread.
     """
-    axis = grid.select(F.col(name).alias("_lo")).where(F.col("_lo").isNotNull()).distinct()
-    axis = axis.withColumn("_deg", F.floor("_lo").cast("int"))
-    firsts = axis.groupBy("_deg").agg(F.min("_lo").alias("_first"))
-    following = firsts.withColumn("_next", F.lead("_first").over(Window.orderBy("_deg"))).select("_deg", "_next")
-    gaps = axis.withColumn("_up", F.lead("_lo").over(Window.partitionBy("_deg").orderBy("_lo"))).join(
-        F.broadcast(following), "_deg"  # at most one row per degree
-    ).select("_lo", F.coalesce("_up", "_next").alias("_hi"))
-    before = firsts.agg(F.min("_first").alias("_hi")).select(F.lit(None).cast("double").alias("_lo"), "_hi")
-    touched = F.sequence(
-        F.floor(F.coalesce("_lo", "_hi")).cast("int"), F.floor(F.coalesce("_hi", "_lo")).cast("int")
+    axis = cells.select(F.col(name).cast("double").alias("_x")).where(F.col("_x").isNotNull()).distinct()
+    degree = F.floor("_x").cast("int").alias("_deg")
+    placed = points.where(F.col(name).isNotNull()).withColumn("_x", F.col(name).cast("double")).select("*", degree)
+    salted = placed.withColumn("_salt", F.pmod(F.xxhash64(*points.columns), F.lit(salts)).cast("int"))
+    ends = axis.select("_x", degree).groupBy("_deg").agg(F.min("_x").alias("_least"), F.max("_x").alias("_most"))
+    degrees = ends.unionByName(placed.select("_deg").distinct(), allowMissingColumns=True).groupBy("_deg").agg(
+        F.max("_least").alias("_least"), F.max("_most").alias("_most")
     )
-    return gaps.unionByName(before).withColumn("_deg", F.explode(touched))
-
-
-def _nearest(points: DataFrame, grid: DataFrame, name: str, max_rows: int) -> DataFrame:
-    p = F.col(name)
-    in_gap = (F.col("_lo").isNull() | (F.col("_lo") <= p)) & (F.col("_hi").isNull() | (p < F.col("_hi")))
-    gaps = _axis_gaps(grid, name)
-    least, most = _extent(grid, name)
-    # a point beyond the axis meets the gap at its end
-    degree = F.least(F.greatest(F.floor(p), F.lit(least)), F.lit(most)).cast("int")
-    low, high = p - F.col("_lo"), F.col("_hi") - p
-    # a tie goes to the larger coordinate
-    pick = F.when(F.col("_lo").isNull() | (high <= low), F.col("_hi")).otherwise(F.col("_lo"))
-    return (
-        bucket_join(points.withColumn("_deg", F.when(p.isNotNull(), degree)), gaps, ["_deg"], in_gap, max_rows)
-        .withColumn(f"cell_{name}", pick)
-        .drop("_deg", "_lo", "_hi")
+    along = Window.orderBy("_deg")
+    around = degrees.select(
+        "_deg", F.last("_most", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+        F.first("_least", ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("_after"),
+    )
+    values = axis.select("_x", degree, F.col("_x").alias("_axis")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    # beside a point of the same coordinate the axis value comes first in both directions
+    merged = salted.unionByName(values, allowMissingColumns=True)
+    range_ = Window.partitionBy("_deg", "_salt")
+    upward = range_.orderBy("_x", F.col("_axis").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    downward = range_.orderBy(F.desc("_x"), F.col("_axis").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    met = (
+        merged.withColumn("_lo", F.last("_axis", ignorenulls=True).over(upward))
+        .withColumn("_hi", F.last("_axis", ignorenulls=True).over(downward))
+        .where(F.col("_axis").isNull())
+        .join(F.broadcast(around), "_deg")  # one row per degree
+        .withColumn("_lo", F.coalesce("_lo", "_before")).withColumn("_hi", F.coalesce("_hi", "_after"))
     )
+    # a tie goes to the larger coordinate
+    upper = F.col("_lo").isNull() | (F.col("_hi") - F.col("_x") <= F.col("_x") - F.col("_lo"))
+    pick = F.when(upper, F.col("_hi")).otherwise(F.col("_lo"))
+    return met.select(*points.columns, pick.alias(f"cell_{name}")).where(F.col(f"cell_{name}").isNotNull())
+
 
+def nearest_cells(points: DataFrame, grid: DataFrame, salts: int = SALTS) -> DataFrame:
+    """Nearest latitude and nearest longitude of the grid for every point, chosen independently.
 
-def nearest_cells(points: DataFrame, grid: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Nearest latitude and nearest longitude of the grid for every point, chosen independently."""
-    out = _nearest(points, grid, "latitude", max_rows)
-    return _nearest(out, grid, "longitude", max_rows)
+    Both axes come from one stored table of the grid's cells. Points without a coordinate have no cell.
+    """
+    cells = stabilise(grid.select(*CELL).distinct())
+    out = _nearest(points, cells, "latitude", salts)
+    return _nearest(out, cells, "longitude", salts)
 
 
-def point_timeseries(grid: DataFrame, points: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def point_timeseries(grid: DataFrame, points: DataFrame, max_rows: int = BROADCAST_ROWS, salts: int = SALTS) -> DataFrame:
     """All times of the cell nearest to each point (``point_id, latitude, longitude``)."""
-    cells = nearest_cells(points, grid, max_rows).select(
+    cells = nearest_cells(points, grid, salts).select(
         "point_id", F.col("cell_latitude").alias("latitude"), F.col("cell_longitude").alias("longitude")
     )
     return bucket_join(grid, cells, list(CELL), F.lit(True), max_rows)

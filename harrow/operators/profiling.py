@@ -17,6 +17,7 @@ from harrow.functions.constants import (
 )
 from harrow.functions.nulls import float_columns, np_round
 from harrow.operators.quantiles import exact_percentiles
+from harrow.runtime import release, stabilise
 
 
 def _report(df: DataFrame, names: list[str], fields: dict[str, Callable[[str], Column]], label: str = "column_name") -> DataFrame:
@@ -136,22 +137,21 @@ def extreme_correlations(df: DataFrame, features: list[str], target: str, top: i
 
 
 def describe(df: DataFrame, columns: list[str] | None = None, **options) -> DataFrame:
-    """count, mean, sample deviation, min, quartiles, max per column; quartiles are exact."""
+    """count, mean, sample deviation, min, quartiles, max per column; quartiles are exact.
+
+    The columns are written once; all figures are aggregates of that table, one row per column.
+    """
     columns = columns or float_columns(df)
-    quartiles = exact_percentiles(df, columns, [0.25, 0.5, 0.75], **options)
-    quartile = lambda i: lambda c: F.lit(quartiles[c][i]).cast("double")
-    return _report(
-        df, columns,
-        {
-            "count": lambda c: F.count(c),
-            "mean": lambda c: F.avg(c),
-            "std": lambda c: F.stddev_samp(c),
-            "min": lambda c: F.min(c).cast("double"),
-            "p25": quartile(0),
-            "p50": quartile(1),
-            "p75": quartile(2),
-            "max": lambda c: F.max(c).cast("double"),
-        },
+    table = stabilise(df.select(*[F.col(c).cast("double").alias(c) for c in columns]))
+    try:
+        quartiles = exact_percentiles(table, columns, [0.25, 0.5, 0.75], stored=True, **options)
+        figures = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+        row = table.agg(*[f(c).alias(f"{n}_{i}") for i, c in enumerate(columns) for n, f in figures.items()]).first()
+    finally:
+        release(table)
+    rows = [(c, *[row[f"{n}_{i}"] for n in ("count", "mean", "std", "min")], *quartiles[c], row[f"max_{i}"]) for i, c in enumerate(columns)]
+    return df.sparkSession.createDataFrame(
+        rows, "column_name string, count long, mean double, std double, min double, p25 double, p50 double, p75 double, max double"
     )
 
 

@@ -1,9 +1,9 @@
 """Exact percentiles of whole columns without gathering a column anywhere.
 
-A table of at most ``DIRECT_ROWS`` rows is read off with Spark's own ``percentile``
+The columns are written once, so what they come from is read once. A table of at most ``DIRECT_ROWS`` rows is read off with Spark's own ``percentile``
 (its buffer holds the distinct values, so the row count bounds it). Otherwise:
 
-1. one aggregate brackets every wanted rank with an approximate sketch,
+1. one aggregate counts the values, finds their extremes and brackets every wanted rank with an approximate sketch,
 2. one aggregate counts the values below and inside each bracket, and about how
    many different ones are inside (copies of one value cost nothing),
 3. brackets with too many different values are narrowed by a 256-bin histogram,
@@ -21,6 +21,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from harrow.runtime import release, stabilise
+
 ACCURACY = 10_000
 MAX_VALUES = 20_000
 DIRECT_ROWS = 1_000_000
@@ -98,23 +100,37 @@ def exact_percentiles(
     accuracy: int = ACCURACY,
     max_values: int = MAX_VALUES,
     direct_rows: int = DIRECT_ROWS,
+    stored: bool = False,
 ) -> dict[str, list[float | None]]:
-    """Linearly interpolated percentiles per column, missing values skipped."""
+    """Linearly interpolated percentiles per column, missing values skipped.
+
+    ``stored`` says that ``df`` is a written table of these columns; otherwise they are written here and deleted at the end.
+    """
     if not columns:
         return {}
+    if stored:
+        return _percentiles(df, columns, probabilities, accuracy, max_values, direct_rows)
+    table = stabilise(df.select(*[F.col(c).cast("double").alias(c) for c in columns]))
+    try:
+        return _percentiles(table, columns, probabilities, accuracy, max_values, direct_rows)
+    finally:
+        release(table)
+
+
+def _percentiles(
+    df: DataFrame, columns: list[str], probabilities: list[float], accuracy: int, max_values: int, direct_rows: int
+) -> dict[str, list[float | None]]:
     df = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    margin = 2.0 / accuracy
+    around = [max(0.0, p - margin) for p in probabilities] + [min(1.0, p + margin) for p in probabilities]
     aggs = [f(c).alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in (("n", F.count), ("min", F.min), ("max", F.max))]
-    row = df.agg(*aggs).first()
-    if max(row[f"n{i}"] for i in range(len(columns))) <= direct_rows:
+    sketches = [F.percentile_approx(c, F.array(*map(F.lit, around)), accuracy).alias(f"s{i}") for i, c in enumerate(columns)]
+    if df.count() <= direct_rows:
         wanted = F.array(*map(F.lit, probabilities))
         exact = df.agg(*[F.percentile(c, wanted).alias(f"p{i}") for i, c in enumerate(columns)]).first()
         return {c: list(exact[f"p{i}"] or [None] * len(probabilities)) for i, c in enumerate(columns)}
+    row = sketched = df.agg(*aggs, *sketches).first()
 
-    margin = 2.0 / accuracy
-    around = [max(0.0, p - margin) for p in probabilities] + [min(1.0, p + margin) for p in probabilities]
-    sketched = df.agg(
-        *[F.percentile_approx(c, F.array(*map(F.lit, around)), accuracy).alias(f"s{i}") for i, c in enumerate(columns)]
-    ).first()
     targets: list[_Target] = []
     for i, c in enumerate(columns):
         for j, p in enumerate(probabilities):

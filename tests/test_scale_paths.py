@@ -236,12 +236,12 @@ def test_zone_join(spark, max_rows):
     assert got == sorted((z, v) for z, a, b, c, d in zones for lat, lon, v in cells if a <= lat <= b and c <= lon <= d)
 
 
-@pytest.mark.parametrize("max_rows", [50_000, 3])
-def test_nearest_cells(spark, max_rows):
+@pytest.mark.parametrize("salts", [1, 7])
+def test_nearest_cells(spark, salts):
     points = [(1, 2.25, 9.05), (2, -3.0, 30.0), (3, 9.5, 8.0), (4, 0.1, 21.3), (5, 4.74, 10.45), (6, 100.0, 8.35)]
     table = spark.createDataFrame(points, "point_id int, latitude double, longitude double")
     lats, lons = [i * 0.5 for i in range(20)], [i * 0.7 + 8 for i in range(20)]
-    got = {r["point_id"]: (r["cell_latitude"], r["cell_longitude"]) for r in grids.nearest_cells(table, _grid(spark), max_rows).collect()}
+    got = {r["point_id"]: (r["cell_latitude"], r["cell_longitude"]) for r in grids.nearest_cells(table, _grid(spark), salts).collect()}
     for p, lat, lon in points:
         if lat <= 90:
             assert got[p] == (min(lats, key=lambda c: (abs(c - lat), -c)), min(lons, key=lambda c: (abs(c - lon), -c)))
