@@ -363,10 +363,11 @@ def collocations(
     best = lookup_join(best, counts.filter("words = 0").select("lang", F.col("n").alias("all_words")), "lang", "inner")
     flat = best.select("lang", "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), F.col("all_words").alias("n"), F.col("cut.score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
-    ranked = flat.withColumn("rank", rank.cast("long"))
+    # Spark limits each language inside the tasks before it deals the rows by language
+    ranked = flat.withColumn("rank", rank)
     if top is not None:
         ranked = ranked.filter(F.col("rank") <= top)
-    return ranked.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
 COLLOCATION_SQL = r"""
