@@ -30,6 +30,8 @@ TASK_ELEMENTS = 500_000
 # Keys a task holds before it hands them on
 HELD = 2_000_000
 _WORDS_KEPT = 500_000
+# Marks the set that stands for others of its task
+_STANDS_FOR_OTHERS = 1 << 30
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
 
@@ -124,8 +126,8 @@ def _sketch(n: int, percent: int):
 
 
 def _list_keys(n: int, percent: int, buckets: int):
-    """Keys of the texts by bucket. Of the sets that share a key inside the task only the smallest goes to the key's bucket (``sub`` 0);
-    they themselves go to one of many other groups, so a key that a third of all sets have is spread."""
+    """Keys of the texts by bucket. Of the sets that share a key inside the task only the smallest goes to the key's bucket (``sub`` 0), with a mark;
+    the others go to one of many other groups, so a key that a third of all sets have is spread. Every set and key is listed once."""
 
     def rows(keys, tids, skips):
         code = ((keys >> np.uint64(32)) % np.uint64(buckets) << np.uint64(32)) | (keys & np.uint64(0xFFFFFFFF))
@@ -134,7 +136,8 @@ def _list_keys(n: int, percent: int, buckets: int):
         first = np.concatenate(([True], code[1:] != code[:-1]))
         start = np.flatnonzero(first)
         length = np.diff(np.append(start, len(code)))
-        many = np.repeat(length > 1, length)
+        skips[start] |= np.where(length > 1, np.int32(_STANDS_FOR_OTHERS), np.int32(0))
+        many = ~first
         sub = 1 + int(mixed(tids[:1].view(np.uint64))[0] % np.uint64(1 << 30))
         for chosen, own_sub in ((first, 0), (many, sub)):
             c, t, m = code[chosen], tids[chosen], skips[chosen]
@@ -180,8 +183,9 @@ def _share(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         code, tids, skips = code[order], tids[order], skips[order]
         start = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
         length = np.diff(np.append(start, len(code)))
-        many = np.repeat(length > 1, length)
+        many = np.repeat(length > 1, length) | (skips >= _STANDS_FOR_OTHERS)
         code, tids, skips = code[many], tids[many], skips[many]
+    skips = skips & (_STANDS_FOR_OTHERS - 1)
     return pa.table({"code": pa.array(code, pa.int64()), "tid": pa.array(tids, pa.int64()), "skip": pa.array(skips, pa.int32())})
 
 
@@ -237,10 +241,14 @@ def similar(x: str, y: str, percent: int):
 
 
 def plausible(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (``size``, ``bits``, ``size_2``, ``bits_2``) that sizes and bitmaps leave open."""
-    differ = sum(F.bit_count(F.col("bits")[k].bitwiseXOR(F.col("bits_2")[k])) for k in range(BITMAP_BYTES // 8))
-    most = F.floor((F.col("size") + F.col("size_2") - differ) / 2)
-    return pairs.filter(similar("size", "size_2", percent)).filter(100 * most >= percent * (F.col("size") + F.col("size_2") - most))
+    """Pairs (``size``, ``bits``, ``size_2``, ``bits_2``) that sizes, half of the bitmaps and the whole bitmaps leave open."""
+    both = F.col("size") + F.col("size_2")
+
+    def overlap(words: int):
+        differ = sum(F.bit_count(F.col("bits")[k].bitwiseXOR(F.col("bits_2")[k])) for k in range(words))
+        return 100 * (both - differ) >= percent * (both + differ)
+
+    return pairs.filter(similar("size", "size_2", percent)).filter(overlap(BITMAP_BYTES // 16)).filter(overlap(BITMAP_BYTES // 8))
 
 
 def link_texts(texts: DataFrame, sketches: DataFrame, n: int, percent: int) -> DataFrame:
@@ -249,7 +257,7 @@ def link_texts(texts: DataFrame, sketches: DataFrame, n: int, percent: int) -> D
     buckets = max(1, math.ceil(total / TASK_ELEMENTS))
     listed = texts.select("tid", "text").mapInArrow(_list_keys(n, percent, buckets), "bucket long, sub long, keys binary, tids binary, skips binary")
     shared = listed.groupBy("bucket", "sub").applyInArrow(_share, "code long, tid long, skip int")
-    shared = stabilise(shared.distinct())
+    shared = stabilise(shared)
     # each set passes over its most common keys, as many as its tile spares
     common = shared.groupBy("code").agg(F.count("*").alias("sets"))
     mine = Window.partitionBy("tid", "skip").orderBy(F.desc("sets"), F.desc("code"))
