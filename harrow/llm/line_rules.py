@@ -3,7 +3,7 @@
 Everything is a column expression or a join. A line is normalised (lower case, white space as
 one space, trimmed) and hashed; the number of different texts that hold it is counted for each host. A line above the
 limit goes from every document but the first that holds it, and a document left with too little is
-rejected. Exact copies of a text count once, so copying a good document does not condemn its lines.
+rejected. The limit is a number of texts, the same for hosts of every size. Exact copies of a text count once, so copying a good document does not condemn its lines.
 """
 
 from __future__ import annotations
@@ -13,22 +13,24 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from harrow.llm.common import WORD, column_names, text_key, text_or_empty
+from harrow.llm.common import WORD, column_names, text_or_empty
+from harrow.operators.lookup import lookup_join
+from harrow.runtime import stabilise
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
+# Different texts of a host that may share a line
+LIMIT = 5
 
 
 @dataclass(frozen=True)
 class Limits:
     """``min_words``, ``max_repeat_percent``: of the base rules. A line is shared too widely in more than ``line_texts``
-    texts of a host that are also more than ``line_percent`` of its texts. A document is depleted with
-    fewer than ``min_words`` words left or less than ``min_left_percent`` of its words."""
+    different texts of a host. A document is depleted with fewer than ``min_words`` words left or less than ``min_left_percent`` of its words."""
 
     min_words: int = 10
     max_repeat_percent: int = 20
-    line_texts: int = 100
-    line_percent: int = 2
+    line_texts: int = LIMIT
     min_left_percent: int = 30
 
 
@@ -121,22 +123,17 @@ def _lines(docs: DataFrame, host: str, text: str, *more: Column) -> DataFrame:
     )
 
 
-def shared_lines(docs: DataFrame, limits: Limits = Limits(), host: str = "source", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(``host``, ``line`` hash, ``texts``, ``first_doc``): lines in too many different texts of a host. A null host is the empty one."""
-    key = F.xxhash64(text_or_empty(text)).alias("text_hash")
-    lines = _lines(docs, host, text, key, F.col(doc_id).cast("long").alias("doc_id"))
-    counts = (
+def _shared(lines: DataFrame, limits: Limits) -> DataFrame:
+    return (
         lines.groupBy("host", "line", "text_hash").agg(F.min("doc_id").alias("first_doc"))
         .groupBy("host", "line").agg(F.count("*").alias("texts"), F.min("first_doc").alias("first_doc"))
         .filter(F.col("texts") > limits.line_texts)
     )
-    sizes = (
-        docs.select(F.coalesce(F.col(host).cast("string"), F.lit("")).alias("of"), key).distinct()
-        .groupBy("of").agg(F.count("*").alias("host_texts"))
-    )
-    return counts.join(sizes, F.col("host") == F.col("of")).filter(
-        100 * F.col("texts") > limits.line_percent * F.col("host_texts")
-    ).select("host", "line", "texts", "first_doc")
+
+
+def shared_lines(docs: DataFrame, limits: Limits = Limits(), host: str = "source", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(``host``, ``line`` hash, ``texts``, ``first_doc``): lines in too many different texts of a host. A null host is the empty one."""
+    return _shared(_lines(docs, host, text, F.xxhash64(text_or_empty(text)).alias("text_hash"), F.col(doc_id).cast("long").alias("doc_id")), limits)
 
 
 def judge(docs: DataFrame, limits: Limits = Limits(), host: str = "source", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -154,10 +151,11 @@ def judge(docs: DataFrame, limits: Limits = Limits(), host: str = "source", doc_
     base = base_counts(rows, "text", limits).groupBy("doc_id", "host", "text_hash").agg(
         F.count("*").alias("rows"), *[F.first(c).alias(c) for c in counted]
     )
-    shared = shared_lines(rows, limits, "host")
-    mine = _lines(rows, "host", "text", F.col("text_hash"), F.col("doc_id"))
+    # hashes and word counts, written once: the texts are cut into lines one time
+    lines = stabilise(_lines(rows, "host", "text", F.col("text_hash"), F.col("doc_id")))
+    shared = stabilise(_shared(lines, limits).select("host", "line", "first_doc"))
     lost = (
-        mine.join(shared.select("host", "line", "first_doc"), ["host", "line"])
+        lookup_join(lines, shared, ["host", "line"], "inner")
         .filter(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
         .groupBy(F.col("doc_id").alias("d"), F.col("host").alias("h"), F.col("text_hash").alias("t"))
         .agg(F.sum("words").alias("lost"), F.collect_set("line").alias("shared_lines"))
@@ -209,8 +207,7 @@ u as (select doc_id, host, text, unnest(lines) as raw from b),
 l as (select doc_id, host, text, trim(regexp_replace(lower(raw), '[\x20\x09-\x0D]+', ' ', 'g')) as line,
   len(regexp_extract_all(raw, '[^\x20\x09-\x0D]+')) as words from u),
 s as (select host, line, min(doc_id) as first_doc, count(distinct text) as texts from l group by 1, 2),
-h as (select host, count(distinct text) as host_texts from d group by 1),
-x as (select s.* from s join h on s.host = h.host where texts > {line_texts} and 100 * texts > {line_percent} * host_texts),
+x as (select * from s where texts > {line_texts}),
 t as (select doc_id, sum(words)::bigint as removed_words from l join x on l.host = x.host and l.line = x.line where doc_id <> first_doc group by 1),
 f as (select b.*, coalesce(removed_words, 0)::bigint as removed_words,
   n_words < {min_words} or 100 * n_repeat_words > {max_repeat_percent} * n_words as base_failed from b left join t on b.doc_id = t.doc_id)
