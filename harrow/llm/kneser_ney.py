@@ -2,18 +2,22 @@
 
 Counts of the trusted texts are summed over shards of n-grams; continuation counts, context totals and discounts are aggregates
 of them, and each order's probabilities come from joins of n-grams with their contexts and with the next lower
-order (Chen and Goodman 1998). To score, every group of documents lists its distinct n-grams, these are joined with the
-model's counts once, and the group's documents add up the logarithms. The threshold is a quantile of each language's documents.
+order (Chen and Goodman 1998). To score, every block of documents lists its distinct n-grams, these are joined with the
+model's counts once, and the block's documents add up the logarithms. The threshold is a quantile of each language's documents.
+
+An n-gram is two columns: ``ctx``, the code points of up to three characters with 21 bits each, and ``sym``, the code point that follows. So no two
+characters are alike, however many there are. Inside a task they have numbers of 16 bits, in the order in which the task meets them.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,91 +26,142 @@ from harrow.llm.language import merge
 from harrow.runtime import stabilise
 
 ORDER = 4
-BITS = 15
-# Symbols a prediction chooses from
-SYMBOLS = 1 << BITS
-GROUP_BYTES = 24 << 20
+# Bits of a code point, and code points there are
+BITS, POINTS = 21, 0x110000
+# Characters of text in a block
+BLOCK_CHARS = 24 << 20
 HELD = 1 << 21
-
-
-class Alphabet:
-    """Numbers of characters, no two of the trusted text alike. ``chars``: their code points; all other characters share one number,
-    which changes no probability, as the model has seen none of them."""
-
-    def __init__(self, chars=None):
-        self.chars = np.arange(SYMBOLS - 1) if chars is None else np.union1d(np.asarray(chars, np.int64), [32])
-        self.bits = BITS if len(self.chars) < SYMBOLS else 16
-        if len(self.chars) >= 1 << self.bits:
-            raise ValueError(f"{len(self.chars)} different characters in trusted text; 4-grams of 64 bits take {(1 << self.bits) - 1}")
-        self.table = None
-
-    def __getstate__(self):
-        return {**self.__dict__, "table": None}
-
-    def numbers(self, code: np.ndarray) -> np.ndarray:
-        if self.table is None:
-            # a code point that fits is its own number, the others take what is free
-            own = self.chars < 1 << self.bits
-            free = np.setdiff1d(np.arange(1 << self.bits), self.chars[own])
-            table = np.full(0x110000, free[-1], np.int64)
-            table[self.chars[own]] = self.chars[own]
-            table[self.chars[~own]] = free[: (~own).sum()]
-            self.table = table
-        return self.table[code]
-
-
-PLAIN = Alphabet()
+# Trusted ids (8 bytes each) that are broadcast; beyond that trusted texts are found by one join
+BROADCAST_IDS = 1_000_000
 
 
 def _codes(text: str) -> np.ndarray:
     return np.frombuffer(" ".join(text.split()).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
 
 
-def grams(text: str, alphabet: Alphabet = PLAIN) -> np.ndarray:
-    """4-grams of the text, white space as one blank, three blanks before it; the low bits are the predicted character."""
-    code = alphabet.numbers(np.concatenate((np.full(ORDER - 1, 32, np.int64), _codes(text))))
-    out = np.zeros(max(0, len(code) - ORDER + 1), np.int64)
-    for k in range(ORDER):
-        out = (out << alphabet.bits) | code[k : len(code) - ORDER + 1 + k]
-    return out
+def stretch(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts, white space as one blank and three blanks before each; and where their 4-grams begin."""
+    parts, begins, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    for text in texts:
+        own = np.concatenate((np.full(ORDER - 1, 32, np.int64), _codes(text)))
+        parts.append(own)
+        begins.append(np.arange(at, at + len(own) - ORDER + 1))
+        at += len(own)
+    return np.concatenate(parts), np.concatenate(begins)
+
+
+def windows(code: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``ctx`` and ``sym`` of the 4-grams."""
+    ctx = np.zeros(len(begins), np.int64)
+    for k in range(ORDER - 1):
+        ctx = (ctx << BITS) | code[begins + k]
+    return ctx, code[begins + ORDER - 1]
+
+
+class Letters:
+    """Numbers of 16 bits for the characters a task has met; a 4-gram of them is one number of 64 bits."""
+
+    def __init__(self):
+        self.table, self.chars = np.full(POINTS, -1, np.int64), np.zeros(0, np.int64)
+
+    def add(self, code: np.ndarray) -> bool:
+        """Whether there are numbers for all of them."""
+        new = np.zeros(POINTS, bool)
+        new[code] = True
+        new = np.flatnonzero(new & (self.table < 0))
+        if len(self.chars) + len(new) > 1 << 16:
+            return False
+        self.table[new] = np.arange(len(self.chars), len(self.chars) + len(new))
+        self.chars = np.concatenate((self.chars, new))
+        return True
+
+    def pack(self, columns: Iterable[np.ndarray]) -> np.ndarray:
+        out = np.uint64(0)
+        for column in columns:
+            out = (out << np.uint64(16)) | self.table[column].astype(np.uint64)
+        return out
+
+    def unpack(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        each = [self.chars[((grams >> np.uint64(16 * (ORDER - 1 - k))) & np.uint64(0xFFFF)).astype(np.int64)] for k in range(ORDER)]
+        ctx = each[0]
+        for column in each[1:-1]:
+            ctx = (ctx << BITS) | column
+        return ctx, each[-1]
+
+
+def _characters(ctx: np.ndarray, sym: np.ndarray) -> list[np.ndarray]:
+    return [*[(ctx >> (BITS * (ORDER - 2 - k))) & ((1 << BITS) - 1) for k in range(ORDER - 1)], sym]
+
+
+def _tallies(parts: Iterable[tuple[int, list[str]]]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(key, ``ctx``, ``sym``, number) of the distinct 4-grams of the texts of each key, as far as they were held together; keys come one after the other."""
+    letters, held = Letters(), {}
+
+    def out():
+        for key, (grams, n) in held.items():
+            yield key, *letters.unpack(grams), n
+        held.clear()
+
+    for key, texts in parts:
+        if key not in held:
+            yield from out()
+        code, begins = stretch(texts)
+        if not letters.add(code):
+            yield from out()
+            letters = Letters()
+            if not letters.add(code):  # more characters than 16 bits number: count the pairs themselves
+                ctx, sym = windows(code, begins)
+                pairs, n = np.unique(np.stack([ctx, sym]), axis=1, return_counts=True)
+                yield key, pairs[0], pairs[1], n
+                letters = Letters()
+                continue
+        own = np.unique(letters.pack(code[begins + k] for k in range(ORDER)), return_counts=True)
+        held[key] = merge([held[key], own]) if key in held else own
+        if sum(len(g) for g, _ in held.values()) > HELD:
+            yield from out()
+    yield from out()
+
+
+def _zipped(*names: str):
+    """Rows whose ``text`` becomes ``z``, compressed."""
 
+    def shrink(batches):
+        for part in slices(batches):
+            packed = [zstandard.ZstdCompressor(level=3).compress(t.encode()) for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.array(packed, pa.binary())], [*names, "z"])
 
-def trusted_texts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """(``doc_id``, ``text``) of every trusted document."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return rows.join(trusted.select(F.col("doc_id").cast("long").alias("doc_id")).dropna().distinct(), "doc_id", "left_semi")
+    return shrink
 
 
-def trusted_alphabet(docs: DataFrame, trusted: DataFrame) -> Alphabet:
-    """Numbers for all characters of the trusted documents."""
+def trusted_texts(docs: DataFrame, trusted: DataFrame, most_ids: int = BROADCAST_IDS) -> DataFrame:
+    """(``text``) of every document whose id is in ``trusted``, a row for each.
 
-    def found(batches):
-        seen = np.zeros(0x110000, bool)
-        for part in slices(batches):
-            for text in part.column("text").to_pylist():
-                seen[_codes(text)] = True
-        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(seen), pa.int64())], ["code"])
+    Up to ``most_ids`` different ids are broadcast; more of them meet the compressed texts in one join, which is written.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    ids = stabilise(trusted.select(F.col("doc_id").cast("long").alias("doc_id")).dropna().distinct())
+    if ids.count() <= most_ids:
+        return rows.join(F.broadcast(ids), "doc_id", "left_semi").select("text")
+    small = rows.where("doc_id is not null").mapInArrow(_zipped("doc_id"), "doc_id long, z binary")
+    found = stabilise(small.join(ids.hint("shuffle_merge"), "doc_id", "left_semi").select("z"))
 
-    rows = trusted_texts(docs, trusted).select("text").mapInArrow(found, "code long").distinct()
-    return Alphabet([r[0] for r in rows.collect()])  # as many as there are characters at most
+    def restore(batches):
+        for batch in batches:
+            texts = [zstandard.ZstdDecompressor().decompress(z).decode() for z in batch.column("z").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
 
+    return found.mapInArrow(restore, "text string")
 
-def count_trusted(docs: DataFrame, trusted: DataFrame, alphabet: Alphabet = PLAIN) -> DataFrame:
-    """(``gram``, ``n``) over all trusted documents."""
+
+def count_trusted(docs: DataFrame, trusted: DataFrame, most_ids: int = BROADCAST_IDS) -> DataFrame:
+    """(``ctx``, ``sym``, ``n``) over all trusted documents."""
 
     def count(batches):
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        for part in slices(batches):
-            own = [grams(t, alphabet) for t in part.column("text").to_pylist()]
-            held = [merge([*held, np.unique(np.concatenate(own), return_counts=True)])]
-            if len(held[0][0]) > HELD:
-                yield pa.RecordBatch.from_arrays([pa.array(held[0][0]), pa.array(held[0][1], pa.int64())], ["gram", "n"])
-                held = []
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(held[0][0]), pa.array(held[0][1], pa.int64())], ["gram", "n"])
+        for _, ctx, sym, n in _tallies((0, part.column("text").to_pylist()) for part in slices(batches)):
+            yield pa.RecordBatch.from_arrays([pa.array(ctx, pa.int64()), pa.array(sym, pa.int32()), pa.array(n, pa.int64())], ["ctx", "sym", "n"])
 
-    rows = trusted_texts(docs, trusted).select("text")
-    return rows.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    texts = trusted_texts(docs, trusted, most_ids)
+    return texts.mapInArrow(count, "ctx long, sym int, n long").groupBy("ctx", "sym").agg(F.sum("n").alias("n"))
 
 
 def _discounts(counts: DataFrame) -> tuple[float, float, float]:
@@ -119,102 +174,119 @@ def _discounts(counts: DataFrame) -> tuple[float, float, float]:
 
 
 class Model:
-    """Tables of each order: ``direct`` (gram, p without the lower order) and ``back`` (context, weight of the lower order)."""
+    """Tables of each order: ``direct`` (``ctx``, ``sym``, p without the lower order) and ``back`` (``ctx``, weight of the lower order)."""
 
-    def __init__(self, counts: DataFrame, alphabet: Alphabet = PLAIN):
-        self.direct, self.back, self.alphabet = {}, {}, alphabet
+    def __init__(self, counts: DataFrame):
+        self.direct, self.back = {}, {}
         table = counts
         for order in range(ORDER, 0, -1):
             table = stabilise(table)
             d1, d2, d3 = _discounts(table)
             off = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-            rows = table.withColumn("context", F.shiftrightunsigned("gram", alphabet.bits))
-            back = rows.groupBy("context").agg(F.sum("n").alias("total"), F.sum(off).alias("given")).select(
-                "context", "total", (F.col("given") / F.col("total")).alias("back")
+            back = table.groupBy("ctx").agg(F.sum("n").alias("total"), F.sum(off).alias("given")).select(
+                "ctx", "total", (F.col("given") / F.col("total")).alias("back")
             )
             self.back[order] = stabilise(back)
             self.direct[order] = stabilise(
-                rows.join(self.back[order], "context").select("gram", (F.greatest(F.col("n") - off, F.lit(0.0)) / F.col("total")).alias("p"))
+                table.join(self.back[order], "ctx").select("ctx", "sym", (F.greatest(F.col("n") - off, F.lit(0.0)) / F.col("total")).alias("p"))
             )
-            # each distinct longer gram counts its ending once
-            mask = (1 << (alphabet.bits * (order - 1))) - 1
-            table = table.groupBy(F.col("gram").bitwiseAND(F.lit(mask)).alias("gram")).agg(F.count("*").alias("n"))
+            if order == 1:  # the characters counted, and one for all others
+                self.base = 1.0 / (table.count() + 1)
+            else:  # each distinct longer gram counts its ending once
+                table = table.groupBy(self._shorter(order - 1).alias("ctx"), "sym").agg(F.count("*").alias("n"))
+
+    @staticmethod
+    def _shorter(order: int):
+        """The context of the gram's last ``order`` characters."""
+        return F.col("ctx").bitwiseAND(F.lit((1 << (BITS * (order - 1))) - 1))
 
     def log_probability(self, asked: DataFrame) -> DataFrame:
-        """(``gram``, ``logp``) of distinct grams: per order the discounted share plus the freed weight times the order below."""
-        out = asked.select("gram").withColumn("p", F.lit(1.0 / (1 << self.alphabet.bits)))
+        """(``ctx``, ``sym``, ``logp``) of distinct grams: per order the discounted share plus the freed weight times the order below."""
+        out = asked.select("ctx", "sym").withColumn("p", F.lit(self.base))
         for order in range(1, ORDER + 1):
-            mask = (1 << (self.alphabet.bits * order)) - 1 if order < ORDER else -1
-            out = out.withColumn("own", F.col("gram").bitwiseAND(F.lit(mask))).withColumn("ctx", F.shiftrightunsigned("own", self.alphabet.bits))
-            direct = self.direct[order].select(F.col("gram").alias("own"), F.col("p").alias("share"))
-            back = self.back[order].select(F.col("context").alias("ctx"), "back")
-            out = out.join(direct, "own", "left").join(back, "ctx", "left").select(
-                "gram", (F.coalesce("share", F.lit(0.0)) + F.coalesce("back", F.lit(1.0)) * F.col("p")).alias("p")
+            direct = self.direct[order].select(F.col("ctx").alias("own"), "sym", F.col("p").alias("share"))
+            back = self.back[order].select(F.col("ctx").alias("own"), "back")
+            back = F.broadcast(back) if order == 1 else back  # one row
+            out = out.withColumn("own", self._shorter(order)).join(direct, ["own", "sym"], "left").join(back, "own", "left").select(
+                "ctx", "sym", (F.coalesce("share", F.lit(0.0)) + F.coalesce("back", F.lit(1.0)) * F.col("p")).alias("p")
             )
-        return out.select("gram", F.log("p").alias("logp"))
+        return out.select("ctx", "sym", F.log("p").alias("logp"))
+
+
+def _scores(texts: list[str], ctx: np.ndarray, sym: np.ndarray, logp: np.ndarray) -> Iterator[float | None]:
+    """Perplexity of each text, from the logarithms of all its grams."""
+    letters, known = Letters(), _characters(ctx, sym)
+    if not letters.add(np.concatenate(known)):
+        table = dict(zip(zip(ctx.tolist(), sym.tolist()), logp.tolist()))
+        for text in texts:
+            own = [table[pair] for pair in zip(*(x.tolist() for x in windows(*stretch([text]))))]
+            yield math.exp(-sum(own) / len(own)) if own else None
+        return
+    gram = letters.pack(known)
+    order = np.argsort(gram)
+    gram, logp = gram[order], logp[order]
+    for text in texts:
+        code, begins = stretch([text])
+        own = letters.pack(code[begins + k] for k in range(ORDER))
+        yield float(np.exp(-logp[np.searchsorted(gram, own)].mean())) if len(begins) else None
 
 
 def perplexities(docs: DataFrame, model: Model) -> DataFrame:
     """(``doc_id``, ``lang``, ``n_grams``, ``perplexity``) of every whole text; null without a character."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), text_or_empty().alias("text"))
-    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    groups = max(1, math.ceil(total / GROUP_BYTES))
-    alphabet = model.alphabet
-    rows = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)))
-
-    def distinct(batches):
-        held: dict[int, np.ndarray] = {}
-        size = 0
-
-        def out():
-            for grp, own in held.items():
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), grp)), pa.array(own)], ["grp", "gram"])
-            held.clear()
-
-        for part in slices(batches):
-            by: dict[int, list] = {}
-            for grp, text in zip(part.column("grp").to_pylist(), part.column("text").to_pylist()):
-                by.setdefault(grp, []).append(grams(text, alphabet))
-            for grp, own in by.items():
-                held[grp] = np.unique(np.concatenate([*own, held.get(grp, np.zeros(0, np.int64))]))
-            size = sum(map(len, held.values()))
-            if size > HELD:
-                yield from out()
-        yield from out()
-
-    asked = stabilise(rows.select("grp", "text").mapInArrow(distinct, "grp long, gram long").distinct())
-    known = model.log_probability(asked.select("gram").distinct())
-    answers = asked.join(known, "gram")
-
-    def shrink(batches):
-        for part in slices(batches):
-            packed = [zstandard.ZstdCompressor(level=3).compress(t.encode()) for t in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("grp", "doc_id", "lang")], pa.array(packed, pa.binary())], ["grp", "doc_id", "lang", "z"])
+    schema = pa.schema([
+        ("grp", pa.int64()), ("doc_id", pa.int64()), ("lang", pa.string()), ("z", pa.binary()), ("ctx", pa.int64()), ("sym", pa.int32()),
+    ])
+
+    def batch(grp: int, n: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(n, grp)), *[columns.get(f.name, pa.nulls(n, f.type)) for f in list(schema)[1:]]], schema=schema
+        )
+
+    def listed(batches):
+        """Blocks of texts, compressed, and after them the distinct 4-grams of the block; a block is part of one task's output."""
+        first, ready = TaskContext.get().partitionId() << 24, []
+
+        def parts():
+            block = size = 0
+            for part in slices(batches):
+                texts = part.column("text").to_pylist()
+                packed = [zstandard.ZstdCompressor(level=3).compress(t.encode()) for t in texts]
+                ready.append(batch(first + block, len(texts), doc_id=part.column("doc_id"), lang=part.column("lang"), z=pa.array(packed, pa.binary())))
+                yield first + block, texts
+                size += sum(map(len, texts))
+                if size >= BLOCK_CHARS:
+                    block, size = block + 1, 0
+
+        for grp, ctx, sym, _ in _tallies(parts()):
+            yield from ready
+            ready.clear()
+            yield batch(grp, len(ctx), ctx=pa.array(ctx, pa.int64()), sym=pa.array(sym, pa.int32()))
+        yield from ready
+
+    blocks = stabilise(rows.mapInArrow(listed, "grp long, doc_id long, lang string, z binary, ctx long, sym int"))
+    asked = blocks.where("z is null").select(F.col("grp").alias("block"), "ctx", "sym")
+    known = model.log_probability(asked.select("ctx", "sym").distinct())
+    answers = asked.join(known, ["ctx", "sym"]).select("block", "ctx", "sym", "logp")
 
     def score(texts: pa.Table, known: pa.Table) -> pa.Table:
-        gram, logp = known.column("gram").to_numpy(), known.column("logp").to_numpy()
-        order = np.argsort(gram)
-        gram, logp = gram[order], logp[order]
-        n, value = [], []
-        for z in texts.column("z").to_pylist():
-            own = grams(zstandard.ZstdDecompressor().decompress(z).decode(), alphabet)
-            n.append(len(own))
-            value.append(float(np.exp(-logp[np.searchsorted(gram, own)].mean())) if len(own) else None)
+        whole = [zstandard.ZstdDecompressor().decompress(z).decode() for z in texts.column("z").to_pylist()]
+        value = list(_scores(whole, known.column("ctx").to_numpy(), known.column("sym").to_numpy().astype(np.int64), known.column("logp").to_numpy()))
+        n = [len(_codes(t)) for t in whole]
         return pa.table({"doc_id": texts.column("doc_id"), "lang": texts.column("lang"), "n_grams": pa.array(n, pa.int64()), "perplexity": pa.array(value, pa.float64())})
 
-    packed = rows.select("grp", "doc_id", "lang", "text").mapInArrow(shrink, "grp long, doc_id long, lang string, z binary")
-    return packed.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(score, "doc_id long, lang string, n_grams long, perplexity double")
+    packed = blocks.where("z is not null").select("grp", "doc_id", "lang", "z")
+    return packed.groupBy("grp").cogroup(answers.groupBy("block")).applyInArrow(score, "doc_id long, lang string, n_grams long, perplexity double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.95) -> DataFrame:
-    """One row per document: ``doc_id``, ``lang``, ``n_grams``, ``perplexity``, ``threshold`` of its language, ``kept``.
+    """One row per row of ``docs``: ``doc_id``, ``lang``, ``n_grams``, ``perplexity``, ``threshold`` of its language, ``kept``.
 
-    Trusted are documents with a label of quality 1. A null language is a language of its own. A text without a character has no perplexity
-    and is not kept. Without trusted text every n-gram is as likely as any other and all texts with characters are kept.
+    Trusted are documents with a label of quality 1; repeated labels count once, repeated rows each, null ids are never trusted. A null language
+    is a language of its own. A text without a character has no perplexity and is not kept. Without trusted text every
+    n-gram is as likely as any other and all texts with characters are kept. The threshold is Spark's approximate quantile, a ten-thousandth of the rows off at most.
     """
-    trusted = labels.filter("quality = 1")
-    alphabet = trusted_alphabet(docs, trusted)
-    model = Model(count_trusted(docs, trusted, alphabet), alphabet)
+    model = Model(count_trusted(docs, labels.filter("quality = 1")))
     scored = stabilise(perplexities(docs, model))
     limits = stabilise(scored.groupBy(F.col("lang").alias("of")).agg(F.percentile_approx("perplexity", quantile, 10_000).alias("threshold")))
     few = limits.count() <= 10_000
