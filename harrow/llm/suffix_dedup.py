@@ -5,13 +5,14 @@ A byte goes if a string of ``size`` bytes that covers it also starts in a docume
 depends on those bytes alone, the least hash of the 16-byte strings in them: equal strings meet in one shard, and a run of
 starts with one number travels as one piece of text.
 
-1. Every task lists the numbers of its texts, and a shard tells which of them occur in more than one text.
+1. Every task lists the numbers of its texts, and a shard tells which of them occur in more than one document.
 2. Only those runs are sent, with their bytes. A shard sorts their suffixes: first by eight bytes, then by a mergesort
    that finds the common extension of two suffixes by binary search over prefix polynomial hashes. Neighbours
    with the same hash of ``size`` bytes are compared byte by byte before they count as equal.
 3. The repeated stretches go back to their documents.
 
-Whole copies are recognised by digest before that and take no part in the shards.
+Documents are dealt to groups. The texts are sent to their groups once, compressed; steps 2 and 3 both read that exchange. Whole copies are
+recognised by digest and send no runs.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,8 +32,9 @@ from harrow.llm.jaccard_join import mixed
 from harrow.runtime import stabilise
 
 GRAM = 16
-# Bytes of text in a group of documents, and bytes handled at once inside it
-GROUP_BYTES = 4 << 20
+# Bytes of text in a group of documents, of texts whose numbers make up a shard, and bytes handled at once inside a group
+GROUP_BYTES = 32 << 20
+SHARD_BYTES = 4 << 20
 STEP_BYTES = 1 << 19
 # Numbers a task holds before it hands them on
 HELD = 1 << 20
@@ -214,50 +217,58 @@ def _place(number: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
     return ((number >> np.uint64(32)) % np.uint64(shards)).astype(np.int64), (number & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
-_LISTED = pa.schema([("shard", pa.int32()), ("grp", pa.int64()), ("numbers", pa.binary()), ("of_text", pa.binary())])
+def _pack_numbers(numbers: np.ndarray) -> bytes:
+    """Ascending numbers: steps by byte place, compressed."""
+    steps = np.diff(numbers, prepend=np.uint32(0)).astype("<u4")
+    return _pack(steps.view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _unpack_numbers(raw: bytes) -> np.ndarray:
+    places = np.frombuffer(_unpack(raw), np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(places.T).view("<u4").ravel(), dtype=np.uint32)
+
+
+_LISTED = pa.schema([("shard", pa.int32()), ("grp", pa.int64()), ("numbers", pa.binary()), ("several", pa.binary())])
 
 
 def _list_numbers(size: int, shards: int):
-    """Numbers by shard and group, each with 64 bits of its text's digest, twice at most: two texts are enough to be told."""
+    """Packs of the numbers by shard and group, ascending, with a bit for those that several documents of the pack have.
+
+    A document is in one pack of a shard, so a number in two packs is in two documents.
+    """
 
     def rows(held):
         shard, grp, number, text = (np.concatenate(x) for x in zip(*held))
         order = np.lexsort((text, number, grp, shard))
         shard, grp, number, text = shard[order], grp[order], number[order], text[order]
-        same = (np.diff(shard) == 0) & (np.diff(grp) == 0) & (np.diff(number.astype(np.int64)) == 0)
-        first = np.concatenate(([True], ~same))
-        new = np.concatenate(([True], ~same | (text[1:] != text[:-1])))
-        run = np.cumsum(first) - 1
-        nth = np.cumsum(new) - np.cumsum(new)[first.nonzero()[0]][run]
-        keep = new & (nth < 2)
-        shard, grp, number, text = shard[keep], grp[keep], number[keep], text[keep]
-        cut = np.flatnonzero((np.diff(shard) != 0) | (np.diff(grp) != 0)) + 1
-        begin = np.concatenate(([0], cut)).astype(np.int64)
-        end = np.append(cut, len(shard))
-        for at in range(0, len(begin), 4096):
-            some = range(at, min(at + 4096, len(begin)))
+        first = np.concatenate(([True], (np.diff(shard) != 0) | (np.diff(grp) != 0) | (np.diff(number.astype(np.int64)) != 0)))
+        begin = np.flatnonzero(first)
+        several = text[begin] != text[np.append(begin[1:], len(text)) - 1]
+        shard, grp, number = shard[begin], grp[begin], number[begin]
+        cut = np.concatenate(([0], np.flatnonzero((np.diff(shard) != 0) | (np.diff(grp) != 0)) + 1)).astype(np.int64)
+        end = np.append(cut[1:], len(shard))
+        for at in range(0, len(cut), 4096):
+            some = [slice(a, b) for a, b in zip(cut[at : at + 4096], end[at : at + 4096])]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(shard[begin[at : at + 4096]], pa.int32()), pa.array(grp[begin[at : at + 4096]], pa.int64()),
-                    pa.array([number[begin[k] : end[k]].tobytes() for k in some], pa.binary()),
-                    pa.array([text[begin[k] : end[k]].tobytes() for k in some], pa.binary()),
+                    pa.array(shard[cut[at : at + 4096]], pa.int32()), pa.array(grp[cut[at : at + 4096]], pa.int64()),
+                    pa.array([_pack_numbers(number[k]) for k in some], pa.binary()),
+                    pa.array([np.packbits(several[k]).tobytes() for k in some], pa.binary()),
                 ],
                 schema=_LISTED,
             )
 
     def listed(batches):
-        held, count = [], 0
+        held, count, seen = [], 0, 0
         for part in slices(batches, chars=STEP_BYTES):
             texts = [t.encode() for t in part.column("text").to_pylist()]
             data, begins, ends = _joined(texts)
             first, _, text, number = runs(data, begins, ends, size)
-            if not len(first):
-                continue
-            shard, kept = _place(number, shards)
-            grp = part.column("grp").to_numpy()
-            digest = np.array([int.from_bytes(hashlib.sha256(t).digest()[:8], "little") for t in texts], np.uint64)
-            held.append((shard, grp[text], kept, digest[text]))
-            count += len(first)
+            if len(first):
+                shard, kept = _place(number, shards)
+                held.append((shard, part.column("grp").to_numpy()[text], kept, text + seen))
+                count += len(first)
+            seen += len(texts)
             if count > HELD:
                 yield from rows(held)
                 held, count = [], 0
@@ -268,99 +279,94 @@ def _list_numbers(size: int, shards: int):
 
 
 def _tell_shared(table: pa.Table) -> pa.Table:
-    """Of each group's numbers those that more than one text has."""
-    numbers = [np.frombuffer(x, np.uint32) for x in table.column("numbers").to_pylist()]
-    flat = np.concatenate(numbers) if numbers else np.zeros(0, np.uint32)
-    texts = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("of_text").to_pylist()]) if numbers else flat
+    """Of each pack's numbers those that more than one document has."""
+    numbers = [_unpack_numbers(x) for x in table.column("numbers").to_pylist()]
+    several = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(n)).astype(bool) for x, n in zip(table.column("several").to_pylist(), numbers)]
+    flat = np.concatenate(numbers)
     order = np.argsort(flat, kind="stable")
-    start = np.flatnonzero(np.concatenate(([True], np.diff(flat[order].astype(np.int64)) != 0))) if len(flat) else np.zeros(0, np.int64)
-    if not len(flat):
-        shared = flat
-    else:
-        low, high = np.minimum.reduceat(texts[order], start), np.maximum.reduceat(texts[order], start)
-        shared = flat[order][start][low != high]
-    at = np.minimum(np.searchsorted(shared, flat), max(0, len(shared) - 1))
-    told = shared[at] == flat if len(shared) else np.zeros(len(flat), bool)
-    ends = np.cumsum([len(x) for x in numbers])
+    start = np.flatnonzero(np.concatenate(([True], np.diff(flat[order].astype(np.int64)) != 0)))
+    times = np.diff(np.append(start, len(flat)))
+    told = np.zeros(len(flat), bool)
+    told[order] = np.repeat((times > 1) | np.logical_or.reduceat(np.concatenate(several)[order], start), times)
     out = {"grp": [], "shard": [], "numbers": []}
-    for shard, grp, own, end in zip(table.column("shard").to_pylist(), table.column("grp").to_pylist(), numbers, ends):
+    end = 0
+    for shard, grp, own in zip(table.column("shard").to_pylist(), table.column("grp").to_pylist(), numbers):
+        end += len(own)
         mine = own[told[end - len(own) : end]]
         if len(mine):
             out["grp"].append(grp)
             out["shard"].append(shard)
-            out["numbers"].append(np.unique(mine).tobytes())
+            out["numbers"].append(_pack_numbers(mine))
     return pa.table({"grp": pa.array(out["grp"], pa.int64()), "shard": pa.array(out["shard"], pa.int32()), "numbers": pa.array(out["numbers"], pa.binary())})
 
 
-# kind: 0 a finished row, 1 a text that waits, 2 runs for a shard, 3 stretches known already
-_SENT = "kind int, grp long, shard int, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, digest binary, a binary, b binary, c binary, d binary, e binary"
+# rows with numbers (a) are runs for a shard; rows without are stretches known already, compressed (e)
+_SENT = "shard int, grp long, a binary, b binary, c binary, d binary, e binary"
 
 
-def _frame(rows: list[dict]) -> pa.Table:
-    kinds = {"kind": pa.int32(), "grp": pa.int64(), "shard": pa.int32(), "doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "digest": pa.binary(), **{c: pa.binary() for c in "abcde"}}
-    return pa.table({name: pa.array([r.get(name) for r in rows], kind) for name, kind in kinds.items()})
+def _in_order(docs: pa.Table) -> list[int]:
+    """Rows of a group in an order that does not depend on how they arrived; rows of one id and text are alike."""
+    ids, digests = docs.column("doc_id").to_pylist(), docs.column("digest").to_pylist()
+    return sorted(range(docs.num_rows), key=lambda r: (ids[r] is None, ids[r] or 0, digests[r]))
 
 
 def _send_runs(size: int, shards: int):
-    """What a group's documents send: finished rows, waiting texts, and the runs that may be repeated."""
+    """The runs of a group's documents that may be repeated, by shard, and the stretches that are repeated in any case."""
 
     def send(key, docs: pa.Table, told: pa.Table) -> pa.Table:
-        out, mask = [], np.zeros(0, np.uint64)
-        copies = set()
+        masks, copies = [np.zeros(0, np.uint64)], set()
         for shard, numbers, doc, digest in zip(*(told.column(c).to_pylist() for c in ("shard", "numbers", "doc_id", "digest"))):
             if digest is not None:
                 copies.add((doc, digest))
             else:
-                mask = np.append(mask, np.frombuffer(numbers, np.uint32).astype(np.uint64) | np.uint64(shard << 32))
-        mask = np.sort(mask)
-        ids, raws = docs.column("doc_id").to_pylist(), docs.column("z").to_pylist()
-        grp = key[0].as_py()
-        pending = []
-        for first, last in _steps(docs.column("n_bytes").to_pylist()):
-            texts = [_unpack(z) for z in raws[first:last]]
+                masks.append(_unpack_numbers(numbers).astype(np.uint64) | np.uint64(shard << 32))
+        mask = np.unique(np.concatenate(masks))
+        ids, raws, digests, sizes = (docs.column(c).to_pylist() for c in ("doc_id", "z", "digest", "n_bytes"))
+        ranked = _in_order(docs)
+        pending, known = [], []
+        for first, last in _steps([sizes[r] for r in ranked]):
             live = []
-            for row, text in zip(range(first, last), texts):
-                digest = hashlib.sha256(text).digest()
-                if len(text) >= size and (ids[row], digest) in copies:
-                    out.append({"kind": 0, "doc_id": ids[row], "digest": digest, "n_bytes": len(text), "n_removed": len(text), "n_spans": 1, "kept_sha256": hashlib.sha256(b"").hexdigest()})
-                else:
-                    live.append((row, text, digest))
-            data, begins, ends = _joined([t for _, t, _ in live])
+            for place in range(first, last):
+                row = ranked[place]
+                if sizes[row] >= size and (ids[row], digests[row]) in copies:
+                    known.append((place, 0, sizes[row]))
+                elif sizes[row] >= size and len(mask):
+                    live.append((place, row, _unpack(raws[row])))
+            if not live:
+                continue
+            data, begins, ends = _joined([t for _, _, t in live])
             lo, hi, text, number = runs(data, begins, ends, size)
             shard, kept = _place(number, shards)
             code = kept.astype(np.uint64) | (shard.astype(np.uint64) << np.uint64(32))
-            at = np.minimum(np.searchsorted(mask, code), max(0, len(mask) - 1))
-            hit = mask[at] == code if len(mask) else np.zeros(len(code), bool)
+            hit = mask[np.minimum(np.searchsorted(mask, code), len(mask) - 1)] == code
             lo, hi, text, shard, kept = lo[hit], hi[hit], text[hit], shard[hit], kept[hit]
-            waiting = set(text.tolist())
-            for k, (row, own, digest) in enumerate(live):
-                if k in waiting:
-                    out.append({"kind": 1, "grp": grp, "doc_id": ids[row], "digest": digest, "shard": row, "a": raws[row]})
-                else:
-                    out.append({"kind": 0, "doc_id": ids[row], "digest": digest, "n_bytes": len(own), "n_removed": 0, "n_spans": 0, "kept_sha256": digest.hex()})
-            row_of = np.array([r for r, _, _ in live], np.int64)[text] if len(live) else text
+            place_of = np.array([p for p, _, _ in live], np.int64)[text]
             # a null id is larger than every id
-            rank = np.array([_BIGGEST if ids[r] is None else ids[r] for r, _, _ in live], np.int64)[text] if len(live) else text
+            rank = np.array([_BIGGEST if ids[r] is None else ids[r] for _, r, _ in live], np.int64)[text]
             blob = data.tobytes()
             for k in range(len(lo)):
-                pending.append((int(shard[k]), int(kept[k]), int(rank[k]), int(row_of[k]), int(lo[k] - begins[text[k]]), blob[lo[k] : hi[k] + size]))
+                pending.append((int(shard[k]), int(kept[k]), int(rank[k]), int(place_of[k]), int(lo[k] - begins[text[k]]), blob[lo[k] : hi[k] + size]))
         # of runs with the same bytes only those of the smallest document ask; the others are repeated in any case
         pending.sort(key=lambda x: (x[0], x[1], x[5], x[2]))
-        known, asked, last = [], {}, None
-        for shard, number, rank, row, start, text in pending:
+        asked, last = {}, None
+        for shard, number, rank, place, start, text in pending:
             if last is not None and last[:2] == (number, text) and rank > last[2]:
-                known.append((row, start, start + len(text)))
+                known.append((place, start, start + len(text)))
                 continue
             last = (number, text, rank)
-            asked.setdefault(shard, []).append((number, rank, row, start, text))
+            asked.setdefault(shard, []).append((number, rank, place, start, text))
+        grp, out = key[0].as_py(), []
         for shard, own in asked.items():
-            out.append({
-                "kind": 2, "grp": grp, "shard": shard, "a": np.array([x[0] for x in own], np.uint32).tobytes(), "b": np.array([x[1] for x in own], np.int64).tobytes(),
-                "c": np.array([[x[2], x[3]] for x in own], np.int32).tobytes(), "d": np.array([len(x[4]) for x in own], np.int32).tobytes(), "e": _pack(b"".join(x[4] for x in own)),
-            })
+            out.append((
+                shard, grp, np.array([x[0] for x in own], np.uint32).tobytes(), np.array([x[1] for x in own], np.int64).tobytes(),
+                np.array([[x[2], x[3]] for x in own], np.int32).tobytes(), np.array([len(x[4]) for x in own], np.int32).tobytes(),
+                _pack(b"".join(x[4] for x in own)),
+            ))
         if known:
-            out.append({"kind": 3, "grp": grp, "a": _pack(np.array(known, np.int32).tobytes())})
-        return _frame(out)
+            out.append((grp % shards, grp, None, None, None, None, _pack(np.array(known, np.int32).tobytes())))
+        columns = list(zip(*out)) or [()] * 7
+        kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 5)
+        return pa.table({n: pa.array(c, k) for n, c, k in zip(("shard", "grp", "a", "b", "c", "d", "e"), columns, kinds)})
 
     return send
 
@@ -371,7 +377,12 @@ _BIGGEST = (1 << 63) - 1
 def _find_repeats(size: int):
     """Stretches of each group's documents that the shard's suffixes repeat from a smaller document."""
 
-    def find(table: pa.Table) -> pa.Table:
+    def find(sent: pa.Table) -> pa.Table:
+        ready = sent.filter(pc.is_null(sent.column("a")))
+        passed = pa.table({"grp": ready.column("grp"), "a": ready.column("e")})
+        table = sent.filter(pc.is_valid(sent.column("a")))
+        if not table.num_rows:
+            return passed
         columns = {c: table.column(c).to_pylist() for c in ("grp", "a", "b", "c", "d", "e")}
         parts = range(table.num_rows)
         number = np.concatenate([np.frombuffer(x, np.uint32) for x in columns["a"]])
@@ -379,16 +390,38 @@ def _find_repeats(size: int):
         place = np.concatenate([np.frombuffer(x, np.int32).reshape(-1, 2) for x in columns["c"]])
         length = np.concatenate([np.frombuffer(x, np.int32) for x in columns["d"]]).astype(np.int64)
         source = np.repeat(np.array(list(parts)), [len(x) // 4 for x in columns["a"]])
-        text = np.frombuffer(b"".join(_unpack(x) for x in columns["e"]), np.uint8)
+        blob = b"".join(_unpack(x) for x in columns["e"])
+        text = np.frombuffer(blob, np.uint8)
         begin = np.cumsum(length) - length
+        found: dict[int, list[np.ndarray]] = {}
+
+        def keep(run: np.ndarray, first: np.ndarray, last: np.ndarray) -> None:
+            """Note stretches of runs, from ``first`` to ``last`` in their texts, for the groups the runs came from."""
+            stretch = np.stack([place[run, 0], first, last], axis=1).astype(np.int32)
+            order = np.argsort(source[run], kind="stable")
+            for rows in np.split(order, np.flatnonzero(np.diff(source[run][order])) + 1):
+                if len(rows):
+                    found.setdefault(int(source[run[rows[0]]]), []).append(stretch[rows])
+
+        # runs with the same bytes are repeated as a whole but for those of the smallest document; most runs end here
+        runs_of = [(n, blob[b : b + w]) for n, b, w in zip(number.tolist(), begin.tolist(), length.tolist())]
+        least: dict[tuple[int, bytes], int] = {}
+        ranks = rank.tolist()
+        for run, own in zip(runs_of, ranks):
+            if own < least.get(run, _BIGGEST + 1):
+                least[run] = own
+        copied = np.array([own > least[run] for run, own in zip(runs_of, ranks)], bool)
+        del runs_of, least, ranks
+        again = np.flatnonzero(copied)
+        keep(again, place[again, 1], place[again, 1] + length[again])
         # numbers that came from one document alone have nothing to be compared with
-        order = np.argsort(number, kind="stable")
+        order = np.flatnonzero(~copied)
+        order = order[np.argsort(number[order], kind="stable")]
         start = np.flatnonzero(np.concatenate(([True], np.diff(number[order].astype(np.int64)) != 0)))
         spread = np.minimum.reduceat(rank[order], start) != np.maximum.reduceat(rank[order], start)
         open_ = np.zeros(len(number), bool)
         open_[order] = np.repeat(spread, np.diff(np.append(start, len(order))))
         chosen = order[open_[order]]
-        found: dict[int, list[np.ndarray]] = {}
         for some in _number_steps(number[chosen], (length - size + 1)[chosen]):
             run = chosen[some]
             data = text[_spans(begin[run], length[run])]
@@ -405,16 +438,13 @@ def _find_repeats(size: int):
             own = owner[first]
             who = run[own]
             shift = place[who, 1] - local[own]
-            stretch = np.stack([place[who, 0], shift + at[first], shift + at[last] + size], axis=1).astype(np.int32)
-            order = np.argsort(source[who], kind="stable")
-            cut = np.flatnonzero(np.diff(source[who][order])) + 1
-            for rows in np.split(order, cut):
-                found.setdefault(int(source[who[rows[0]]]), []).append(stretch[rows])
+            keep(who, shift + at[first], shift + at[last] + size)
         groups = sorted(found)
-        return pa.table({
+        mine = pa.table({
             "grp": pa.array([columns["grp"][g] for g in groups], pa.int64()),
             "a": pa.array([_pack(np.concatenate(found[g]).tobytes()) for g in groups], pa.binary()),
         })
+        return pa.concat_tables([passed, mine])
 
     return find
 
@@ -433,27 +463,29 @@ def _number_steps(number: np.ndarray, starts: np.ndarray, most: int = 1 << 19):
         first = int(ends[k])
 
 
-def _remove(size: int):
-    def remove(key, waiting: pa.Table, stretches: pa.Table) -> pa.Table:
-        own = [np.frombuffer(_unpack(x), np.int32).reshape(-1, 3) for x in stretches.column("a").to_pylist()]
-        spans = np.concatenate(own) if own else np.zeros((0, 3), np.int32)
-        spans = spans[np.argsort(spans[:, 0], kind="stable")]
-        out = []
-        for doc, digest, row, raw in zip(*(waiting.column(c).to_pylist() for c in ("doc_id", "digest", "shard", "a"))):
-            data = np.frombuffer(_unpack(raw), np.uint8)
-            lo, hi = np.searchsorted(spans[:, 0], [row, row + 1])
-            edge = np.zeros(len(data) + 1, np.int64)
-            np.add.at(edge, spans[lo:hi, 1], 1)
-            np.add.at(edge, spans[lo:hi, 2], -1)
-            gone = np.cumsum(edge[:-1]) > 0
-            rise = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-            kept = data[~gone].tobytes()
-            out.append((doc, digest, len(data), int(gone.sum()), rise, hashlib.sha256(kept).hexdigest(), _pack(kept)))
-        columns = list(zip(*out)) or [()] * 7
-        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-        return pa.table({n: pa.array(c, k) for n, c, k in zip(("doc_id", "digest", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"), columns, kinds)})
-
-    return remove
+def _remove(key, docs: pa.Table, stretches: pa.Table) -> pa.Table:
+    """Cut the stretches out of a group's documents."""
+    own = [np.frombuffer(_unpack(x), np.int32).reshape(-1, 3) for x in stretches.column("a").to_pylist()]
+    spans = np.concatenate(own) if own else np.zeros((0, 3), np.int32)
+    spans = spans[np.argsort(spans[:, 0], kind="stable")]
+    ids, raws, digests, sizes = (docs.column(c).to_pylist() for c in ("doc_id", "z", "digest", "n_bytes"))
+    out = []
+    for place, row in enumerate(_in_order(docs)):
+        lo, hi = np.searchsorted(spans[:, 0], [place, place + 1])
+        if lo == hi:
+            out.append((ids[row], digests[row], sizes[row], 0, 0, digests[row].hex(), None))
+            continue
+        data = np.frombuffer(_unpack(raws[row]), np.uint8)
+        edge = np.zeros(len(data) + 1, np.int64)
+        np.add.at(edge, spans[lo:hi, 1], 1)
+        np.add.at(edge, spans[lo:hi, 2], -1)
+        gone = np.cumsum(edge[:-1]) > 0
+        rise = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
+        kept = data[~gone].tobytes()
+        out.append((ids[row], digests[row], len(data), int(gone.sum()), rise, hashlib.sha256(kept).hexdigest(), _pack(kept) if kept else None))
+    columns = list(zip(*out)) or [()] * 7
+    kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+    return pa.table({n: pa.array(c, k) for n, c, k in zip(("doc_id", "digest", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"), columns, kinds)})
 
 
 def remove_repeats(docs: DataFrame, size: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -466,20 +498,21 @@ def remove_repeats(docs: DataFrame, size: int = 50, doc_id: str = "doc_id", text
     if size < GRAM + 8:
         raise ValueError(f"size is {GRAM + 8} at least")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
-    keys = stabilise(rows.select("doc_id", text_key(F.col("text")).alias("digest"), F.octet_length("text").cast("long").alias("n_bytes")))
+    check = F.crc32("text").alias("check")
+    keys = stabilise(rows.select("doc_id", check, text_key(F.col("text")).alias("digest"), F.octet_length("text").cast("long").alias("n_bytes")))
     total = keys.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
-    groups = shards = max(1, math.ceil(total / GROUP_BYTES))
-
-    def group():
-        return F.pmod(F.xxhash64("doc_id"), F.lit(groups)).alias("grp")
+    groups, shards = max(1, math.ceil(total / GROUP_BYTES)), max(1, math.ceil(total / SHARD_BYTES))
 
+    # null ids are spread by their texts
+    grp = F.pmod(F.xxhash64("doc_id", "check"), F.lit(groups)).alias("grp")
     firsts = keys.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n")).filter(F.col("n") > 1)
     copies = (
         keys.filter(F.col("n_bytes") >= size).join(firsts, "digest")
         .filter(F.col("doc_id").isNull() & F.col("first_doc").isNotNull() | (F.col("doc_id") > F.col("first_doc")))
-        .select(group(), F.lit(None).cast("int").alias("shard"), F.lit(None).cast("binary").alias("numbers"), "doc_id", "digest").distinct()
+        .select(grp, F.lit(None).cast("int").alias("shard"), F.lit(None).cast("binary").alias("numbers"), "doc_id", "digest").distinct()
     )
-    listed = rows.select(group(), "text").mapInArrow(_list_numbers(size, shards), "shard int, grp long, numbers binary, of_text binary")
+    dealt = rows.select("doc_id", "text", check).select(grp, "doc_id", "text")
+    listed = dealt.select("grp", "text").mapInArrow(_list_numbers(size, shards), "shard int, grp long, numbers binary, several binary")
     told = listed.groupBy("shard").applyInArrow(_tell_shared, "grp long, shard int, numbers binary").select(
         "grp", "shard", "numbers", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("digest")
     )
@@ -488,24 +521,19 @@ def remove_repeats(docs: DataFrame, size: int = 50, doc_id: str = "doc_id", text
         for part in slices(batches):
             raw = [t.encode() for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [part.column("grp"), part.column("doc_id"), pa.array(map(len, raw), pa.int64()), pa.array([_pack(t) for t in raw], pa.binary())],
-                ["grp", "doc_id", "n_bytes", "z"],
+                [
+                    part.column("grp"), part.column("doc_id"), pa.array([hashlib.sha256(t).digest() for t in raw], pa.binary()),
+                    pa.array(map(len, raw), pa.int64()), pa.array([_pack(t) for t in raw], pa.binary()),
+                ],
+                ["grp", "doc_id", "digest", "n_bytes", "z"],
             )
 
-    packed = rows.select(group(), "doc_id", "text").mapInArrow(shrink, "grp long, doc_id long, n_bytes long, z binary")
-    sent = stabilise(
-        packed.groupBy("grp").cogroup(told.unionByName(copies).groupBy("grp")).applyInArrow(_send_runs(size, shards), _SENT)
-    )
-    repeats = sent.filter("kind = 2").select("shard", "grp", *"abcde").groupBy("shard").applyInArrow(_find_repeats(size), "grp long, a binary")
-    stretches = repeats.unionByName(sent.filter("kind = 3").select("grp", "a"))
-    waiting = sent.filter("kind = 1").select("grp", "doc_id", "digest", "shard", "a")
-    cut = waiting.groupBy("grp").cogroup(stretches.groupBy("grp")).applyInArrow(
-        _remove(size), "doc_id long, digest binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    )
-    done = sent.filter("kind = 0").select(
-        "doc_id", "digest", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.lit(None).cast("binary").alias("kept")
+    packed = dealt.mapInArrow(shrink, "grp long, doc_id long, digest binary, n_bytes long, z binary")
+    sent = packed.groupBy("grp").cogroup(told.unionByName(copies).groupBy("grp")).applyInArrow(_send_runs(size, shards), _SENT)
+    stretches = sent.groupBy("shard").applyInArrow(_find_repeats(size), "grp long, a binary")
+    return packed.groupBy("grp").cogroup(stretches.groupBy("grp")).applyInArrow(
+        _remove, "doc_id long, digest binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     )
-    return done.unionByName(cut)
 
 
 def without_repeats(docs: DataFrame, size: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -153,3 +153,38 @@ def test_pipeline_on_odd_rows(spark, odd_docs):
         docs = stage(spark, docs, "")
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
     assert {r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()} <= {r.doc_id for r in odd_docs.collect()}
+
+
+def test_pipeline_is_the_operators_one_after_the_other(spark, tmp_path):
+    """Whole run over a folder: rejected, unknown and copied documents go, shared lines and passages are cut, lengths are those of the texts."""
+    words = "the and of to in that it was for on are with they be at this have from or one had by but not what all were when we there can an".split()
+    rnd = random.Random(4)
+    passage = " ".join(rnd.choices(words, k=60))
+    rows = []
+    for k in range(60):
+        body = " ".join(rnd.choices(words, k=80)) + f" mark{k} end{k * 7}."
+        rows.append((k, f"Accept our cookies now please\n{body}" if k < 20 else f"{body} {passage}" if k < 30 else body, "en", "s1"))
+    rows += [(100 + k, rows[30 + k][1], "en", "s2") for k in range(5)] + [(110 + k, rows[40 + k][1] + " tail", "en", "s2") for k in range(5)]
+    rows += [(120, "too short", "en", "s1"), (121, None, "en", "s1"), (122, "1234 5678 " * 30, "en", "s1")]
+    docs = spark.createDataFrame([(*r, None if r[1] is None else len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = spark.createDataFrame(stage(spark, kept, str(tmp_path)).collect(), docs.schema)
+        assert all(r.n_chars == len(r.text) for r in kept.collect()), name
+    left = {r.doc_id: r.text for r in kept.collect()}
+    assert {r.doc_id for r in packed} == set(left) == {*range(60)}
+    assert "cookies" in left[0] and not any("cookies" in left[k] for k in range(1, 60))
+    assert passage in left[20] and not any(passage in left[k] for k in range(60) if k != 20)
+    ids = corpus_pipeline.STAGES[-1][1](spark, kept, "").collect()
+    place = lambda r: (r.doc_id, r.piece, r.start, r.length, r.ids_crc32)
+    assert sorted(map(place, packed)) == sorted(map(place, ids))
+
+
+def test_pipeline_on_an_empty_table(spark, no_docs):
+    docs = no_docs.select("doc_id", "text", "lang", "source", F.lit(1).cast("long").alias("n_chars"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "")
+        assert docs.count() == 0 and docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() == 0
