@@ -1,5 +1,6 @@
 """Language profiles, line rules, licence lines, page text and the n-gram model on small fixtures."""
 
+import hashlib
 import math
 from collections import Counter
 
@@ -97,6 +98,78 @@ def test_licences_are_inherited_from_the_nearest_directory(spark):
     assert license_scan.scan(files.limit(0)).count() == 0
 
 
+MIT_FILE = """MIT License
+
+Copyright (c) 2019 Somebody Unknown. All rights reserved.
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+GPL_HEADER = """#!/usr/bin/python
+#
+# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+#
+import os
+"""
+GPL_2_FILE = """                    GNU GENERAL PUBLIC LICENSE
+                       Version 2, June 1991
+
+ Everyone is permitted to copy and distribute verbatim copies of this document.
+"""
+PLAIN = "plain words of a file and all of the rest, under any other name, with no more to say\n" * 9
+
+
+@pytest.fixture(scope="module")
+def licence_of(spark):
+    """Licence of each text among many plain ones, all under one path."""
+
+    def run(texts):
+        rows = [("same/path", t) for t in texts] + [("p/q", f"{PLAIN}{k}") for k in range(80)]
+        files = spark.createDataFrame(rows, "path string, text string").withColumn("licence", F.lit(1)).withColumn("text_id", F.lit("x"))
+        found = license_scan.licences(files).withColumnRenamed("text_id", "key").collect()
+        keys = {bytes(r.key): (r.licence, r.score) for r in found}
+        return [keys.get(hashlib.sha256((t or "").encode()).digest(), (None, None))[0] for t in texts]
+
+    return run
+
+
+def test_files_headers_and_tags(licence_of):
+    cases = {
+        MIT_FILE: "MIT", MIT_FILE.split("\n", 2)[2]: "MIT", GPL_HEADER: "GPL-3.0", GPL_2_FILE: "GPL-2.0", GPL_2_FILE.replace("2, June 1991", "3, 29 June 2007"): "GPL-3.0",
+        "x = 1\n// SPDX-License-Identifier: Apache-2.0\n" + PLAIN: "Apache-2.0", "# spdx-license-identifier:  GPL-2.0-or-later": "GPL-2.0",
+        "# Copyright (c) 2020 Foo Inc. All rights reserved.": "proprietary", "and the of Released under the MIT License.": "MIT",
+        PLAIN * 400 + "Mozilla Public License Version 2.0\n" + PLAIN * 400: "MPL-2.0", "All rights reserved.\nLicensed under CC BY-NC 4.0": "CC-BY-NC-4.0",
+        PLAIN: None, "the rights of all": None, "SPDX-License-Identifier: Unheard-1.0": None, "": None,
+    }
+    assert dict(zip(cases, licence_of(list(cases)))) == cases
+
+
+def test_files_of_one_path_are_not_mixed(spark):
+    rows = [("a/x", MIT_FILE), ("a/x", "All rights reserved"), ("a/x", "All rights reserved"), ("a/x", None), ("a/LICENSE", "MIT License"), ("a/COPYING", "ISC License")]
+    got = license_scan.scan(spark.createDataFrame(rows, "path string, text string")).collect()
+    own = sorted((r.licence, r.score) for r in got if r.path == "a/x" and r.origin == "line")
+    assert own == [("MIT", 1.0), ("proprietary", 1.0), ("proprietary", 1.0)]
+    # a/COPYING and a/LICENSE score alike, as do the short texts of a/x: the first path speaks
+    assert [(r.licence, r.licence_dir) for r in got if r.origin == "directory"] == [("ISC", "a")]
+
+
+def test_licences_of_odd_rows(odd_docs, no_docs):
+    files = license_scan.document_paths(odd_docs)
+    got = license_scan.scan(files).collect()
+    assert len(got) == odd_docs.count() and {r.origin for r in got} == {"none"}
+    assert license_scan.scan(license_scan.document_paths(no_docs)).count() == 0
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><ul><li><a href=/a>Menu</a></ul></nav>
 <div class="cookie-notice">We use cookies.</div><div id="content"><article><h2>A  title &amp; more</h2><p>First <b>bold</b> paragraph, long enough to matter.<br>Next
 line.<p>Second &eacute; one, with commas, and stops. And more text in it.<div class=ad>Buy!</div><form><p>Your mail</p></form>
