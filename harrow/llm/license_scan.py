@@ -171,9 +171,10 @@ def licences(files: DataFrame, threshold: float = THRESHOLD, text: str = "text")
     held = files.select(text_key(text_or_empty(text)).alias("text_id"), folded(text_or_empty(text)).alias("content"))
     marked = held.where(F.arrays_overlap(tokens(F.col("content")), marks))
     found = marked.select("text_id", F.explode(F.filter(parts(F.col("content")), lambda p: F.arrays_overlap(tokens(p), marks))).alias("part"))
+    # keys in a step of their own: beside explode() a part would be hashed once for each of its terms
+    different = found.select("part").distinct().select(text_key(F.col("part")).alias("part_id"), "part")
     words = stabilise(
-        found.select("part").distinct().select(text_key(F.col("part")).alias("part_id"), F.explode(tokens(F.col("part"))).alias("term"))
-        .groupBy("part_id", "term").agg(F.count("*").alias("times"))
+        different.select("part_id", F.explode(tokens(F.col("part"))).alias("term")).groupBy("part_id", "term").agg(F.count("*").alias("times"))
     )
     rarity = counts.select("term", (F.log((n + 1) / (F.col("n") + 1)) + 1).alias("idf"))
     weighed = lookup_join(words, rarity, "term", "inner").withColumn("w", F.col("times") * F.col("idf"))
