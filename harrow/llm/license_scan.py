@@ -3,12 +3,14 @@
 All steps are column expressions, joins and aggregates. What is compared are the parts of a text: its lines, sentences and paragraphs (a header
 is a paragraph, with or without comment marks) and the whole text. Document frequencies of all terms come from all texts. Parts without
 an anchor term are not scored: the rarest terms of a template without which, by the Cauchy-Schwarz inequality, no part
-reaches the threshold. Equal parts are scored once. A file without a licence of its own gets the licence of the nearest
+reaches the threshold. By the same inequality the terms of a part must hold enough of one template's weight, else neither it nor, if it is a
+whole text, any part of it is scored. Equal parts are scored once. A file without a licence of its own gets the licence of the nearest
 directory above it that holds a licence file.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
 
@@ -148,6 +150,22 @@ def anchors(vectors: list[tuple[str, dict[str, float]]], idf: dict[str, float],
     return sorted(out)
 
 
+def template_squares(vectors: list[tuple[str, dict[str, float]]]) -> Column:
+    """Map from each term of the templates to its squared weight in every template."""
+    rows = {t: [own.get(t, 0.0) ** 2 for _, own in vectors] for t in sorted({t for _, own in vectors for t in own})}
+    # one literal for the planner, which reads it once
+    return F.from_json(F.lit(json.dumps(rows)), "map<string,array<double>>")
+
+
+def may_reach(terms: Column, squares: Column, templates: int, threshold: float) -> Column:
+    """Whether ``terms`` hold so much of a template's weight that the cosine can reach the threshold, whatever else is beside them."""
+    held = F.aggregate(
+        F.array_intersect(terms, F.map_keys(squares)), F.array_repeat(F.lit(0.0), templates),
+        lambda sums, term: F.zip_with(sums, squares[term], lambda a, b: a + b),
+    )
+    return F.array_max(held) >= (threshold - 1e-9) ** 2
+
+
 def parts(text: Column) -> Column:
     """Different lines, sentences and paragraphs of a folded text, and the text itself."""
     cuts = [F.split(text, "\n"), F.split(text, SENTENCE), F.split(text, PARAGRAPH), F.array(text)]
@@ -168,11 +186,17 @@ def licences(files: DataFrame, threshold: float = THRESHOLD, text: str = "text")
         [(t, k, name, w) for k, (name, own) in enumerate(vectors) for t, w in own.items()], "term string, template int, licence string, weight double"
     ))
     marks = F.array(*map(F.lit, anchors(vectors, idf, threshold)))
+    squares = template_squares(vectors)
+
+    def may_match(content: Column) -> Column:
+        return F.arrays_overlap(tokens(content), marks) & may_reach(tokens(content), squares, len(vectors), threshold)
+
     held = files.select(text_key(text_or_empty(text)).alias("text_id"), folded(text_or_empty(text)).alias("content"))
-    marked = held.where(F.arrays_overlap(tokens(F.col("content")), marks))
-    found = marked.select("text_id", F.explode(F.filter(parts(F.col("content")), lambda p: F.arrays_overlap(tokens(p), marks))).alias("part"))
-    # keys in a step of their own: beside explode() a part would be hashed once for each of its terms
-    different = found.select("part").distinct().select(text_key(F.col("part")).alias("part_id"), "part")
+    marked = held.where(may_match(F.col("content")))
+    found = marked.select("text_id", F.explode(F.filter(parts(F.col("content")), may_match)).alias("part"))
+    found = stabilise(found.select("text_id", "part", text_key(F.col("part")).alias("part_id")))
+    # one shuffle by part: its terms are then counted where it is. Keys are columns already: beside explode() they would be hashed once a term
+    different = found.groupBy("part_id").agg(F.first("part").alias("part"))
     words = stabilise(
         different.select("part_id", F.explode(tokens(F.col("part"))).alias("term")).groupBy("part_id", "term").agg(F.count("*").alias("times"))
     )
@@ -182,7 +206,7 @@ def licences(files: DataFrame, threshold: float = THRESHOLD, text: str = "text")
     dot = weighed.join(postings, "term").groupBy("part_id", "template", "licence").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
     scored = dot.join(norm, "part_id").withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("score") >= threshold)
     hits = scored.groupBy("part_id").agg(_best(F.col("licence"), F.col("score")).alias("b")).select("part_id", "b.licence", (-F.col("b.low")).alias("score"))
-    matched = lookup_join(found.select("text_id", text_key(F.col("part")).alias("part_id")), hits, "part_id", "inner")
+    matched = lookup_join(found.select("text_id", "part_id"), hits, "part_id", "inner")
     best = matched.groupBy("text_id").agg(_best(F.col("licence"), F.col("score")).alias("b"))
     return stabilise(best.select("text_id", "b.licence", (-F.col("b.low")).alias("score")))
 
