@@ -101,6 +101,12 @@ def test_gamma_probability(one, shape, x):
     assert one(drought.log_gamma(F.lit(shape))) == pytest.approx(math.lgamma(shape), rel=1e-9, abs=1e-9)
 
 
+@pytest.mark.parametrize("shape", [0.01, 1.0, 2.5, 7.0, 40.0, 149.0])
+def test_log_gamma_is_good_to_rounding(one, shape):
+    """An error of 1e-10 moves deviates over a rounding edge once a table has many rows."""
+    assert one(drought.log_gamma(F.lit(shape))) == pytest.approx(math.lgamma(shape), rel=1e-14, abs=1e-14)
+
+
 @pytest.mark.parametrize("p", [0.001, 0.2, 0.5, 0.9, 0.9999])
 def test_normal_deviate(one, p):
     z = NormalDist().inv_cdf(p)
