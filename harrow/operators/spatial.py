@@ -11,87 +11,92 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from harrow.runtime import stabilise
+from harrow.runtime import release, stabilise
 
-# Points a square may hold before it is split, halvings of a side per level, and levels at most
+# Points a square may hold before it is split, and levels at most
 LEAF_POINTS = 64
-HALVINGS = 3
-LEVELS = 7
-
-
-def _square_distance(low_x: Column, low_y: Column, side: Column) -> tuple[Column, Column]:
-    """Least and largest squared distance of the target ``_tx``, ``_ty`` to a square."""
-    x, y = F.col("_tx"), F.col("_ty")
-    zero = F.lit(0.0)
-    near_x, near_y = F.greatest(low_x - x, x - low_x - side, zero), F.greatest(low_y - y, y - low_y - side, zero)
-    far_x, far_y = F.greatest(F.abs(x - low_x), F.abs(x - low_x - side)), F.greatest(F.abs(y - low_y), F.abs(y - low_y - side))
-    return near_x * near_x + near_y * near_y, far_x * far_x + far_y * far_y
+LEVELS = 40
+# Places of targets that one task compares with the stations around them
+PLACES_PER_TASK = 4_000
 
 
 class _Squares:
-    """Stations in nested squares: ``counts[level]`` per square, and the level at which each station's square is small enough."""
+    """Points (``_x``, ``_y``) in nested squares of half the side each: ``counts[level]`` per square, and the level at which a square is small enough."""
 
-    def __init__(self, stations: DataFrame, leaf_points: int):
+    def __init__(self, points: DataFrame, leaf_points: int):
         self.leaf_points = leaf_points
-        row = stations.agg(*[f(c) for c in ("_sx", "_sy") for f in (F.min, F.max)]).first()
+        row = points.agg(*[f(c) for c in ("_x", "_y") for f in (F.min, F.max)]).first()
         self.empty = row[0] is None
         if self.empty:
             return
         self.x, self.y = row[0], row[2]
         # a little wider than the extent, so that the largest coordinate is inside the last square
         self.side = max(row[1] - row[0], row[3] - row[2], 1e-9) * (1 + 1e-9)
-        self.levels, most = 0, leaf_points + 1
-        while most > leaf_points and self.levels < LEVELS:
-            self.levels += 1
-            most = self._count(stations, self.levels).agg(F.max("n")).first()[0]
-        fine = stations.withColumns({"_ix": self._index("_sx", self.x), "_iy": self._index("_sy", self.y)})
-        self.counts, leaf = [], F.lit(self.levels)
-        for level in range(self.levels + 1):
-            up = HALVINGS * (self.levels - level)
-            self.counts.append(
-                fine.groupBy(F.shiftright("_ix", up).alias("_ix"), F.shiftright("_iy", up).alias("_iy")).agg(F.count("*").alias("n"))
-            )
-        self.counts = [stabilise(c) for c in self.counts]
-        for level in range(self.levels - 1, -1, -1):
-            up = HALVINGS * (self.levels - level)
-            small = self.counts[level].where(F.col("n") <= leaf_points).select(
-                F.col("_ix").alias(f"_x{level}"), F.col("_iy").alias(f"_y{level}"), F.lit(True).alias(f"_small{level}")
-            )
-            fine = fine.join(
-                small, (F.shiftright("_ix", up) == F.col(f"_x{level}")) & (F.shiftright("_iy", up) == F.col(f"_y{level}")), "left"
-            ).drop(f"_x{level}", f"_y{level}")
-            leaf = F.when(F.col(f"_small{level}"), level).otherwise(leaf)
-        up = HALVINGS * (F.lit(self.levels) - F.col("_level"))
-        self.stations = fine.withColumn("_level", leaf).select(
-            "_sid", "_sx", "_sy", "_level", F.expr(f"_ix >> ({HALVINGS} * ({self.levels} - _level))").alias("_ix"),
-            F.expr(f"_iy >> ({HALVINGS} * ({self.levels} - _level))").alias("_iy"),
+        finest = self.side / 2**LEVELS
+        self.points = points.withColumns(
+            {f"_i{c}": F.floor((F.col(f"_{c}") - F.lit(origin)) / F.lit(finest)).cast("long") for c, origin in (("x", self.x), ("y", self.y))}
         )
-
-    def _index(self, name: str, origin: float, level: int | None = None) -> Column:
-        side = self.side / 2 ** (HALVINGS * (self.levels if level is None else level))
-        return F.floor((F.col(name) - F.lit(origin)) / F.lit(side)).cast("long")
-
-    def _count(self, stations: DataFrame, level: int) -> DataFrame:
-        return stations.groupBy(self._index("_sx", self.x, level), self._index("_sy", self.y, level)).agg(F.count("*").alias("n"))
-
-    def bounds(self) -> tuple[Column, Column]:
-        side = F.lit(self.side) / F.pow(F.lit(2.0), HALVINGS * F.col("_level"))
-        return _square_distance(F.lit(self.x) + F.col("_ix") * side, F.lit(self.y) + F.col("_iy") * side, side)
-
-    def reached(self, frontier: DataFrame, k: int) -> DataFrame:
-        """Squares that may hold one of the ``k`` nearest: not beyond the distance within which the squares hold ``k`` stations."""
-        near, far = self.bounds()
-        by_far = Window.partitionBy("_tid").orderBy("_far")
-        whole = Window.partitionBy("_tid")
-        return (
-            frontier.withColumns({"_near": near, "_far": far})
-            .withColumn("_upto", F.sum("n").over(by_far))
-            # a hair more, as the squares' edges are rounded
-            .withColumn("_limit", F.min(F.when(F.col("_upto") >= k, F.col("_far"))).over(whole) * (1 + 1e-9) + 1e-18)
-            .where(F.col("_limit").isNull() | (F.col("_near") <= F.col("_limit")))
-            .select("_tid", "_tx", "_ty", "_level", "_ix", "_iy", "n")
+        self.counts, most = [], leaf_points + 1
+        while most > leaf_points and len(self.counts) <= LEVELS:
+            up = LEVELS - len(self.counts)
+            level = self.points.groupBy(F.shiftright("_ix", up).alias("_ix"), F.shiftright("_iy", up).alias("_iy")).agg(F.count("*").alias("n"))
+            self.counts.append(stabilise(level))
+            most = self.counts[-1].agg(F.max("n")).first()[0]
+
+    def leaves(self) -> DataFrame:
+        """The points with ``_level``, ``_ix``, ``_iy`` of their smallest counted square that is not split."""
+        rows, level = self.points, F.lit(0)
+        for k, counted in enumerate(self.counts[:-1]):
+            split = counted.where(F.col("n") > self.leaf_points).select(F.col("_ix").alias("_px"), F.col("_iy").alias("_py"), F.lit(1).alias(f"_split{k}"))
+            up = LEVELS - k
+            rows = rows.join(split, (F.shiftright("_ix", up) == F.col("_px")) & (F.shiftright("_iy", up) == F.col("_py")), "left").drop("_px", "_py")
+            level = level + F.coalesce(f"_split{k}", F.lit(0))
+        rows = rows.withColumn("_level", level).drop(*[f"_split{k}" for k in range(len(self.counts) - 1)])
+        return rows.withColumns({c: F.expr(f"{c} >> ({LEVELS} - _level)") for c in ("_ix", "_iy")})
+
+    def children(self, level: int, prefix: str) -> DataFrame:
+        """Squares one level down, with the square they are in as ``_px``, ``_py``."""
+        return self.counts[level + 1].select(
+            F.shiftright("_ix", 1).alias("_px"), F.shiftright("_iy", 1).alias("_py"), F.lit(level + 1).alias(f"{prefix}_level"),
+            F.col("_ix").alias(f"{prefix}_ix"), F.col("_iy").alias(f"{prefix}_iy"), F.col("n").alias(f"{prefix}_n"),
         )
 
+    def corner(self, prefix: str) -> tuple[Column, Column, Column]:
+        """Lower corner and side of a square."""
+        side = F.lit(self.side) / F.pow(F.lit(2.0), F.col(f"{prefix}_level"))
+        return F.lit(self.x) + F.col(f"{prefix}_ix") * side, F.lit(self.y) + F.col(f"{prefix}_iy") * side, side
+
+
+_SQUARE = ("_level", "_ix", "_iy")
+_T, _S = [f"t{c}" for c in _SQUARE], [f"s{c}" for c in _SQUARE]
+
+
+def _open(pairs: DataFrame, squares: _Squares, level: int, prefix: str) -> DataFrame:
+    """Pairs with the squares of this level that hold too many points replaced by those inside them."""
+    if level + 1 >= len(squares.counts):
+        return pairs
+    split = (F.col(f"{prefix}_level") == level) & (F.col(f"{prefix}_n") > squares.leaf_points)
+    mine = [f"{prefix}{c}" for c in (*_SQUARE, "_n")]
+    outer = pairs.where(split).withColumns({"_px": F.col(f"{prefix}_ix"), "_py": F.col(f"{prefix}_iy")}).drop(*mine)
+    inner = outer.join(squares.children(level, prefix), ["_px", "_py"]).select(*pairs.columns)
+    return pairs.where(~split).unionByName(inner)
+
+
+def _within_reach(pairs: DataFrame, targets: _Squares, stations: _Squares, k: int) -> DataFrame:
+    """Pairs that may hold one of the ``k`` nearest of some target: not beyond the distance within which squares surely hold ``k`` stations."""
+    (tx, ty, ts), (sx, sy, ss) = targets.corner("t"), stations.corner("s")
+    gaps = [F.greatest(s - t - ts, t - s - ss, F.lit(0.0)) for t, s in ((tx, sx), (ty, sy))]
+    spans = [F.greatest(s + ss - t, t + ts - s) for t, s in ((tx, sx), (ty, sy))]
+    whole = Window.partitionBy(*_T)
+    return (
+        pairs.withColumns({"_near": gaps[0] * gaps[0] + gaps[1] * gaps[1], "_far": spans[0] * spans[0] + spans[1] * spans[1]})
+        .withColumn("_upto", F.sum("s_n").over(whole.orderBy("_far")))
+        # a hair more, as the squares' edges are rounded
+        .withColumn("_limit", F.min(F.when(F.col("_upto") >= k, F.col("_far"))).over(whole) * (1 + 1e-9) + 1e-18)
+        .where(F.col("_limit").isNull() | (F.col("_near") <= F.col("_limit")))
+        .select(*pairs.columns)
+    )
+
 
 def nearest_stations(
     targets: DataFrame, stations: DataFrame, k: int, target_id: str, station_id: str, x: str = "longitude", y: str = "latitude",
@@ -99,45 +104,57 @@ def nearest_stations(
 ) -> DataFrame:
     """The ``k`` nearest stations of every target: ``target_id``, ``station_id``, ``rank``, ``distance``; ties go to the smaller station id.
 
-    Search goes down the nested squares. A target starts with the square of all stations; at every level the squares with many points are
-    replaced by those inside them, and squares that lie beyond ``k`` stations already counted are left out. So a target meets the points of a few
-    small squares, however dense the stations are elsewhere. Both ids are unique; of stations at one place only those with the smallest ids can be among the nearest.
+    Places of targets and stations stand in nested squares of their own. The search goes down both at once over pairs of squares; a pair is left out
+    once nearer squares hold ``k`` stations for every place of the target square. So what is shuffled are pairs of squares, and each small square of targets meets the
+    points of a few small squares, however dense they are elsewhere. Both ids are unique; of stations at one place only those with the smallest ids can be among the nearest.
     ``others_only`` leaves out the station with the target's id. Rows without a coordinate take no part; with fewer stations all are returned.
     """
     wanted = k + 1 if others_only else k
     if target_id == station_id:
         raise ValueError("name the ids of targets and stations differently")
-    placed = stations.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
-        F.col(station_id).alias("_sid"), F.col(x).cast("double").alias("_sx"), F.col(y).cast("double").alias("_sy")
-    )
-    first = F.row_number().over(Window.partitionBy("_sx", "_sy").orderBy("_sid"))
-    placed = stabilise(placed.withColumn("_nth", first).where(F.col("_nth") <= wanted).drop("_nth"))
-    squares = _Squares(placed, leaf_points)
-    asked = targets.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
-        F.col(target_id).alias("_tid"), F.col(x).cast("double").alias("_tx"), F.col(y).cast("double").alias("_ty")
-    )
-    if squares.empty:
+
+    def located(df: DataFrame, id_: str, name: str) -> DataFrame:
+        return df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
+            F.col(id_).alias(name), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")
+        )
+
+    first = F.row_number().over(Window.partitionBy("_x", "_y").orderBy("_sid"))
+    placed = stabilise(located(stations, station_id, "_sid").withColumn("_nth", first).where(F.col("_nth") <= wanted).drop("_nth"))
+    asked = located(targets, target_id, "_tid")
+    places = stabilise(asked.select("_x", "_y").distinct())
+    # stations at one place are never told apart by smaller squares
+    there, here = _Squares(placed, max(leaf_points, wanted)), _Squares(places, leaf_points)
+    if there.empty or here.empty:
         empty = F.lit(None)
         return asked.where(F.lit(False)).select(
             F.col("_tid").alias(target_id), empty.cast(stations.schema[station_id].dataType).alias(station_id), empty.cast("int").alias("rank"), empty.cast("double").alias("distance")
         )
-    frontier = asked.crossJoin(F.broadcast(squares.counts[0].select(F.lit(0).alias("_level"), "_ix", "_iy", "n")))  # one square
-    for level in range(squares.levels):
-        whole = (F.col("n") <= leaf_points) | (F.col("_level") < level)
-        inner = frontier.where(~whole).select("_tid", "_tx", "_ty", F.col("_ix").alias("_px"), F.col("_iy").alias("_py"))
-        children = squares.counts[level + 1].select(
-            F.shiftright("_ix", HALVINGS).alias("_px"), F.shiftright("_iy", HALVINGS).alias("_py"), F.lit(level + 1).alias("_level"), "_ix", "_iy", "n"
-        )
-        opened = inner.join(children, ["_px", "_py"]).select("_tid", "_tx", "_ty", "_level", "_ix", "_iy", "n")
-        frontier = stabilise(squares.reached(frontier.where(whole).unionByName(opened), wanted))
-    met = frontier.join(squares.stations, ["_level", "_ix", "_iy"])
-    if others_only:
-        met = met.where(F.col("_tid") != F.col("_sid"))
-    dx, dy = F.col("_tx") - F.col("_sx"), F.col("_ty") - F.col("_sy")
-    rank = F.row_number().over(Window.partitionBy("_tid").orderBy("_d2", "_sid"))
-    return (
-        met.withColumn("_d2", dy * dy + dx * dx).withColumn("rank", rank).where(F.col("rank") <= k)
-        .select(F.col("_tid").alias(target_id), F.col("_sid").alias(station_id), "rank", F.sqrt("_d2").alias("distance"))
+
+    def root(squares: _Squares, prefix: str) -> DataFrame:
+        return squares.counts[0].select(F.lit(0).alias(f"{prefix}_level"), *[F.col(c).alias(f"{prefix}{c}") for c in ("_ix", "_iy")], F.col("n").alias(f"{prefix}_n"))
+
+    pairs = root(here, "t").crossJoin(F.broadcast(root(there, "s")))  # one row
+    for level in range(max(len(here.counts), len(there.counts)) - 1):
+        opened = _open(_open(pairs, here, level, "t"), there, level, "s")
+        before, pairs = pairs, stabilise(_within_reach(opened, here, there, wanted))
+        if level:
+            release(before)
+    met = there.leaves().groupBy(*_SQUARE).agg(F.collect_list(F.struct("_sid", "_x", "_y")).alias("_met"))
+    met = pairs.join(met.withColumnsRenamed(dict(zip(_SQUARE, _S))), _S).groupBy(*_T).agg(F.flatten(F.collect_list("_met")).alias("_met"))
+
+    def distances(s: Column) -> Column:
+        dx, dy = F.col("_x") - s["_x"], F.col("_y") - s["_y"]
+        return F.struct((dy * dy + dx * dx).alias("d2"), s["_sid"].alias("sid"))
+
+    # tasks by places: a few bytes of targets are much work, so their bytes do not tell how many tasks it needs
+    tasks = max(1, math.ceil(places.count() / PLACES_PER_TASK))
+    met = met.withColumnsRenamed(dict(zip(_T, _SQUARE))).repartition(tasks, *_SQUARE)
+    near = here.leaves().repartition(tasks, *_SQUARE).join(met, list(_SQUARE)).select(
+        "_x", "_y", F.slice(F.sort_array(F.transform("_met", distances)), 1, wanted).alias("_near")
+    )
+    found = asked.join(near, ["_x", "_y"]).select("_tid", F.posexplode(F.slice(F.filter("_near", lambda s: s["sid"] != F.col("_tid")) if others_only else F.col("_near"), 1, k)))
+    return found.select(
+        F.col("_tid").alias(target_id), F.col("col.sid").alias(station_id), (F.col("pos") + 1).alias("rank"), F.sqrt("col.d2").alias("distance")
     )
 
 

@@ -132,3 +132,20 @@ def test_standardised_precipitation(spark):
     assert abs(sum(values) / len(values)) < 0.05 and 0.85 < (sum(v * v for v in values) / len(values)) ** 0.5 < 1.15
     zero = [x for x in got if x.station_id == "b" and x.scale == 1 and x.total == 0]
     assert zero and all(x.spi == pytest.approx(NormalDist().inv_cdf(x.zero_share), abs=1e-3) for x in zero)
+
+
+def test_search_shuffles_squares_not_targets(spark):
+    """A level of the search keeps a few pairs for each small square of targets, however many targets it holds."""
+    rng = random.Random(5)
+    table = spark.createDataFrame([(k, rng.random(), rng.random()) for k in range(3000)], "s int, x double, y double")
+    squares = spatial._Squares(table.select(F.col("s").alias("_sid"), F.col("x").alias("_x"), F.col("y").alias("_y")), 64)
+    root = squares.counts[0]
+    pairs = root.select(F.lit(0).alias("t_level"), F.col("_ix").alias("t_ix"), F.col("_iy").alias("t_iy"), F.col("n").alias("t_n")).crossJoin(
+        root.select(F.lit(0).alias("s_level"), F.col("_ix").alias("s_ix"), F.col("_iy").alias("s_iy"), F.col("n").alias("s_n"))
+    )
+    for level in range(len(squares.counts) - 1):
+        pairs = spatial._within_reach(spatial._open(spatial._open(pairs, squares, level, "t"), squares, level, "s"), squares, squares, 4).localCheckpoint()
+    leaves = squares.leaves().groupBy("_level", "_ix", "_iy").count()
+    assert leaves.agg(F.max("count")).first()[0] <= 64 and leaves.agg(F.sum("count")).first()[0] == 3000
+    assert pairs.select("t_level", "t_ix", "t_iy").distinct().count() == leaves.count() < 300
+    assert pairs.count() < 30 * leaves.count()
