@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from harrow.catalog.registry import ROW, query, r6, rounded, sql_round
 from harrow.operators import cleaning, encoding, sampling
+from harrow.runtime import stabilise
 from harrow.sources.tables import Tables, with_views
 
 ROW_SQL = ", ".join(ROW)
@@ -54,7 +55,7 @@ def e2(t: Tables) -> DataFrame:
     + f"select {ROW_SQL}, agroecological_zone, upto<=round_even(0.15e0*n, 0) as is_test from counted",
 )
 def e3(t: Tables) -> DataFrame:
-    return sampling.stratified_split(t.obs.select(*ROW, "agroecological_zone"), KEYS)
+    return sampling.stratified_split(stabilise(t.obs.select(*ROW, "agroecological_zone")), KEYS)
 
 
 _COUNTED = with_views(
@@ -66,7 +67,7 @@ _COUNTED = with_views(
 
 @query("e6_validation_split", _COUNTED + f"select {ROW_SQL}, upto<=round_even(0.2e0*n, 0) as is_validation from counted")
 def e6(t: Tables) -> DataFrame:
-    return sampling.validation_split(t.obs.select(*ROW), KEYS)
+    return sampling.validation_split(stabilise(t.obs.select(*ROW)), KEYS)
 
 
 @query("t5_bounded_sample", _COUNTED + f"select {ROW_SQL} from counted where upto<=1000")
@@ -102,7 +103,7 @@ def e4(t: Tables) -> DataFrame:
 def m1(t: Tables) -> DataFrame:
     from harrow.operators.models import fit_baseline
 
-    split = sampling.group_split(t.obs.select(*ROW, "agroecological_zone", F.col("yield_kg_ha").alias("label")))
+    split = sampling.group_split(stabilise(t.obs.select(*ROW, "agroecological_zone", F.col("yield_kg_ha").alias("label"))))
     model = fit_baseline(split.where(~F.col("is_test")))
     return model.transform(split.where("is_test")).select(
         *ROW, F.col("label").alias("yield_kg_ha"), r6("prediction")

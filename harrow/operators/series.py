@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harrow.functions.nulls import clip
-from harrow.operators.lookup import lookup_join, with_group_stats
+from harrow.runtime import stabilise
 
 
 def daily_series(df: DataFrame, station: str, date: str, aggregates: dict[str, Column]) -> DataFrame:
@@ -25,13 +25,15 @@ def weather_sequences(
 ) -> DataFrame:
     """``sequence`` (steps x features, zero padded to the longest record) and its real ``length`` per key.
 
-    Every day counts. With ``max_length`` all sequences have that many steps, and a longer record is an error.
+    Every day counts. With ``max_length`` all sequences have that many steps, and a longer record is an error. Without it the records
+    are written once, as their longest one has to be known first.
     """
     step = F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features])
     lists = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(date).alias("d"), step.alias("v")))).alias("_steps"))
     size = F.size("_steps")
     if max_length is None:
-        steps = F.lit(df.groupBy(key).count().agg(F.max("count").alias("n")).first()["n"] or 0)
+        lists = stabilise(lists)
+        steps = F.lit(lists.agg(F.max(size)).first()[0] or 0)
     else:
         too_long = F.raise_error(F.format_string(f"a record of %d days is longer than {max_length}", size)).cast("int")
         steps = F.when(size > max_length, too_long).otherwise(F.lit(max_length))
@@ -138,10 +140,12 @@ def monthly_anomalies(
     months = df.groupBy(station, F.trunc(date, "MM").alias("month_start")).agg(
         F.avg(temperature).alias("temperature"), F.sum(rain).alias("rain")
     ).withColumn("month", F.month("month_start"))
-    normals = months.where(F.year("month_start").between(*reference)).groupBy(station, "month").agg(
-        F.avg("temperature").alias("temperature_normal"), F.avg("rain").alias("rain_normal")
+    # one calendar month of one station holds a row per year, so a window is small; rows without a key have no normals
+    same = Window.partitionBy(station, "month")
+    counted = F.year("month_start").between(*reference) & F.col(station).isNotNull() & F.col("month").isNotNull()
+    joined = months.withColumns(
+        {f"{c}_normal": F.avg(F.when(counted, F.col(c))).over(same) for c in ("temperature", "rain")}
     )
-    joined = lookup_join(months, normals, [station, "month"], "left")
     return joined.withColumns(
         {
             "temperature_anomaly": F.col("temperature") - F.col("temperature_normal"),
@@ -157,8 +161,11 @@ def flag_spikes(df: DataFrame, station: str, value: str, sigmas: float = 3.0) ->
 
     1.4826 x the median absolute deviation equals one standard deviation for normal data.
     """
-    centred = with_group_stats(df, station, _median=F.median(value)).withColumn("_dev", F.abs(F.col(value) - F.col("_median")))
-    spread = with_group_stats(centred, station, _mad=F.median("_dev"))
+    # a window holds the days of one station; rows without a station are in no group
+    days = Window.partitionBy(station)
+    known = F.col(station).isNotNull()
+    centred = df.withColumn("_median", F.when(known, F.median(value).over(days))).withColumn("_dev", F.abs(F.col(value) - F.col("_median")))
+    spread = centred.withColumn("_mad", F.when(known, F.median("_dev").over(days)))
     limit = F.lit(1.4826 * sigmas) * F.col("_mad")
     return spread.withColumn("is_spike", F.coalesce(F.col("_dev") > limit, F.lit(False))).drop("_median", "_dev", "_mad")
 

@@ -291,3 +291,20 @@ def test_a_cluster_names_its_folder(monkeypatch, spark):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_folder(Session())
+
+
+def test_each_query_derives_the_rows_once(tables):
+    """Splits, spikes, anomalies and sequences read what they need of the tables in one pass each, not once for every step."""
+    from harrow.catalog import QUERIES
+    from harrow.operators import series
+
+    days = tables.daily.select("station_id", "observation_date", "temperature_mean", "precipitation_daily")
+    key = ("station_id", "observation_date")
+    for out in (
+        series.flag_spikes(days, "station_id", "temperature_mean"), series.monthly_anomalies(days, *key, "temperature_mean", "precipitation_daily"),
+        series.weather_sequences(days, *key, ["temperature_mean"]),
+    ):
+        assert out._jdf.queryExecution().optimizedPlan().toString().count("l_shipdate") <= days._jdf.queryExecution().optimizedPlan().toString().count("l_shipdate")
+    for name in ("e3_stratified_split", "e6_validation_split", "m1_baseline_mean"):
+        out = QUERIES[name](tables.spark, tables.folder)
+        assert "l_shipdate" not in out._jdf.queryExecution().optimizedPlan().toString()
