@@ -3,8 +3,8 @@
 All steps are column expressions, joins and aggregates. What is compared are the parts of a text: its lines, sentences and paragraphs (a header
 is a paragraph, with or without comment marks) and the whole text. Document frequencies of all terms come from all texts. Parts without
 an anchor term are not scored: the rarest terms of a template without which, by the Cauchy-Schwarz inequality, no part
-reaches the threshold. By the same inequality the terms of a part must hold enough of one template's weight, else neither it nor, if it is a
-whole text, any part of it is scored. Equal parts are scored once. A file without a licence of its own gets the licence of the nearest
+reaches the threshold. By the same inequality the terms of a whole text must hold enough of one template's weight, else no part of it is scored.
+Of the parts those are scored whose cosine can reach the threshold if every term that no template has is as common as can be. Equal parts are scored once. A file without a licence of its own gets the licence of the nearest
 directory above it that holds a licence file.
 """
 
@@ -88,6 +88,8 @@ MARK, MARKED = r"spdx-license-identifier:[ \t]*", "spdx-license-identifier-"
 SENTENCE = r"\n|[.;][ \t]+"
 PARAGRAPH = r"\n[^a-z0-9\n]*\n"
 THRESHOLD = 0.75
+# Scores have six digits, so one below the threshold by less than this may be rounded up to it
+ROUNDING = 1e-6
 # A file of at most so many words that has a licence is a licence file, if no other mark says so
 LICENCE_FILE_WORDS = 25
 
@@ -143,27 +145,62 @@ def anchors(vectors: list[tuple[str, dict[str, float]]], idf: dict[str, float],
     for _, own in vectors:
         rest = 1.0
         for term, weight in sorted(own.items(), key=lambda x: (-idf[x[0]], x[0])):
-            if rest < (threshold - 1e-9) ** 2:
+            if rest < (threshold - ROUNDING) ** 2:
                 break
             out.add(term)
             rest -= weight * weight
     return sorted(out)
 
 
+def _literal(value, kind: str) -> Column:
+    """One literal for the planner, which reads it once."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
 def template_squares(vectors: list[tuple[str, dict[str, float]]]) -> Column:
     """Map from each term of the templates to its squared weight in every template."""
     rows = {t: [own.get(t, 0.0) ** 2 for _, own in vectors] for t in sorted({t for _, own in vectors for t in own})}
-    # one literal for the planner, which reads it once
-    return F.from_json(F.lit(json.dumps(rows)), "map<string,array<double>>")
+    return _literal(rows, "map<string,array<double>>")
+
+
+def template_terms(vectors: list[tuple[str, dict[str, float]]], idf: dict[str, float]) -> Column:
+    """For every template its terms, their inverse document frequencies and their weights."""
+    return _literal([[{"term": t, "idf": idf[t], "weight": w} for t, w in own.items()] for _, own in vectors], "array<array<struct<term:string,idf:double,weight:double>>>")
 
 
-def may_reach(terms: Column, squares: Column, templates: int, threshold: float) -> Column:
-    """Whether ``terms`` hold so much of a template's weight that the cosine can reach the threshold, whatever else is beside them."""
-    held = F.aggregate(
+def held_weights(terms: Column, squares: Column, templates: int) -> Column:
+    """How much of each template's squared weight is on ``terms``."""
+    return F.aggregate(
         F.array_intersect(terms, F.map_keys(squares)), F.array_repeat(F.lit(0.0), templates),
         lambda sums, term: F.zip_with(sums, squares[term], lambda a, b: a + b),
     )
-    return F.array_max(held) >= (threshold - 1e-9) ** 2
+
+
+def may_hold(terms: Column, squares: Column, templates: int, threshold: float) -> Column:
+    """Whether ``terms`` hold so much of a template's weight that the cosine of some part of them can reach the threshold."""
+    return F.array_max(held_weights(terms, squares, templates)) >= (threshold - ROUNDING) ** 2
+
+
+def may_reach(terms: Column, squares: Column, templates: Column, count: int, threshold: float) -> Column:
+    """Whether the cosine of ``terms`` themselves to one of the ``count`` templates can reach the threshold.
+
+    The product with the template and its terms' share of the norm are known here. Every other term adds one to the
+    square of the norm at least each time it occurs, as no inverse document frequency is less than one.
+    """
+
+    def add(sums: Column, own: Column) -> Column:
+        times = F.size(terms) - F.size(F.array_remove(terms, own["term"]))
+        weight = times * own["idf"]
+        return F.struct((sums["dot"] + weight * own["weight"]).alias("dot"), (sums["square"] - times + weight * weight).alias("square"))
+
+    def reach(template: Column) -> Column:
+        zero = F.struct(F.lit(0.0).alias("dot"), F.size(terms).cast("double").alias("square"))
+        return F.aggregate(template, zero, add, lambda sums: sums["dot"] >= (threshold - ROUNDING) * F.sqrt(sums["square"]))
+
+    enough = F.zip_with(
+        held_weights(terms, squares, count), templates, lambda held, template: (held >= (threshold - ROUNDING) ** 2) & reach(template)
+    )
+    return F.array_contains(enough, F.lit(True))
 
 
 def parts(text: Column) -> Column:
@@ -186,13 +223,16 @@ def licences(files: DataFrame, threshold: float = THRESHOLD, text: str = "text")
         [(t, k, name, w) for k, (name, own) in enumerate(vectors) for t, w in own.items()], "term string, template int, licence string, weight double"
     ))
     marks = F.array(*map(F.lit, anchors(vectors, idf, threshold)))
-    squares = template_squares(vectors)
+    squares, templates = template_squares(vectors), template_terms(vectors, idf)
 
-    def may_match(content: Column) -> Column:
-        return F.arrays_overlap(tokens(content), marks) & may_reach(tokens(content), squares, len(vectors), threshold)
+    def may_match(part: Column) -> Column:
+        # an array of one makes the terms of a part a variable, found once
+        return F.exists(
+            F.array(tokens(part)), lambda terms: F.arrays_overlap(terms, marks) & may_reach(terms, squares, templates, len(vectors), threshold)
+        )
 
     held = files.select(text_key(text_or_empty(text)).alias("text_id"), folded(text_or_empty(text)).alias("content"))
-    marked = held.where(may_match(F.col("content")))
+    marked = held.where(F.arrays_overlap(tokens(F.col("content")), marks) & may_hold(tokens(F.col("content")), squares, len(vectors), threshold))
     found = marked.select("text_id", F.explode(F.filter(parts(F.col("content")), may_match)).alias("part"))
     found = stabilise(found.select("text_id", "part", text_key(F.col("part")).alias("part_id")))
     # one shuffle by part: its terms are then counted where it is. Keys are columns already: beside explode() they would be hashed once a term

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -154,6 +155,31 @@ def test_files_headers_and_tags(licence_of):
     assert dict(zip(cases, licence_of(list(cases)))) == cases
 
 
+def test_parts_with_too_many_other_words_are_not_listed(spark):
+    vocabulary = sorted({t for _, text in license_scan.template_texts() for t in license_scan._tokens(text)})
+    idf = {t: 1.0 + (k * 37 % 100) / 10 for k, t in enumerate(vocabulary)}
+    vectors = license_scan.template_vectors(idf)
+    rng = random.Random(3)
+    texts = [(PLAIN * 40 + "MIT License").lower()]
+    for _ in range(300):
+        own = license_scan._tokens(rng.choice(license_scan.template_texts())[1])
+        own = [t for t in own if rng.random() < 0.9] + [f"w{rng.randrange(9)}" for _ in range(rng.randrange(30))]
+        texts.append(" ".join(own))
+    terms = license_scan.tokens(F.col("text"))
+    may = license_scan.may_reach(terms, license_scan.template_squares(vectors), license_scan.template_terms(vectors, idf), len(vectors), 0.75)
+    frame = spark.createDataFrame([(t,) for t in texts], "text string").select("text", may.alias("may"))
+    got = [(r.text, r.may) for r in frame.collect()]
+
+    def best(text):
+        """Largest cosine of the text when a word that no template has weighs one."""
+        own = Counter(license_scan._tokens(text))
+        norm = math.sqrt(sum((n * idf.get(t, 1.0)) ** 2 for t, n in own.items()))
+        return max(sum(own[t] * idf[t] * w for t, w in v.items()) for _, v in vectors) / norm if norm else 0.0
+
+    assert not got[0][1]
+    assert all(may for text, may in got if best(text) >= 0.75) and 30 < sum(may for _, may in got) < 300
+
+
 def test_files_of_one_path_are_not_mixed(spark):
     rows = [("a/x", MIT_FILE), ("a/x", "All rights reserved"), ("a/x", "All rights reserved"), ("a/x", None), ("a/LICENSE", "MIT License"), ("a/COPYING", "ISC License")]
     got = license_scan.scan(spark.createDataFrame(rows, "path string, text string")).collect()

@@ -1,6 +1,7 @@
 """The ways taken past the size limits give the same rows as the direct ones."""
 
 import random
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -308,3 +309,18 @@ def test_each_query_derives_the_rows_once(tables):
     for name in ("e3_stratified_split", "e6_validation_split", "m1_baseline_mean"):
         out = QUERIES[name](tables.spark, tables.folder)
         assert "l_shipdate" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_stored_results_leave_no_shuffle_files(spark):
+    def kept():
+        folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+        return {f for folder in folders for f in Path(folder).rglob("shuffle_*.data")}
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting, before = spark.conf.get(key), kept()
+    stored = stabilise(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    for _ in range(50):  # executors delete them when they are told to
+        if not kept() - before:
+            break
+        time.sleep(0.1)
+    assert not kept() - before and stored.count() == 7 and spark.conf.get(key) == setting
