@@ -2,7 +2,7 @@
 
 Counts of the trusted texts are summed over shards of n-grams; continuation counts, context totals and discounts are aggregates
 of them, and each order's probabilities come from joins of n-grams with their contexts and with the next lower
-order (Chen and Goodman 1998). To score, every block of documents lists its distinct n-grams, these are joined with the
+order (Chen and Goodman 1998). To score, every block of documents (dealt by hash) lists its distinct n-grams, these are joined with the
 model's counts once, and the block's documents add up the logarithms. The threshold is a quantile of each language's documents.
 
 An n-gram is two columns: ``ctx``, the code points of up to three characters with 21 bits each, and ``sym``, the code point that follows. So no two
@@ -17,7 +17,6 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +30,8 @@ BITS, POINTS = 21, 0x110000
 # Characters of text in a block
 BLOCK_CHARS = 24 << 20
 HELD = 1 << 21
+# Compression of a block's texts
+LEVEL = 6
 # Trusted ids (8 bytes each) that are broadcast; beyond that trusted texts are found by one join
 BROADCAST_IDS = 1_000_000
 
@@ -231,51 +232,59 @@ def _scores(texts: list[str], ctx: np.ndarray, sym: np.ndarray, logp: np.ndarray
         yield float(np.exp(-logp[np.searchsorted(gram, own)].mean())) if len(begins) else None
 
 
-def perplexities(docs: DataFrame, model: Model) -> DataFrame:
-    """(``doc_id``, ``lang``, ``n_grams``, ``perplexity``) of every whole text; null without a character."""
+def _texts(row: dict) -> list[str]:
+    """The texts of one row of ``_packed``."""
+    raw, ends = zstandard.ZstdDecompressor().decompress(row["z"]), np.cumsum([0, *row["sizes"]]).tolist()
+    return [raw[a:b].decode() for a, b in zip(ends, ends[1:])]
+
+
+def _packed(batches):
+    """Of each slice the texts of a block as one row, compressed together, which takes less room than one by one."""
+    for part in slices(batches):
+        rows = part.to_pydict()
+        blocks: dict[int, list[int]] = {}
+        for row, grp in enumerate(rows["grp"]):
+            blocks.setdefault(grp, []).append(row)
+        raw = [t.encode() for t in rows["text"]]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(list(blocks), pa.int64()),
+                *[pa.array([[rows[c][k] for k in own] for own in blocks.values()], pa.list_(kind)) for c, kind in (("doc_id", pa.int64()), ("lang", pa.string()))],
+                pa.array([[len(raw[k]) for k in own] for own in blocks.values()], pa.list_(pa.int64())),
+                pa.array([zstandard.ZstdCompressor(level=LEVEL).compress(b"".join(raw[k] for k in own)) for own in blocks.values()], pa.binary()),
+            ],
+            ["grp", "doc_ids", "langs", "sizes", "z"],
+        )
+
+
+def perplexities(docs: DataFrame, model: Model, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """(``doc_id``, ``lang``, ``n_grams``, ``perplexity``) of every whole text; null without a character.
+
+    Documents are dealt to blocks of about ``block_chars`` by id and text. The texts are sent to their blocks twice, to list the n-grams and to add
+    up the answers, but what was sent first is gone by then: they take room once.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), text_or_empty().alias("text"))
-    schema = pa.schema([
-        ("grp", pa.int64()), ("doc_id", pa.int64()), ("lang", pa.string()), ("z", pa.binary()), ("ctx", pa.int64()), ("sym", pa.int32()),
-    ])
+    total = rows.agg(F.sum(F.char_length("text"))).first()[0] or 0
+    grp = F.pmod(F.xxhash64("doc_id", "lang", "text"), F.lit(max(1, math.ceil(total / block_chars)))).alias("grp")
+    packed = rows.select(grp, "doc_id", "lang", "text").mapInArrow(_packed, "grp long, doc_ids array<long>, langs array<string>, sizes array<long>, z binary")
 
-    def batch(grp: int, n: int, **columns) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(n, grp)), *[columns.get(f.name, pa.nulls(n, f.type)) for f in list(schema)[1:]]], schema=schema
-        )
+    def listed(key: tuple[pa.Scalar, ...], texts: pa.Table) -> pa.Table:
+        """The distinct 4-grams of a block."""
+        found = list(_tallies((0, _texts(row)) for row in texts.select(["sizes", "z"]).to_pylist()))
+        ctx, sym = (np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.int64) for k in (1, 2))
+        return pa.table({"block": pa.array(np.full(len(ctx), key[0].as_py())), "ctx": pa.array(ctx, pa.int64()), "sym": pa.array(sym, pa.int32())})
 
-    def listed(batches):
-        """Blocks of texts, compressed, and after them the distinct 4-grams of the block; a block is part of one task's output."""
-        first, ready = TaskContext.get().partitionId() << 24, []
-
-        def parts():
-            block = size = 0
-            for part in slices(batches):
-                texts = part.column("text").to_pylist()
-                packed = [zstandard.ZstdCompressor(level=3).compress(t.encode()) for t in texts]
-                ready.append(batch(first + block, len(texts), doc_id=part.column("doc_id"), lang=part.column("lang"), z=pa.array(packed, pa.binary())))
-                yield first + block, texts
-                size += sum(map(len, texts))
-                if size >= BLOCK_CHARS:
-                    block, size = block + 1, 0
-
-        for grp, ctx, sym, _ in _tallies(parts()):
-            yield from ready
-            ready.clear()
-            yield batch(grp, len(ctx), ctx=pa.array(ctx, pa.int64()), sym=pa.array(sym, pa.int32()))
-        yield from ready
-
-    blocks = stabilise(rows.mapInArrow(listed, "grp long, doc_id long, lang string, z binary, ctx long, sym int"))
-    asked = blocks.where("z is null").select(F.col("grp").alias("block"), "ctx", "sym")
+    asked = stabilise(packed.groupBy("grp").applyInArrow(listed, "block long, ctx long, sym int"))
     known = model.log_probability(asked.select("ctx", "sym").distinct())
     answers = asked.join(known, ["ctx", "sym"]).select("block", "ctx", "sym", "logp")
 
     def score(texts: pa.Table, known: pa.Table) -> pa.Table:
-        whole = [zstandard.ZstdDecompressor().decompress(z).decode() for z in texts.column("z").to_pylist()]
+        rows = texts.to_pylist()
+        ids, langs, whole = ([x for own in each for x in own] for each in ([r["doc_ids"] for r in rows], [r["langs"] for r in rows], map(_texts, rows)))
         value = list(_scores(whole, known.column("ctx").to_numpy(), known.column("sym").to_numpy().astype(np.int64), known.column("logp").to_numpy()))
         n = [len(_codes(t)) for t in whole]
-        return pa.table({"doc_id": texts.column("doc_id"), "lang": texts.column("lang"), "n_grams": pa.array(n, pa.int64()), "perplexity": pa.array(value, pa.float64())})
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "lang": pa.array(langs, pa.string()), "n_grams": pa.array(n, pa.int64()), "perplexity": pa.array(value, pa.float64())})
 
-    packed = blocks.where("z is not null").select("grp", "doc_id", "lang", "z")
     return packed.groupBy("grp").cogroup(answers.groupBy("block")).applyInArrow(score, "doc_id long, lang string, n_grams long, perplexity double")
 
 

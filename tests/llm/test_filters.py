@@ -342,3 +342,14 @@ def test_kneser_ney_counts_every_trusted_document(spark):
     docs = spark.range(200_010).selectExpr("id as doc_id", "'ab' as text")
     counts = kneser_ney.count_trusted(docs, docs.select("doc_id"))
     assert counts.agg({"n": "sum"}).first()[0] == 2 * 200_010
+
+
+def test_perplexity_does_not_depend_on_blocks(spark, odd_docs, no_docs):
+    model = kneser_ney.Model(kneser_ney.count_trusted(odd_docs, odd_docs.select("doc_id")))
+
+    def scored(docs, chars):
+        return sorted(map(str, kneser_ney.perplexities(docs, model, chars).collect()))
+
+    got = scored(odd_docs, 40)
+    assert got == scored(odd_docs, 1 << 24) and len(got) == odd_docs.count()
+    assert scored(no_docs, 40) == []
