@@ -29,7 +29,7 @@ def s1(t: Tables) -> DataFrame:
         *ROW, "data_source", "agroecological_zone", "season", "crop_name", "crop_group", "yield_kg_ha", "biomass_kg_ha", "harvest_index",
         *[(F.col("yield_kg_ha") / n).alias(c) for c, n in shares.items()],
     )
-    path = files.write_delimited(rows, scratch_path(t.spark, "features") + ".csv")
+    path = files.write_delimited(rows, scratch_path(t.spark, "features") + ".csv", compression="gzip")
     return rounded(files.load_feature_csv(t.spark, path, rows.schema), "yield_kg_ha", "biomass_kg_ha", "harvest_index", *shares)
 
 
@@ -73,7 +73,7 @@ def s4(t: Tables) -> DataFrame:
 )
 def s5(t: Tables) -> DataFrame:
     columns = [*ROW, "crop_name", "season"]
-    path = files.write_delimited(t.obs, scratch_path(t.spark, "delimited"), columns, ";")
+    path = files.write_delimited(t.obs, scratch_path(t.spark, "delimited"), columns, ";", compression="gzip")
     return files.read_delimited(t.spark, path, columns, ";")
 
 
@@ -143,7 +143,7 @@ def s9(t: Tables) -> DataFrame:
 def s10(t: Tables) -> DataFrame:
     columns = ["record_id", "observation_date", "data_source", "agroecological_zone", "season", "crop_name",
                "crop_group", "irrigation_applied", "data_quality_flag"]
-    path = files.write_delimited(t.obs, scratch_path(t.spark, "typed"), columns)
+    path = files.write_delimited(t.obs, scratch_path(t.spark, "typed"), columns, compression="gzip")
     text = files.read_delimited(t.spark, path, columns)
     return files.typed_survey(text).withColumn("record_id", F.col("record_id").cast(T.LongType()))
 

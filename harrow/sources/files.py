@@ -5,7 +5,7 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,14 +61,23 @@ def read_delimited(
 
 
 def write_delimited(
-    df: DataFrame, path: str, columns: list[str] | None = None, delimiter: str = ",", encoding: str = "UTF-8"
+    df: DataFrame, path: str, columns: list[str] | None = None, delimiter: str = ",", encoding: str = "UTF-8", compression: str = "none"
 ) -> str:
-    """Delimited text with a header; an empty table is refused."""
-    if df.isEmpty():
+    """Delimited text with a header; an empty table is refused.
+
+    Rows are counted while they are written, so ``df`` is derived once; only where it would replace a file its first row is sought before.
+    """
+    target = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder = target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration())
+    if folder.exists(target) and df.isEmpty():
         raise ValueError("No data to write")
-    df.select(*(columns or df.columns)).write.mode("overwrite").options(
-        header=True, sep=delimiter, encoding=encoding
+    written = Observation()
+    df.select(*(columns or df.columns)).observe(written, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").options(
+        header=True, sep=delimiter, encoding=encoding, compression=compression
     ).csv(path)
+    if not written.get["rows"]:
+        folder.delete(target, True)
+        raise ValueError("No data to write")
     return path
 
 

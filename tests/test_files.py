@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,6 +47,26 @@ def test_delimited(spark, tmp_path):
         files.write_delimited(df.limit(0), str(tmp_path / "e"))
 
 
+def test_delimited_rows_are_derived_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(1000).repartition(1).mapInArrow(count, "id long")
+    path = files.write_delimited(df, str(tmp_path / "once"), compression="gzip")
+    assert seen.value == 1000 and files.read_delimited(spark, path, ["id"]).distinct().count() == 1000
+    assert all(f.name.endswith(".csv.gz") for f in Path(path).glob("part-*"))
+    with pytest.raises(ValueError, match="No data"):  # what stands there is not replaced by nothing
+        files.write_delimited(df.limit(0), path)
+    assert files.read_delimited(spark, path, ["id"]).count() == 1000
+    with pytest.raises(ValueError, match="No data"):
+        files.write_delimited(df.where("id < 0"), str(tmp_path / "none"))
+    assert not (tmp_path / "none").exists()
+
+
 def test_json(spark, tmp_path):
     df = spark.createDataFrame([(1, {"a": 1.5})], "id int, m map<string,double>")
     path = files.write_json(df, str(tmp_path / "j"))
