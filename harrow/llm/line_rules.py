@@ -18,7 +18,7 @@ from harrow.operators.lookup import lookup_join
 from harrow.runtime import stabilise
 
 SPACE = r"[\x20\x09-\x0D]+"
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]+"
 # Different texts of a host that may share a line
 LIMIT = 5
 
@@ -38,20 +38,27 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once however often ``body`` names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _shifted(values: Column, by: int) -> Column:
-    return F.slice(values, by + 1, F.greatest(F.size(values) - by, F.lit(0)))
+    # a length past the end stands for the rest
+    return F.slice(values, by + 1, 1 << 30)
 
 
 def _window_hashes(words: Column) -> Column:
     """Hash of each window of five words; empty with fewer."""
-    one = F.transform(words, lambda w: F.xxhash64(w))
+
+    def five(one: Column, four: Column) -> Column:
+        whole = F.slice(four, F.lit(1), F.greatest(F.size(one) - 4, F.lit(0)))
+        return F.zip_with(whole, _shifted(one, 4), lambda a, b: F.xxhash64(a, b))
+
     # two, then four, then five words: each step pairs an array with itself moved on
-    return F.transform(
-        F.filter(
-            F.zip_with(_two(_two(one, 1), 2), _shifted(one, 4), lambda a, b: F.struct(F.xxhash64(a, b).alias("h"), b.isNotNull().alias("whole"))),
-            lambda x: x["whole"],
-        ),
-        lambda x: x["h"],
+    return _let(
+        F.transform(words, lambda w: F.xxhash64(w)),
+        lambda one: _let(_two(one, 1), lambda two: _let(_two(two, 2), lambda four: five(one, four))),
     )
 
 
@@ -61,16 +68,19 @@ def _two(values: Column, apart: int) -> Column:
 
 def _covered(hashes: Column) -> Column:
     """Words inside windows that occur twice or more: each repeated start adds up to five, less what the one before covers."""
-    pairs = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    before = F.concat(F.array(F.struct(F.lit(None).cast("bigint").alias("h"), F.lit(None).cast("int").alias("i"))), pairs)
-    near = F.zip_with(
-        F.zip_with(pairs, before, lambda own, last: F.struct(own.alias("own"), last["h"].alias("last"))),
-        _shifted(pairs, 1),
-        lambda x, following: F.struct(x["own"].alias("own"), x["last"].alias("last"), following["h"].alias("next")),
-    )
-    starts = F.array_sort(
+    none = F.struct(F.lit(None).cast("bigint").alias("h"), F.lit(None).cast("int").alias("i"))
+
+    def near(pairs: Column) -> Column:
+        return F.zip_with(
+            F.zip_with(pairs, F.concat(F.array(none), pairs), lambda own, last: F.struct(own.alias("own"), last["h"].alias("last"))),
+            _shifted(pairs, 1),
+            lambda x, following: F.struct(x["own"].alias("own"), x["last"].alias("last"), following["h"].alias("next")),
+        )
+
+    pairs = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    starts = F.sort_array(
         F.transform(
-            F.filter(near, lambda x: x["own"].isNotNull() & ((x["own"]["h"] == x["last"]) | (x["own"]["h"] == x["next"]))),
+            F.filter(_let(pairs, near), lambda x: x["own"].isNotNull() & ((x["own"]["h"] == x["last"]) | (x["own"]["h"] == x["next"]))),
             lambda x: x["own"]["i"],
         )
     )
@@ -90,7 +100,7 @@ def base_counts(docs: DataFrame, text: str = "text", limits: Limits = Limits())
     """
     words, hashes, lines = column_names(docs, "words", "hashes", "lines")
     own = text_or_empty(text)
-    symbols = F.length(own) - F.length(F.translate(own, SYMBOLS, ""))
+    symbols = F.length(own) - F.length(F.regexp_replace(own, SYMBOLS, ""))
     kept = F.filter(F.split(own, "\n"), lambda line: line.rlike(WORD))
     out = (
         docs.withColumn(words, _words(own))

@@ -353,3 +353,9 @@ def test_perplexity_does_not_depend_on_blocks(spark, odd_docs, no_docs):
     got = scored(odd_docs, 40)
     assert got == scored(odd_docs, 1 << 24) and len(got) == odd_docs.count()
     assert scored(no_docs, 40) == []
+
+
+def test_windows_are_hashed_once():
+    # a higher-order function evaluates an argument each time it is named
+    assert str(line_rules._window_hashes(F.col("the_words"))).count("the_words") == 1
+    assert str(line_rules._covered(F.col("the_hashes"))).count("the_hashes") == 1
