@@ -24,10 +24,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from harrow.llm.common import column_names, slices, text_key, text_or_empty
+from harrow.llm.common import slices, text_key, text_or_empty
 from harrow.llm.jaccard_join import mixed
 from harrow.runtime import stabilise
 
@@ -99,7 +100,9 @@ class Hashes:
 
     def common(self, a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
         """Length of the common extension of the suffixes at ``a`` and ``b``, up to ``size``."""
-        low, high = np.zeros(len(a), np.int64), np.full(len(a), size, np.int64)
+        # most pairs are equal as a whole
+        whole = self.of(a, size) == self.of(b, size)
+        low, high = np.where(whole, size, 0), np.where(whole, size, size - 1)
         while True:
             open_ = low < high
             if not open_.any():
@@ -164,8 +167,22 @@ def _spans(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 
 def least_document(data: np.ndarray, at: np.ndarray, shard: np.ndarray, doc: np.ndarray, size: int) -> np.ndarray:
-    """For each suffix the smallest document that has one with the same ``size`` first bytes."""
-    hashes = Hashes(data)
+    """For each suffix the smallest document that has one with the same ``size`` first bytes.
+
+    Equal strings have equal hashes, so only suffixes whose hash another document has too are sorted.
+    """
+    hashes, out = Hashes(data), doc.copy()
+    whole = hashes.of(at, size)
+    order = np.lexsort((whole, shard))
+    start = np.flatnonzero(np.concatenate(([True], (np.diff(shard[order]) != 0) | (whole[order[1:]] != whole[order[:-1]]))))
+    several = np.minimum.reduceat(doc[order], start) != np.maximum.reduceat(doc[order], start)
+    some = np.sort(order[np.repeat(several, np.diff(np.append(start, len(order))))])
+    if len(some):
+        out[some] = _least_of_sorted(data, at[some], shard[some], doc[some], size, hashes)
+    return out
+
+
+def _least_of_sorted(data: np.ndarray, at: np.ndarray, shard: np.ndarray, doc: np.ndarray, size: int, hashes: Hashes) -> np.ndarray:
     order = sort_suffixes(data, at, shard, size, hashes)
     a, b = at[order[:-1]], at[order[1:]]
     near = shard[order[:-1]] == shard[order[1:]]
@@ -463,17 +480,16 @@ def _number_steps(number: np.ndarray, starts: np.ndarray, most: int = 1 << 19):
         first = int(ends[k])
 
 
-def _remove(key, docs: pa.Table, stretches: pa.Table) -> pa.Table:
-    """Cut the stretches out of a group's documents."""
+def _cut(docs: pa.Table, stretches: pa.Table):
+    """(row, bytes removed, maximal removed runs, bytes kept) of a group's documents; None for the bytes of a text that stays whole."""
     own = [np.frombuffer(_unpack(x), np.int32).reshape(-1, 3) for x in stretches.column("a").to_pylist()]
     spans = np.concatenate(own) if own else np.zeros((0, 3), np.int32)
     spans = spans[np.argsort(spans[:, 0], kind="stable")]
-    ids, raws, digests, sizes = (docs.column(c).to_pylist() for c in ("doc_id", "z", "digest", "n_bytes"))
-    out = []
+    raws = docs.column("z").to_pylist()
     for place, row in enumerate(_in_order(docs)):
         lo, hi = np.searchsorted(spans[:, 0], [place, place + 1])
         if lo == hi:
-            out.append((ids[row], digests[row], sizes[row], 0, 0, digests[row].hex(), None))
+            yield row, 0, 0, None
             continue
         data = np.frombuffer(_unpack(raws[row]), np.uint8)
         edge = np.zeros(len(data) + 1, np.int64)
@@ -481,23 +497,36 @@ def _remove(key, docs: pa.Table, stretches: pa.Table) -> pa.Table:
         np.add.at(edge, spans[lo:hi, 2], -1)
         gone = np.cumsum(edge[:-1]) > 0
         rise = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-        kept = data[~gone].tobytes()
-        out.append((ids[row], digests[row], len(data), int(gone.sum()), rise, hashlib.sha256(kept).hexdigest(), _pack(kept) if kept else None))
+        yield row, int(gone.sum()), rise, data[~gone].tobytes()
+
+
+def _remove(key, docs: pa.Table, stretches: pa.Table) -> pa.Table:
+    """Cut the stretches out of a group's documents."""
+    ids, digests, sizes = (docs.column(c).to_pylist() for c in ("doc_id", "digest", "n_bytes"))
+    out = []
+    for row, removed, rise, kept in _cut(docs, stretches):
+        sha = digests[row].hex() if kept is None else hashlib.sha256(kept).hexdigest()
+        out.append((ids[row], digests[row], sizes[row], removed, rise, sha, _pack(kept) if kept else None))
     columns = list(zip(*out)) or [()] * 7
     kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
     return pa.table({n: pa.array(c, k) for n, c, k in zip(("doc_id", "digest", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"), columns, kinds)})
 
 
-def remove_repeats(docs: DataFrame, size: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: ``doc_id``, ``digest`` of the text, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``, and ``kept``: what is left of a text
-    that lost a part of its bytes (zstd; null for a text that stays or goes whole).
+def _keep(key, docs: pa.Table, stretches: pa.Table) -> pa.Table:
+    """Of a group's documents those that keep something, or had nothing, with what they keep."""
+    raws, rows, left = docs.column("z").to_pylist(), [], []
+    for row, _, _, kept in _cut(docs, stretches):
+        if kept is None or kept:
+            rows.append(row)
+            left.append(raws[row] if kept is None else _pack(kept))
+    return pa.table({"rest": docs.column("rest").take(pa.array(rows, pa.int64())), "z": pa.array(left, pa.binary())})
 
-    A null text counts as empty. A null id is larger than every other. Rows of one id never remove anything from each other, a
-    copy with a larger id goes whole, and texts shorter than ``size`` stay. ``size`` is 24 at least.
-    """
+
+def _sent_and_found(docs: DataFrame, size: int, doc_id: str, text: str, rest: Column) -> tuple[DataFrame, DataFrame]:
+    """The texts packed by group, with ``rest`` of their rows beside them, and the stretches to remove by group."""
     if size < GRAM + 8:
         raise ValueError(f"size is {GRAM + 8} at least")
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text"), rest.alias("rest"))
     check = F.crc32("text").alias("check")
     keys = stabilise(rows.select("doc_id", check, text_key(F.col("text")).alias("digest"), F.octet_length("text").cast("long").alias("n_bytes")))
     total = keys.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
@@ -511,7 +540,7 @@ def remove_repeats(docs: DataFrame, size: int = 50, doc_id: str = "doc_id", text
         .filter(F.col("doc_id").isNull() & F.col("first_doc").isNotNull() | (F.col("doc_id") > F.col("first_doc")))
         .select(grp, F.lit(None).cast("int").alias("shard"), F.lit(None).cast("binary").alias("numbers"), "doc_id", "digest").distinct()
     )
-    dealt = rows.select("doc_id", "text", check).select(grp, "doc_id", "text")
+    dealt = rows.select("doc_id", "text", "rest", check).select(grp, "doc_id", "text", "rest")
     listed = dealt.select("grp", "text").mapInArrow(_list_numbers(size, shards), "shard int, grp long, numbers binary, several binary")
     told = listed.groupBy("shard").applyInArrow(_tell_shared, "grp long, shard int, numbers binary").select(
         "grp", "shard", "numbers", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("digest")
@@ -523,14 +552,25 @@ def remove_repeats(docs: DataFrame, size: int = 50, doc_id: str = "doc_id", text
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("grp"), part.column("doc_id"), pa.array([hashlib.sha256(t).digest() for t in raw], pa.binary()),
-                    pa.array(map(len, raw), pa.int64()), pa.array([_pack(t) for t in raw], pa.binary()),
+                    pa.array(map(len, raw), pa.int64()), pa.array([_pack(t) for t in raw], pa.binary()), part.column("rest"),
                 ],
-                ["grp", "doc_id", "digest", "n_bytes", "z"],
+                ["grp", "doc_id", "digest", "n_bytes", "z", "rest"],
             )
 
-    packed = dealt.mapInArrow(shrink, "grp long, doc_id long, digest binary, n_bytes long, z binary")
+    schema = T.StructType().add("grp", "long").add("doc_id", "long").add("digest", "binary").add("n_bytes", "long").add("z", "binary")
+    packed = dealt.mapInArrow(shrink, schema.add(rows.schema["rest"]))
     sent = packed.groupBy("grp").cogroup(told.unionByName(copies).groupBy("grp")).applyInArrow(_send_runs(size, shards), _SENT)
-    stretches = sent.groupBy("shard").applyInArrow(_find_repeats(size), "grp long, a binary")
+    return packed, sent.groupBy("shard").applyInArrow(_find_repeats(size), "grp long, a binary")
+
+
+def remove_repeats(docs: DataFrame, size: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of ``docs``: ``doc_id``, ``digest`` of the text, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``, and ``kept``: what is left of a text
+    that lost a part of its bytes (zstd; null for a text that stays or goes whole).
+
+    A null text counts as empty. A null id is larger than every other. Rows of one id never remove anything from each other, a
+    copy with a larger id goes whole, and texts shorter than ``size`` stay. ``size`` is 24 at least.
+    """
+    packed, stretches = _sent_and_found(docs, size, doc_id, text, F.lit(True))
     return packed.groupBy("grp").cogroup(stretches.groupBy("grp")).applyInArrow(
         _remove, "doc_id long, digest binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     )
@@ -539,24 +579,19 @@ def remove_repeats(docs: DataFrame, size: int = 50, doc_id: str = "doc_id", text
 def without_repeats(docs: DataFrame, size: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the repeated bytes; a text that loses all of them goes, one that was empty before stays.
 
-    What a cut leaves of a character goes too. Repeated rows are cut alike and stay.
+    What a cut leaves of a character goes too. Repeated rows are cut alike and stay. A row's other columns travel with its text.
     """
-    digest, found, kept, gone = column_names(docs, "digest", "found", "kept", "gone")
-    cut = remove_repeats(docs, size, doc_id, text).filter("n_removed > 0").select(
-        F.col("doc_id").alias(found), F.col("digest").alias(digest), F.col("kept").alias(kept), (F.col("n_removed") == F.col("n_bytes")).alias(gone)
-    ).dropDuplicates([found, digest])
-    same = F.col(doc_id).cast("long").eqNullSafe(F.col(found)) & (text_key(text_or_empty(text)) == F.col(digest))
+    others = [c for c in docs.columns if c != text]
+    rest = F.struct(F.col(text).isNotNull().alias("known"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(others)])
+    packed, stretches = _sent_and_found(docs, size, doc_id, text, rest)
+    kept = packed.groupBy("grp").cogroup(stretches.groupBy("grp")).applyInArrow(_keep, T.StructType().add(packed.schema["rest"]).add("z", "binary"))
 
     def restore(batches):
         for batch in batches:
-            at = batch.schema.get_field_index(text)
-            texts = batch.column(at).to_pylist()
-            for row, raw in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
-                if raw is not None:
-                    texts[row] = _unpack(raw).decode("utf-8", "ignore")
-            columns = [batch.column(i) for i in range(batch.num_columns - 1)]
-            columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
-
-    joined = docs.join(cut, same, "left").filter(~F.coalesce(F.col(gone), F.lit(False)))
-    return joined.select(*docs.columns, kept).mapInArrow(restore, docs.schema)
+            z, known = batch.column(batch.num_columns - 1).to_pylist(), batch.column(0).to_pylist()
+            columns = dict(zip(others, batch.columns[1:-1]))
+            columns[text] = pa.array([_unpack(raw).decode("utf-8", "ignore") if has else None for raw, has in zip(z, known)], pa.string())
+            yield pa.RecordBatch.from_arrays([columns[c] for c in names], names)
+
+    names = docs.columns
+    return kept.select("rest.*", "z").mapInArrow(restore, docs.schema)

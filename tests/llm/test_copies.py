@@ -120,6 +120,32 @@ def test_suffixes_are_sorted():
     assert sorted_ == sorted(sorted_)
 
 
+def test_only_suffixes_that_another_document_has_are_sorted(monkeypatch):
+    rng, passage = np.random.default_rng(5), bytes(range(60))
+    texts = [rng.integers(0, 256, 400, np.uint8).tobytes() for _ in range(6)]
+    texts[4] += passage
+    texts[1] += passage
+    data, length = np.frombuffer(b"".join(texts), np.uint8), [len(t) for t in texts]
+    begin = np.cumsum(length) - length
+    at = np.concatenate([np.arange(b, b + n - 49) for b, n in zip(begin, length)])
+    doc = np.repeat(np.arange(6), [n - 49 for n in length])
+    sorted_, sort = [], suffix_dedup.sort_suffixes
+    monkeypatch.setattr(suffix_dedup, "sort_suffixes", lambda d, a, *more: sorted_.append(len(a)) or sort(d, a, *more))
+    least = suffix_dedup.least_document(data, at, np.zeros(len(at), np.int64), doc, 50)
+    assert np.flatnonzero(least != doc).tolist() == [k for k, (a, d) in enumerate(zip(at, doc)) if d == 4 and a >= begin[4] + 400]
+    assert set(least[least != doc]) == {1} and sorted_ == [22]
+
+
+def test_rows_travel_with_their_texts(spark):
+    text = "a passage of more than fifty bytes that more than one text of this table holds"
+    rows = [(1, None, 1.5, ["x"]), (2, text, None, None), (3, text + " é more", 2.5, []), (3, text + " é more", 2.5, ["y"]), (4, text, 0.0, None), (None, "", 3.5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, z double, rest array<string>").repartition(3)
+    left = suffix_dedup.without_repeats(docs)
+    want = [(1, None, 1.5, ["x"]), rows[1], (3, " é more", 2.5, []), (3, " é more", 2.5, ["y"]), rows[5]]
+    assert left.schema == docs.schema and sorted(map(str, map(tuple, left.collect()))) == sorted(map(str, want))
+    assert left._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 2  # of ids with digests; none has texts
+
+
 def test_repeats_of_odd_rows(odd_docs, no_docs):
     got = suffix_dedup.remove_repeats(odd_docs)
     assert got.count() == odd_docs.count() and suffix_dedup.remove_repeats(no_docs).count() == 0
