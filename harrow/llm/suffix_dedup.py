@@ -40,11 +40,13 @@ STEP_BYTES = 1 << 19
 # Numbers a task holds before it hands them on
 HELD = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+_BYTES = mixed(np.arange(256, dtype=np.uint64) + np.uint64(0x632BE59BD9B4E019))
+_shrinker, _grower = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
 def _grams(data: np.ndarray) -> np.ndarray:
     """Hash of the 16 bytes from each position on, by doubling."""
-    h = mixed(data.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019))
+    h = _BYTES[data]
     step = 1
     while step < GRAM:
         h = h[:-step] * np.uint64(0xD1342543DE82EF95) + h[step:] * np.uint64(0xAF251AF3B0F025B5)
@@ -100,7 +102,6 @@ class Hashes:
 
     def common(self, a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
         """Length of the common extension of the suffixes at ``a`` and ``b``, up to ``size``."""
-        # most pairs are equal as a whole
         whole = self.of(a, size) == self.of(b, size)
         low, high = np.where(whole, size, 0), np.where(whole, size, size - 1)
         while True:
@@ -119,8 +120,20 @@ def _words8(data: np.ndarray) -> np.ndarray:
 
 
 def sort_suffixes(data: np.ndarray, at: np.ndarray, shard: np.ndarray, size: int, hashes: Hashes | None = None) -> np.ndarray:
-    """Order of the suffixes ``at`` by ``shard``, then by their first ``size`` bytes (stable)."""
+    """Order of the suffixes ``at`` by ``shard``, then by their first ``size`` bytes (stable).
+
+    Of the suffixes with one hash the first is sorted, the others follow it.
+    """
     hashes = hashes or Hashes(data)
+    whole = hashes.of(at, size)
+    alike = np.lexsort((whole, shard))
+    start = np.flatnonzero(np.concatenate(([True], (np.diff(shard[alike]) != 0) | (whole[alike[1:]] != whole[alike[:-1]]))))
+    first = alike[start]
+    order = _sort_different(data, at[first], shard[first], size, hashes)
+    return alike[_spans(start[order], np.diff(np.append(start, len(alike)))[order])]
+
+
+def _sort_different(data: np.ndarray, at: np.ndarray, shard: np.ndarray, size: int, hashes: Hashes) -> np.ndarray:
     eight = hashes.eight[at].astype(np.uint64)
     order = np.lexsort((eight, shard))
     split = np.flatnonzero((np.diff(shard[order]) != 0) | (np.diff(eight[order].view(np.int64)) != 0)) + 1
@@ -169,12 +182,12 @@ def _spans(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
 def least_document(data: np.ndarray, at: np.ndarray, shard: np.ndarray, doc: np.ndarray, size: int) -> np.ndarray:
     """For each suffix the smallest document that has one with the same ``size`` first bytes.
 
-    Equal strings have equal hashes, so only suffixes whose hash another document has too are sorted.
+    Equal strings have equal hashes, so only suffixes whose hash another document has too, in whatever shard, are sorted.
     """
     hashes, out = Hashes(data), doc.copy()
     whole = hashes.of(at, size)
-    order = np.lexsort((whole, shard))
-    start = np.flatnonzero(np.concatenate(([True], (np.diff(shard[order]) != 0) | (whole[order[1:]] != whole[order[:-1]]))))
+    order = np.argsort(whole)
+    start = np.flatnonzero(np.concatenate(([True], whole[order[1:]] != whole[order[:-1]])))
     several = np.minimum.reduceat(doc[order], start) != np.maximum.reduceat(doc[order], start)
     some = np.sort(order[np.repeat(several, np.diff(np.append(start, len(order))))])
     if len(some):
@@ -222,11 +235,11 @@ def _steps(sizes: list[int]):
 
 
 def _pack(raw: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+    return _shrinker.compress(raw)
 
 
 def _unpack(raw: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(raw)
+    return _grower.decompress(raw)
 
 
 def _place(number: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
@@ -256,14 +269,15 @@ def _list_numbers(size: int, shards: int):
 
     def rows(held):
         shard, grp, number, text = (np.concatenate(x) for x in zip(*held))
-        order = np.lexsort((text, number, grp, shard))
-        shard, grp, number, text = shard[order], grp[order], number[order], text[order]
-        first = np.concatenate(([True], (np.diff(shard) != 0) | (np.diff(grp) != 0) | (np.diff(number.astype(np.int64)) != 0)))
-        begin = np.flatnonzero(first)
-        several = text[begin] != text[np.append(begin[1:], len(text)) - 1]
-        shard, grp, number = shard[begin], grp[begin], number[begin]
-        cut = np.concatenate(([0], np.flatnonzero((np.diff(shard) != 0) | (np.diff(grp) != 0)) + 1)).astype(np.int64)
-        end = np.append(cut[1:], len(shard))
+        pack = grp * shards + shard
+        order = np.lexsort((number, pack))
+        pack, number, text = pack[order], number[order], text[order]
+        begin = np.flatnonzero(np.concatenate(([True], (np.diff(pack) != 0) | (number[1:] != number[:-1]))))
+        several = np.minimum.reduceat(text, begin) != np.maximum.reduceat(text, begin)
+        pack, number = pack[begin], number[begin]
+        grp, shard = pack // shards, pack % shards
+        cut = np.concatenate(([0], np.flatnonzero(np.diff(pack)) + 1)).astype(np.int64)
+        end = np.append(cut[1:], len(pack))
         for at in range(0, len(cut), 4096):
             some = [slice(a, b) for a, b in zip(cut[at : at + 4096], end[at : at + 4096])]
             yield pa.RecordBatch.from_arrays(
@@ -340,7 +354,7 @@ def _send_runs(size: int, shards: int):
         mask = np.unique(np.concatenate(masks))
         ids, raws, digests, sizes = (docs.column(c).to_pylist() for c in ("doc_id", "z", "digest", "n_bytes"))
         ranked = _in_order(docs)
-        pending, known = [], []
+        pending, known, texts = [], [], []
         for first, last in _steps([sizes[r] for r in ranked]):
             live = []
             for place in range(first, last):
@@ -356,29 +370,33 @@ def _send_runs(size: int, shards: int):
             shard, kept = _place(number, shards)
             code = kept.astype(np.uint64) | (shard.astype(np.uint64) << np.uint64(32))
             hit = mask[np.minimum(np.searchsorted(mask, code), len(mask) - 1)] == code
-            lo, hi, text, shard, kept = lo[hit], hi[hit], text[hit], shard[hit], kept[hit]
+            lo, hi, text = lo[hit], hi[hit], text[hit]
             place_of = np.array([p for p, _, _ in live], np.int64)[text]
             # a null id is larger than every id
             rank = np.array([_BIGGEST if ids[r] is None else ids[r] for _, r, _ in live], np.int64)[text]
+            pending.append((code[hit], rank, place_of, lo - begins[text]))
             blob = data.tobytes()
-            for k in range(len(lo)):
-                pending.append((int(shard[k]), int(kept[k]), int(rank[k]), int(place_of[k]), int(lo[k] - begins[text[k]]), blob[lo[k] : hi[k] + size]))
-        # of runs with the same bytes only those of the smallest document ask; the others are repeated in any case
-        pending.sort(key=lambda x: (x[0], x[1], x[5], x[2]))
-        asked, last = {}, None
-        for shard, number, rank, place, start, text in pending:
-            if last is not None and last[:2] == (number, text) and rank > last[2]:
-                known.append((place, start, start + len(text)))
-                continue
-            last = (number, text, rank)
-            asked.setdefault(shard, []).append((number, rank, place, start, text))
+            texts += [blob[a:b] for a, b in zip(lo.tolist(), (hi + size).tolist())]
         grp, out = key[0].as_py(), []
-        for shard, own in asked.items():
-            out.append((
-                shard, grp, np.array([x[0] for x in own], np.uint32).tobytes(), np.array([x[1] for x in own], np.int64).tobytes(),
-                np.array([[x[2], x[3]] for x in own], np.int32).tobytes(), np.array([len(x[4]) for x in own], np.int32).tobytes(),
-                _pack(b"".join(x[4] for x in own)),
-            ))
+        if texts:
+            code, rank, place, start = (np.concatenate(x) for x in zip(*pending))
+            order = np.lexsort((rank, code))
+            # of runs with the same bytes only those of the smallest document ask; the others are repeated in any case
+            asks, least, last = np.zeros(len(code), bool), {}, None
+            for k, own, number in zip(order.tolist(), rank[order].tolist(), code[order].tolist()):
+                if number != last:
+                    least, last = {}, number
+                asks[k] = own == least.setdefault(texts[k], own)
+            copied = np.flatnonzero(~asks)
+            length = np.fromiter(map(len, texts), np.int64, len(texts))
+            known += zip(place[copied].tolist(), start[copied].tolist(), (start + length)[copied].tolist())
+            order = order[asks[order]]
+            for own in np.split(order, np.flatnonzero(np.diff((code[order] >> np.uint64(32)).astype(np.int64))) + 1):
+                out.append((
+                    int(code[own[0]] >> np.uint64(32)), grp, (code[own] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), rank[own].tobytes(),
+                    np.stack([place[own], start[own]], axis=1).astype(np.int32).tobytes(), length[own].astype(np.int32).tobytes(),
+                    _pack(b"".join(map(texts.__getitem__, own.tolist()))),
+                ))
         if known:
             out.append((grp % shards, grp, None, None, None, None, _pack(np.array(known, np.int32).tobytes())))
         columns = list(zip(*out)) or [()] * 7

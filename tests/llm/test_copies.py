@@ -136,6 +136,18 @@ def test_only_suffixes_that_another_document_has_are_sorted(monkeypatch):
     assert set(least[least != doc]) == {1} and sorted_ == [22]
 
 
+def test_suffixes_with_one_hash_are_compared_once(monkeypatch):
+    passage, rng = bytes(range(40, 140)), np.random.default_rng(6)
+    texts = [rng.integers(0, 256, 60, np.uint8).tobytes() + passage for _ in range(64)]
+    data, compared, common = np.frombuffer(b"".join(texts), np.uint8), [], suffix_dedup.Hashes.common
+    at = np.concatenate([np.arange(160 * k, 160 * k + 111) for k in range(64)])
+    monkeypatch.setattr(suffix_dedup.Hashes, "common", lambda self, a, b, size: compared.append(len(a)) or common(self, a, b, size))
+    least = suffix_dedup.least_document(data, at, np.zeros(len(at), np.int64), np.repeat(np.arange(64), 111), 50).reshape(64, 111)
+    # 51 different strings are in every document, each followed by its 63 twins
+    assert (least[:, 60:] == 0).all() and (least[:, :56] == np.arange(64)[:, None]).all()
+    assert sum(compared) < 51 * 64
+
+
 def test_rows_travel_with_their_texts(spark):
     text = "a passage of more than fifty bytes that more than one text of this table holds"
     rows = [(1, None, 1.5, ["x"]), (2, text, None, None), (3, text + " é more", 2.5, []), (3, text + " é more", 2.5, ["y"]), (4, text, 0.0, None), (None, "", 3.5, None)]
