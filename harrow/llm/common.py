@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -31,6 +34,19 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text", chars: int = S
         yield batch.slice(start)
 
 
+@lru_cache(maxsize=1)
+def _trim():
+    # only glibc has it
+    return getattr(ctypes.CDLL(ctypes.util.find_library("c")), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Return the memory that a Python worker no longer needs: it stays for later tasks, beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    if _trim():
+        _trim()(0)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

@@ -20,16 +20,18 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from harrow.llm.common import column_names, slices, text_key, text_or_empty
+from harrow.llm.common import column_names, give_back, slices, text_key, text_or_empty
 from harrow.llm.graph import components
 from harrow.runtime import stabilise
 
 BITMAP_BYTES = 128
 # Elements of the sets that one verification task holds, about
 TASK_ELEMENTS = 500_000
+# Buckets of keys in a task, whose shared keys are one file
+TASK_BUCKETS = 16
 # Keys a task holds before it hands them on
 HELD = 2_000_000
-_WORDS_KEPT = 500_000
+_WORDS_KEPT = 1 << 16
 # Marks the set that stands for others of its task
 _STANDS_FOR_OTHERS = 1 << 30
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
@@ -38,8 +40,9 @@ _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E377
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh3_64_intdigest(word)
-        if len(self) < _WORDS_KEPT:
-            self[word] = value
+        if len(self) >= _WORDS_KEPT:
+            self.clear()
+        self[word] = value
         return value
 
 
@@ -116,11 +119,12 @@ def _sketch(n: int, percent: int):
             width = BITMAP_BYTES // 8
             yield pa.RecordBatch.from_arrays(
                 [
-                    part.column("tid"), part.column("first_doc"), pa.array([len(x) for x in sets], pa.int64()),
+                    part.column("tid"), part.column("first_doc"), part.column("text"), pa.array([len(x) for x in sets], pa.int64()),
                     pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * width, pa.int32()), pa.array(maps)),
                 ],
-                ["tid", "first_doc", "size", "bits"],
+                ["tid", "first_doc", "text", "size", "bits"],
             )
+        give_back()
 
     return sketch
 
@@ -168,6 +172,8 @@ def _list_keys(n: int, percent: int, buckets: int):
                 held, count = [], 0
         if held:
             yield from rows(*map(np.concatenate, zip(*held)))
+        del held
+        give_back()
 
     return listed
 
@@ -251,13 +257,14 @@ def plausible(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.filter(similar("size", "size_2", percent)).filter(overlap(BITMAP_BYTES // 16)).filter(overlap(BITMAP_BYTES // 8))
 
 
-def link_texts(texts: DataFrame, sketches: DataFrame, n: int, percent: int) -> DataFrame:
+def link_texts(texts: DataFrame, n: int, percent: int) -> DataFrame:
     """(``tid``, ``root``) of every set with a link: the smallest set that links reach."""
+    sketches = texts.select("tid", "size", "bits")
     total = sketches.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     buckets = max(1, math.ceil(total / TASK_ELEMENTS))
     listed = texts.select("tid", "text").mapInArrow(_list_keys(n, percent, buckets), "bucket long, sub long, keys binary, tids binary, skips binary")
     shared = listed.groupBy("bucket", "sub").applyInArrow(_share, "code long, tid long, skip int")
-    shared = stabilise(shared)
+    shared = stabilise(shared.coalesce(max(texts.sparkSession.sparkContext.defaultParallelism, math.ceil(buckets / TASK_BUCKETS))))
     # each set passes over its most common keys, as many as its tile spares
     common = shared.groupBy("code").agg(F.count("*").alias("sets"))
     mine = Window.partitionBy("tid", "skip").orderBy(F.desc("sets"), F.desc("code"))
@@ -298,13 +305,14 @@ def cluster(
     """
     key = text_key(F.col("text"))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
+    # each text is written once, with the size and the bitmap of its set
     texts = stabilise(
         rows.groupBy(key.alias("key")).agg(F.min("doc_id").alias("first_doc"), F.first("text").alias("text"))
         .select(F.xxhash64("key").alias("tid"), "first_doc", "text")
+        .mapInArrow(_sketch(n, percent), "tid long, first_doc long, text string, size long, bits array<long>")
     )
-    sketches = stabilise(texts.mapInArrow(_sketch(n, percent), "tid long, first_doc long, size long, bits array<long>"))
-    roots = link_texts(texts, sketches, n, percent)
-    known = sketches.select("tid", "first_doc", "size").join(roots, "tid", "left").withColumn("root", F.coalesce("root", "tid"))
+    roots = link_texts(texts, n, percent)
+    known = texts.select("tid", "first_doc", "size").join(roots, "tid", "left").withColumn("root", F.coalesce("root", "tid"))
     order = F.struct(F.col("first_doc").isNull(), "first_doc", "tid")
     smallest = known.groupBy("root").agg(F.min("first_doc").alias("component"), F.min_by("tid", order).alias("first_tid"))
     of_text = known.join(smallest, "root").select("tid", "size", "component", "first_tid")

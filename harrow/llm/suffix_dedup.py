@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from harrow.llm.common import slices, text_key, text_or_empty
+from harrow.llm.common import SLICE_CHARS, give_back, slices, text_key, text_or_empty
 from harrow.llm.jaccard_join import mixed
 from harrow.runtime import stabilise
 
@@ -305,6 +305,8 @@ def _list_numbers(size: int, shards: int):
                 held, count = [], 0
         if held:
             yield from rows(held)
+        del held
+        give_back()
 
     return listed
 
@@ -345,6 +347,7 @@ def _send_runs(size: int, shards: int):
     """The runs of a group's documents that may be repeated, by shard, and the stretches that are repeated in any case."""
 
     def send(key, docs: pa.Table, told: pa.Table) -> pa.Table:
+        give_back()
         masks, copies = [np.zeros(0, np.uint64)], set()
         for shard, numbers, doc, digest in zip(*(told.column(c).to_pylist() for c in ("shard", "numbers", "doc_id", "digest"))):
             if digest is not None:
@@ -413,6 +416,7 @@ def _find_repeats(size: int):
     """Stretches of each group's documents that the shard's suffixes repeat from a smaller document."""
 
     def find(sent: pa.Table) -> pa.Table:
+        give_back()
         ready = sent.filter(pc.is_null(sent.column("a")))
         passed = pa.table({"grp": ready.column("grp"), "a": ready.column("e")})
         table = sent.filter(pc.is_valid(sent.column("a")))
@@ -530,14 +534,31 @@ def _remove(key, docs: pa.Table, stretches: pa.Table) -> pa.Table:
     return pa.table({n: pa.array(c, k) for n, c, k in zip(("doc_id", "digest", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"), columns, kinds)})
 
 
-def _keep(key, docs: pa.Table, stretches: pa.Table) -> pa.Table:
-    """Of a group's documents those that keep something, or had nothing, with what they keep."""
-    raws, rows, left = docs.column("z").to_pylist(), [], []
-    for row, _, _, kept in _cut(docs, stretches):
-        if kept is None or kept:
-            rows.append(row)
-            left.append(raws[row] if kept is None else _pack(kept))
-    return pa.table({"rest": docs.column("rest").take(pa.array(rows, pa.int64())), "z": pa.array(left, pa.binary())})
+def _keep(text: str):
+    """Of a group's documents those that keep something, or had nothing, with what they keep and their other columns, in slices."""
+
+    def keep(key, docs: pa.Table, stretches: pa.Table) -> pa.Table:
+        give_back()
+        raws, known = docs.column("z").to_pylist(), docs.column("rest").combine_chunks().field("known").to_pylist()
+        parts, rows, left, size = [], [], [], 0
+
+        def part() -> pa.Table:
+            rest = docs.column("rest").take(pa.array(rows, pa.int64())).combine_chunks()
+            fields = [rest.field(k) for k in range(1, rest.type.num_fields)]
+            return pa.table([*fields, pa.array(left, pa.string())], names=[*(f.name for f in list(rest.type)[1:]), text])
+
+        for row, _, _, kept in _cut(docs, stretches):
+            if kept is None or kept:
+                kept = _unpack(raws[row]) if kept is None else kept
+                rows.append(row)
+                left.append(kept.decode("utf-8", "ignore") if known[row] else None)
+                size += len(kept)
+                if size > SLICE_CHARS:
+                    parts.append(part())
+                    rows, left, size = [], [], 0
+        return pa.concat_tables([*parts, part()])
+
+    return keep
 
 
 def _sent_and_found(docs: DataFrame, size: int, doc_id: str, text: str, rest: Column) -> tuple[DataFrame, DataFrame]:
@@ -602,14 +623,8 @@ def without_repeats(docs: DataFrame, size: int = 50, doc_id: str = "doc_id", tex
     others = [c for c in docs.columns if c != text]
     rest = F.struct(F.col(text).isNotNull().alias("known"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(others)])
     packed, stretches = _sent_and_found(docs, size, doc_id, text, rest)
-    kept = packed.groupBy("grp").cogroup(stretches.groupBy("grp")).applyInArrow(_keep, T.StructType().add(packed.schema["rest"]).add("z", "binary"))
-
-    def restore(batches):
-        for batch in batches:
-            z, known = batch.column(batch.num_columns - 1).to_pylist(), batch.column(0).to_pylist()
-            columns = dict(zip(others, batch.columns[1:-1]))
-            columns[text] = pa.array([_unpack(raw).decode("utf-8", "ignore") if has else None for raw, has in zip(z, known)], pa.string())
-            yield pa.RecordBatch.from_arrays([columns[c] for c in names], names)
-
-    names = docs.columns
-    return kept.select("rest.*", "z").mapInArrow(restore, docs.schema)
+    schema, names = T.StructType(), {c: f"c{k}" for k, c in enumerate(others)} | {text: "left"}
+    for c in [*others, text]:
+        schema.add(names[c], docs.schema[c].dataType)
+    kept = packed.groupBy("grp").cogroup(stretches.groupBy("grp")).applyInArrow(_keep("left"), schema)
+    return kept.select(*[F.col(names[c]).alias(c) for c in docs.columns])

@@ -32,6 +32,16 @@ def _families(seed, sizes=(8, 15, 30, 60, 140)):
     return texts + ["common passage of a few words here " * 2 + t for t in texts[::5]]
 
 
+def test_texts_and_sketches_are_written_once(spark, monkeypatch):
+    written, keep = [], jaccard_join.stabilise
+    monkeypatch.setattr(jaccard_join, "stabilise", lambda df, *more: written.append(df) or keep(df, *more))
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(_families(4, (8, 15)))], "doc_id long, text string").repartition(40)
+    jaccard_join.cluster(docs)
+    texts, shared = written[:2]
+    assert texts.columns == ["tid", "first_doc", "text", "size", "bits"]
+    assert shared.columns == ["code", "tid", "skip"] and len(keep(shared).inputFiles()) <= spark.sparkContext.defaultParallelism
+
+
 @pytest.mark.parametrize(("n", "percent", "seed"), [(3, 90, 1), (5, 80, 2), (3, 90, 5)])
 def test_components_equal_brute_force(spark, odd_docs, n, percent, seed):
     rows = [(k, t) for k, t in enumerate(_families(seed))] + [(1000, None), (1001, " "), (1002, ""), (1003, "A b"), (1004, "a B")]
@@ -148,6 +158,16 @@ def test_suffixes_with_one_hash_are_compared_once(monkeypatch):
     assert sum(compared) < 51 * 64
 
 
+def test_one_python_worker_a_task_cuts_and_restores(spark):
+    docs = spark.createDataFrame([(1, "some text", "x")], "doc_id long, text string, more string")
+    assert "MapInArrow" not in suffix_dedup.without_repeats(docs)._jdf.queryExecution().optimizedPlan().toString().split("FlatMapCoGroupsInArrow")[0]
+
+
+def test_words_kept_are_bounded():
+    jaccard_join.shingles(" ".join(f"w{k}" for k in range(200_000)), 3)
+    assert len(jaccard_join._words) <= 1 << 16
+
+
 def test_rows_travel_with_their_texts(spark):
     text = "a passage of more than fifty bytes that more than one text of this table holds"
     rows = [(1, None, 1.5, ["x"]), (2, text, None, None), (3, text + " é more", 2.5, []), (3, text + " é more", 2.5, ["y"]), (4, text, 0.0, None), (None, "", 3.5, None)]
